@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, url_filters
+from . import mixing, simhash, sketches, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_simhash": simhash.op2_simhash,
+    "op5_fingerprints": sketches.op5_fingerprints,
+    "op8_mixing": mixing.op8_mixing,
 }
 
-SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL}
+SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op8_mixing": mixing.SQL}
