@@ -68,6 +68,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     return rated.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).alias("copies"))
 
 
+def take_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as many times as mix takes it. Rows of equal doc_id, source and size get one of
+    the numbers of copies that these rows have in the mix each."""
+    counts = mix(docs, **options)
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    on = F.col("doc_id").eqNullSafe(F.col("_id"))
+    counts = counts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    n, distinct = counts.groupBy("_id").count().agg(F.sum("count"), F.count("*")).first()
+    if n is None or n == distinct:
+        joined = docs.join(counts.select("_id", "_copies"), on)
+    else:
+        nth = F.expr("row_number() over (partition by _id, _source, _size order by _copies)")
+        counts = counts.withColumn("_nth", nth)
+        own = docs.withColumn("_z", size)
+        own = own.withColumn("_n", F.expr("row_number() over (partition by doc_id, source, _z order by doc_id)"))
+        joined = own.join(counts, on & F.expr("source <=> _source and _z = _size and _n = _nth"))
+    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
