@@ -107,12 +107,15 @@ def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE) -> Da
     is kept, and the next text is that of the smallest text with the next doc_id; rows with a null doc_id have an
     empty next text. Other columns are not carried. An empty table gives no rows.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = every.where("doc_id is not null")
     nexts = next_documents(docs)
     need = own.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("need")).join(nexts, "doc_id").select(F.col("next_id").alias("from_id"), F.col("doc_id").alias("for_id"), "need")
     lent = own.join(need, own["doc_id"] == need["from_id"]).select("for_id", F.expr("substring(text, 1, cast(need as int))").alias("lent"), sketch(F.col("text"), k, shingle).alias("next_sketch"))
     lent = lent.groupBy("for_id").agg(F.min(F.struct("lent", "next_sketch")).alias("x")).select("for_id", "x.lent", "x.next_sketch") if _repeats(docs) else lent
-    both = own.join(lent, own["doc_id"] == lent["for_id"], "left")
+    # both joins deal the texts by doc_id with the same filter, so that Spark shuffles them once
+    both = own.join(lent, own["doc_id"] == lent["for_id"])
+    both = both.drop("for_id").unionByName(every.where("doc_id is null").withColumn("lent", F.lit("")).withColumn("next_sketch", F.array().cast("array<bigint>")))
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.coalesce("lent", F.lit("")), F.lit(1), cut))
     rows = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
