@@ -1,4 +1,4 @@
-"""The catalogue of named queries and the SQL that each must agree with."""
+"""The catalogue of named queries and the SQL that each must agree with. Modules register into it when imported."""
 
 from __future__ import annotations
 
@@ -8,3 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import cohort, summaries, volumes  # noqa: E402, F401
