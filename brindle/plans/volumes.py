@@ -1,0 +1,166 @@
+"""Queries over arrays: an embedding of 64 values is a signal, or a volume of 4 x 4 x 4; its partner is its means of two samples."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..operators import kernels as K
+from ..streaming import stream
+from .catalogue import query, table
+
+E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), s AS (SELECT *, list_transform(range(64), lambda i: (a[(i // 2) * 2 + 1] + a[(i // 2) * 2 + 2]) / 2) AS b FROM e)"
+W = "WITH " + E + " "
+
+
+def signals(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", A.doubles(F.col("embedding")).alias("a"))
+    pair = lambda i: F.floor(i / 2).cast("int") * 2
+    return e.withColumn("b", F.transform("a", lambda x, i: (F.get("a", pair(i)) + F.get("a", pair(i) + 1)) / 2))
+
+
+def measure(name, sql, column, digits=6):
+    @query(name, W + f"SELECT vec_id, round({sql}, {digits}) AS {name} FROM s")
+    def _(spark, sf):
+        return signals(spark, sf).select("vec_id", F.round(column(F.col("a"), F.col("b")), digits).alias(name))
+
+
+def elements(name, sql, column, digits=6):
+    @query(name, W + f", v AS (SELECT vec_id, {sql} AS v FROM s) SELECT vec_id, i.i AS pos, round(v[i.i + 1], {digits}) AS x FROM v, range(64) i(i) WHERE i.i < len(v)")
+    def _(spark, sf):
+        return signals(spark, sf).select("vec_id", F.posexplode(column(F.col("a"), F.col("b"))).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", digits).alias("x"))
+
+
+SSE = "list_sum(list_transform(range(1, 65), lambda i: (a[i] - b[i]) * (a[i] - b[i])))"
+N = "64.0"
+SUM = {k: f"list_sum(list_transform(range(1, 65), lambda i: {v}))" for k, v in {"a": "a[i]", "b": "b[i]", "aa": "a[i] * a[i]", "bb": "b[i] * b[i]", "ab": "a[i] * b[i]"}.items()}
+CORR = f"((64 * {SUM['ab']} - {SUM['a']} * {SUM['b']}) / sqrt((64 * {SUM['aa']} - {SUM['a']} * {SUM['a']}) * (64 * {SUM['bb']} - {SUM['b']} * {SUM['b']})))"
+measure("mae", "list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) / 64", A.mae)
+measure("rmse", f"sqrt({SSE} / 64)", A.rmse)
+measure("psnr", f"10 * log10(1.0 / ({SSE} / 64))", A.psnr, 5)
+measure("volume_corr", CORR, lambda a, b: A.correlation(A.moments(a, b), F.size(a)))
+measure("cor_coe_loss", f"1 - {CORR} * {CORR}", lambda a, b: 1 - F.pow(A.correlation(A.moments(a, b), F.size(a)), F.lit(2)))
+MA, MB = f"({SUM['a']} / 64)", f"({SUM['b']} / 64)"
+measure("ssim_global", f"(2 * {MA} * {MB} + 0.0001) * (2 * ({SUM['ab']} / 64 - {MA} * {MB}) + 0.0009) / (({MA} * {MA} + {MB} * {MB} + 0.0001) * ({SUM['aa']} / 64 - {MA} * {MA} + {SUM['bb']} / 64 - {MB} * {MB} + 0.0009))", lambda a, b: A.global_ssim(A.moments(a, b), F.size(a)))
+measure("center_of_mass", "coalesce(list_avg(list_filter(range(64), lambda i: a[i + 1] > 0.1 * list_max(a))), 31.5)", lambda a, b: A.mass_center(a))
+measure("foreground_mean", "list_avg(list_filter(a, lambda x: x > list_aggregate(a, 'quantile_cont', 0.6)))", lambda a, b: F.expr("aggregate(filter(a, x -> x > element_at(array_sort(a), 38) + 0.8 * (element_at(array_sort(a), 39) - element_at(array_sort(a), 38))), 0D, (s, x) -> s + x) / size(filter(a, x -> x > element_at(array_sort(a), 38) + 0.8 * (element_at(array_sort(a), 39) - element_at(array_sort(a), 38))))"))
+elements("to01", "list_transform(a, lambda x: least(1.0, greatest(0.0, (x + 1) / 2)))", lambda a, b: A.clip01(a))
+elements("minmax255", "list_transform(a, lambda x: (x - list_min(a)) / (list_max(a) - list_min(a)) * 255)", lambda a, b: A.minmax255(a), 4)
+elements("window255", "list_transform(a, lambda x: least(255.0, greatest(0.0, (x + 0.2) / 0.4 * 255)))", lambda a, b: A.window255(a, -0.2, 0.2), 4)
+elements("invert", "list_transform(a, lambda x: 255 - x)", lambda a, b: A.invert(a))
+elements("forward_diff", "list_transform(range(1, 65), lambda i: CASE WHEN i = 1 THEN 0.0 ELSE a[i] - a[i - 1] END)", lambda a, b: A.forward_diff(a))
+elements("gradient_sharpness", "list_transform(range(1, 65), lambda i: abs(CASE WHEN i = 1 THEN a[2] - a[1] WHEN i = 64 THEN a[64] - a[63] ELSE (a[i + 1] - a[i - 1]) / 2 END))", lambda a, b: F.transform(A.gradient(a), lambda x: F.abs(x)))
+elements("center_slice", "a[17:48]", lambda a, b: A.center_slice(a, 32))
+elements("flip", "list_reverse(a)", lambda a, b: F.reverse(a))
+elements("zero_fill", "list_concat(list_transform(range(17), lambda i: 0.0), a[1:30], list_transform(range(17), lambda i: 0.0))", lambda a, b: A.zero_fill(F.slice(a, F.lit(1), F.lit(30)), 64))
+
+
+def window(name, sql, column):
+    @query(name, f"WITH f AS (SELECT i.i, (i.i - 32) / 64.0 AS f FROM range(64) i(i)) SELECT i, round({sql}, 8) AS w FROM f")
+    def _(spark, sf):
+        return spark.range(64).select(F.col("id").alias("i"), F.round(column(A.centered_freq(F.col("id"), 64)), 8).alias("w"))
+
+
+window("tukey_window", "CASE WHEN abs(f) > 0.25 + 1e-12 THEN 0 WHEN abs(f) / 0.25 <= 0.7 THEN 1 ELSE 0.5 * (1 + cos(pi() * (abs(f) / 0.25 - 0.7) / 0.3)) END", lambda f: A.tukey(f, 0.25, 0.3))
+window("fermi_window", "1 / (1 + exp((abs(f) / 0.25 - 1) / 0.1))", lambda f: A.fermi(F.abs(f) / 0.25, 1.0, 0.1))
+window("gaussian_window", "CASE WHEN abs(f) <= 0.25 THEN exp(-2 * pow(pi() * 1.5 * f, 2)) ELSE 0 END", lambda f: A.gaussian(f, 0.25, 1.5))
+
+
+@query("pad_plan", "SELECT p_partkey, p_size AS n, (8 - p_size % 8) % 8 AS pad, ((8 - p_size % 8) % 8) // 2 AS before, CAST(round_even(p_size / 4.0, 0) AS BIGINT) - CAST(round_even(p_size / 4.0, 0) AS BIGINT) % 2 AS coarse FROM part")
+def _(spark, sf):
+    n = F.col("p_size")
+    m = F.bround(n / F.lit(4.0), 0).cast("long")
+    return table(spark, sf, "part").select("p_partkey", n.alias("n"), F.pmod(-n, F.lit(8)).alias("pad"), F.floor(F.pmod(-n, F.lit(8)) / 2).alias("before"), (m - F.pmod(m, F.lit(2))).alias("coarse"))
+
+
+@query("sigma_for_snr", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0 ELSE round(p_retailprice / (p_size % 5) / (2.0 * 2.0 / 1.0), 6) END AS sigma FROM part")
+def _(spark, sf):
+    snr, gain = F.pmod("p_size", F.lit(5)), A.product(F.array(F.lit(2.0), F.lit(2.0))) / A.product(F.array(F.lit(1.0)))
+    return table(spark, sf, "part").select("p_partkey", F.when(snr <= 0, F.lit(0.0)).otherwise(F.round(F.col("p_retailprice") / F.greatest(snr, F.lit(1)) / gain, 6)).alias("sigma"))
+
+
+@query("resample_plan", "SELECT p_partkey, CAST(ceil(p_size * 1.0 / 0.7) AS BIGINT) AS up, CAST(round_even(p_size * 1.0 / 0.7, 0) AS BIGINT) AS near FROM part")
+def _(spark, sf):
+    x = F.col("p_size") * 1.0 / 0.7
+    return table(spark, sf, "part").select("p_partkey", F.ceil(x).alias("up"), F.bround(x, 0).cast("long").alias("near"))
+
+
+@query("dezip_plan", "WITH p AS (SELECT p_partkey, p_size, [1.0 + p_partkey % 2, 2.0, 1.5] AS s FROM part) SELECT p_partkey, i.i AS axis, CASE WHEN s[i.i] < list_max(s) * (1 - 1e-3) THEN CAST(round_even(p_size * s[i.i] / list_max(s), 0) AS BIGINT) ELSE p_size END AS kept FROM p, range(1, 4) i(i)")
+def _(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.array(1.0 + F.pmod("p_partkey", F.lit(2)), F.lit(2.0), F.lit(1.5)).alias("s")).withColumn("most", F.array_max("s"))
+    return p.select("p_partkey", "p_size", "most", F.posexplode("s").alias("axis", "x")).select("p_partkey", (F.col("axis") + 1).alias("axis"), F.when(F.col("x") < F.col("most") * (1 - 1e-3), F.bround(F.col("p_size") * F.col("x") / F.col("most"), 0).cast("long")).otherwise(F.col("p_size")).alias("kept"))
+
+
+@query("grid_match_check", "SELECT vec_id, list_max(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) < 0.2 AS same FROM (" + W + "SELECT * FROM s)")
+def _(spark, sf):
+    return signals(spark, sf).select("vec_id", F.forall(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), lambda d: d < 0.2).alias("same"))
+
+
+@query("sidecar_check", "SELECT event_id, CASE WHEN k <= 50 THEN 'recon' WHEN NOT (abs(k - 60) <= 1 OR abs(k - 70) <= 1) THEN 'axis' END AS warning FROM (SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k FROM events)")
+def _(spark, sf):
+    k = F.coalesce(F.from_json("props", "k long")["k"], F.lit(0))
+    near = F.exists(F.array(F.lit(60), F.lit(70)), lambda m: F.abs(m - k) <= 1)
+    return table(spark, sf, "events").select("event_id", F.when(k <= 50, "recon").when(~near, "axis").alias("warning"))
+
+
+@query("tile_grid", "WITH n AS (SELECT nn.n FROM (VALUES (10),(16),(17)) nn(n)), st AS (SELECT DISTINCT n, least(i.i * 3, n - 8) AS s FROM n, range(10) i(i) WHERE i.i * 3 < n - 8 + 3) SELECT n, x.s AS x, y.s AS y FROM st x JOIN st y USING (n)")
+def _(spark, sf):
+    n = spark.createDataFrame([(10,), (16,), (17,)], "n int")
+    starts = F.array_distinct(F.array_union(F.sequence(F.lit(0), F.col("n") - 8, F.lit(3)), F.array(F.col("n") - 8)))
+    return n.withColumn("x", F.explode(starts)).withColumn("y", F.explode(starts))
+
+
+@query("overlap_add", W + ", t AS (SELECT DISTINCT least(i.i * 12, 48) AS st FROM range(6) i(i)), v AS (SELECT vec_id, st + k.i AS pos, a[st + k.i + 1] AS x FROM s, t, range(16) k(i)) SELECT vec_id, pos, round(sum(x) / count(*), 6) AS x, count(*) AS n FROM v GROUP BY 1, 2")
+def _(spark, sf):
+    starts = F.array_distinct(F.array_union(F.sequence(F.lit(0), F.lit(48), F.lit(12)), F.array(F.lit(48))))
+    tiles = signals(spark, sf).withColumn("at", F.explode(starts)).select("vec_id", "at", F.posexplode(F.slice("a", F.col("at") + 1, F.lit(16))).alias("k", "x"))
+    return tiles.groupBy("vec_id", (F.col("at") + F.col("k")).cast("long").alias("pos")).agg(F.round(F.sum("x") / F.count("*"), 6).alias("x"), F.count("*").alias("n"))
+
+
+@query("gauss_blend_weights", "SELECT i.i, round(greatest(1e-3, exp(-0.5 * pow((i.i - 7.5) / (16 / 6.0), 2))), 8) AS w FROM range(16) i(i)")
+def _(spark, sf):
+    return spark.range(16).select(F.col("id").alias("i"), F.round(F.greatest(F.lit(1e-3), F.exp(-0.5 * F.pow((F.col("id") - 7.5) / (16 / 6.0), F.lit(2)))), 8).alias("w"))
+
+
+@query("perm_inverse", W + ", o AS (SELECT vec_id, i.i AS idx, row_number() OVER (PARTITION BY vec_id ORDER BY a[i.i + 1], i.i) - 1 AS place FROM s, range(64) i(i)) SELECT vec_id, idx, place FROM o")
+def _(spark, sf):
+    order = F.transform(F.array_sort(F.transform("a", lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda p: p["i"])
+    return signals(spark, sf).select("vec_id", F.posexplode(order).alias("place", "idx")).select("vec_id", F.col("idx").cast("long").alias("idx"), F.col("place").cast("long").alias("place"))
+
+
+@query("hf_energy", W + ", d AS (SELECT vec_id, i.i AS n, a[i.i + 1] - list_avg(a) AS x FROM s, range(64) i(i)), p AS (SELECT vec_id, k.i AS k, pow(sum(x * cos(2 * pi() * k.i * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k.i * n / 64)), 2) AS power FROM d, range(64) k(i) GROUP BY 1, 2) SELECT vec_id, round(sum(power) FILTER (least(k, 64 - k) / 64.0 > 0.25) / sum(power), 6) AS hf FROM p GROUP BY 1")
+def _(spark, sf):
+    return K.per_volume(signals(spark, sf), ["vec_id"], "a", (64,), lambda a: {"hf": round(K.hf_energy(a), 6)}, "hf double").select("vec_id", "hf")
+
+
+CUBE = (4, 4, 4)
+
+
+def kernel(name, function, schema):
+    @query(name)
+    def _(spark, sf):
+        return K.per_volume(signals(spark, sf), ["vec_id"], "a", CUBE, function, schema)
+
+
+kernel("radial_spectrum", lambda a: {"power": K.radial_spectrum(a).tolist()}, "power array<double>")
+kernel("axis_spectrum", lambda a: {"power": K.axis_spectrum(a, 0)[1].tolist()}, "power array<double>")
+kernel("band_power", lambda a: {"power": K.band_power(a, 0.2, 0.45)}, "power double")
+kernel("fg_mask_threshold", lambda a: {"voxels": int(K.foreground(a).sum())}, "voxels long")
+kernel("degrade", lambda a: {"low": K.degrade(a, (2, 2, 1))["low"].ravel().tolist(), "up": K.degrade(a, (2, 2, 1))["up"].ravel().tolist()}, "low array<double>, up array<double>")
+kernel("ssim3d", lambda a: {"ssim": K.ssim(a, K.degrade(np.abs(a), (2, 2, 2))["up"])}, "ssim double")
+kernel("sharpness", lambda a: {"sharp": K.sharpness(a)}, "sharp double")
+kernel("percentile_norm", lambda a: {"norm": K.percentile_norm(a).ravel().tolist()}, "norm array<double>")
+kernel("edge_weighted_l1", lambda a: {"loss": K.edge_weighted_l1(a, a[::-1])}, "loss double")
+kernel("blend_identity", lambda a: {"worst": float(np.abs(K.blend(a, 2, 1) - a).max())}, "worst double")
+kernel("audit_derived", lambda a: {"hf025": K.hf_energy(a), "f99": [K.axis_f99(a, k) for k in range(3)], "cliff": K.band_power(a, 0.25, 0.3) / max(K.band_power(a, 0.2, 0.25), 1e-12)}, "hf025 double, f99 array<double>, cliff double")
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    return stream.windowed(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("log_every_n", "SELECT event_id, value FROM events WHERE event_id % 50 = 0")
+def _(spark, sf):
+    return stream.every_nth(table(spark, sf, "events").select("event_id", "value"), "event_id", 50)
