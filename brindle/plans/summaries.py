@@ -43,15 +43,16 @@ def _(spark, sf):
     return g.select("fold", "n", F.round("mean", 5).alias("mean"), F.round("hw", 6).alias("hw"))
 
 
-@query("cv_summary", "WITH " + ROWS + BLOCKS + ", u AS (SELECT block, 'pred' AS metric, pred AS v FROM b UNION ALL SELECT block, 'sinc', sinc FROM b WHERE sinc IS NOT NULL), g AS (SELECT block, metric, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS median, min(v) AS low, max(v) AS high FROM u GROUP BY 1, 2) SELECT block, metric, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(median, 5) AS median, round(low, 5) AS low, round(high, 5) AS high, round(" + HW + ", 5) AS hw FROM g" + T)
+@query("cv_summary", "WITH " + ROWS + BLOCKS + ", u AS (SELECT block, 'pred' AS metric, pred AS v FROM b UNION ALL SELECT block, 'sinc', sinc FROM b WHERE sinc IS NOT NULL), g AS (SELECT block, metric, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS median, min(v) AS low, max(v) AS high FROM u GROUP BY 1, 2) SELECT block, metric, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(median, 7) AS median, round(low, 5) AS low, round(high, 5) AS high, round(" + HW + ", 5) AS hw FROM g" + T)
 def _(spark, sf):
-    return rounded(S.cv_summary(rows(spark, sf), "subgroup", ["pred", "sinc"]), "mean", "sd", "median", "low", "high", "hw")
+    t = S.cv_summary(rows(spark, sf), "subgroup", ["pred", "sinc"])
+    return rounded(rounded(t, "mean", "sd", "low", "high", "hw"), "median", digits=7)
 
 
-@query("eval_summary", "WITH " + ROWS + BLOCKS + " SELECT block, count(*) AS n, round(avg(pred), 5) AS mean, round(stddev_pop(pred), 5) AS sd, round(quantile_cont(pred, 0.5), 5) AS median FROM b GROUP BY 1")
+@query("eval_summary", "WITH " + ROWS + BLOCKS + " SELECT block, count(*) AS n, round(avg(pred), 5) AS mean, round(stddev_pop(pred), 5) AS sd, round(quantile_cont(pred, 0.5), 7) AS median FROM b GROUP BY 1")
 def _(spark, sf):
     t = S.describe(S.blocks(rows(spark, sf), "subgroup"), ["block"], "pred", "pop")
-    return rounded(t.select("block", "n", "mean", "sd", "median"), "mean", "sd", "median")
+    return rounded(rounded(t.select("block", "n", "mean", "sd", "median"), "mean", "sd"), "median", digits=7)
 
 
 @query("cv_paired", "WITH " + ROWS + BLOCKS + ", g AS (SELECT block, count(*) AS n, avg(pred - sinc) AS mean, stddev_samp(pred - sinc) AS sd FROM b WHERE sinc IS NOT NULL GROUP BY 1) SELECT block, n, round(mean, 5) AS mean, round(" + HW + ", 6) AS hw, mean - " + HW + " <= 0 AND mean + " + HW + " > 0 AS includes_zero FROM g" + T)
