@@ -22,11 +22,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import batched, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions, neighbour verdicts and pieces kept in a worker; beyond, they are forgotten and made again.
-MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 400_000, 400_000, 600_000
+MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 150_000, 150_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,28 +178,27 @@ class Encoder:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.transducer, self.pattern, self.known = Transducer(load_ranks(path)), regex.compile(pattern), _Known(self)
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_packed(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
-        known = self.known
-        if len(known) > MOST_PIECES:
-            known.clear()
-        out: list[int] = []
-        for ids in map(known.__getitem__, self.pattern.findall(text)):
-            out += ids
-        return out
+            return b""
+        if len(self.known) > MOST_PIECES:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        token = self.transducer.token
-        return b"".join([token[i] for i in ids])
+        return b"".join(map(self.transducer.token.__getitem__, ids))
 
 
 class _Known(dict):
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encoder.transducer.encode(piece.encode())
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.encoder.transducer.encode(piece.encode()), dtype="<u4").tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -274,12 +273,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(path)
         for x in batches:
-            for i in range(0, len(x), 512):
-                part = x.iloc[i : i + 512]
-                ids = [encoder.encode(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [encoder.decode(y) for y in ids]})
+            for i in range(0, len(x), 128):
+                part = x.iloc[i : i + 128]
+                ids = [np.frombuffer(encoder.encode_packed(t), dtype="<i4") for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [encoder.decode(y.tolist()) for y in ids]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -290,12 +289,12 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
         for x in batches:
             rows = []
             for doc_id, text in zip(x["doc_id"], x["text"]):
-                ids = encoder.encode(text)
-                decoded = encoder.decode(ids)
-                rows.append((doc_id, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                packed = encoder.encode_packed(text)
+                decoded = encoder.decode(np.frombuffer(packed, dtype="<u4").tolist())
+                rows.append((doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

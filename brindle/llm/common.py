@@ -34,6 +34,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once: texts may be long, and a worker's memory is small.
+BATCH_ROWS = 512
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches set to at most BATCH_ROWS rows."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

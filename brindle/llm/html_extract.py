@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import batched, table
 
 #: Fixed values of HTML: elements whose content is no text, that never hold anything, and that are inside a line.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head".split())
@@ -101,7 +101,7 @@ def blocks_of(page: str) -> list[Block]:
 FEATURES = 1 << 14
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=5_000)
 def _path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     tags = [p for p in path if p[0] != "."]
     names = sorted({p for p in path if p[0] == "."})
@@ -316,7 +316,7 @@ def extract_pages(pages: DataFrame, chain: Chain) -> DataFrame:
             texts = [extract(h, chain) for h in x["html"]]
             yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return batched(pages.select("page_id", "url", "html")).mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table, unit_interval
+from .common import batched, keep, table, unit_interval
 
 #: Hash buckets of unigrams and bigrams; most labelled rows that the target model is estimated from, by hash of doc_id.
 BUCKETS, MOST_TARGET = 10_000, 20_000
@@ -24,7 +24,7 @@ BUCKETS, MOST_TARGET = 10_000, 20_000
 TOLERANCE = 3.0
 #: n-grams of raw text that the target model starts from: a small target sample deviates little from raw text.
 PRIOR = 20.0 * BUCKETS
-MOST_TOKENS = 500_000
+MOST_TOKENS = 200_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -69,7 +69,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                     target += n
         yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": raw, "target": target})
 
-    counts = marked.mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows
+    counts = batched(marked).mapInPandas(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # BUCKETS rows
     raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]] += counts["raw"]
     target[counts["bucket"]] += counts["target"]
@@ -113,7 +113,7 @@ def resample(docs: DataFrame, ratios: np.ndarray, k: int | None = None) -> DataF
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "log_weight": np.array([ratios[grams(t)].sum() for t in x["text"]], dtype=float)})
 
-    weighed = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, log_weight double")
+    weighed = batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, log_weight double")
     noise = -F.log(-F.log(unit_interval("doc_id", F.lit(20240607))))
     keyed = keep(weighed.withColumn("sample_key", F.col("log_weight") + noise), "weights")
     k = keyed.where(F.col("log_weight") > -TOLERANCE).count() if k is None else k

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import batched, table
 
 #: Bytes in a row of an image, and the most rows: 65535 pixels are the format's limit.
 LINE, ROWS = 64, 8191
@@ -322,7 +322,7 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
                     rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-LINE:]), len(media), hashlib.sha256(media).hexdigest(), thumbs[0].shape[1] * 8, thumbs[0].shape[0] * 8, feature) + ((media,) if with_media else ()))
                 yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, types)
+    return batched(docs.select("doc_id", "text")).mapInPandas(run, types)
 
 
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table, words_of
+from .common import batched, keep, table, words_of
 from .components import connected_components
 
 #: Bits are cut into so many blocks, of 10 or 11 bits.
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": _signed([text_fingerprint(t, k) for t in x["text"]])})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, fp long")
 
 
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
@@ -228,7 +228,7 @@ def _word_fingerprints(text: str | None, seen: dict) -> list[int]:
     own = []
     for w in set(words_of(text)):
         if (h := seen.get(w)) is None:
-            if len(seen) > 300_000:
+            if len(seen) > 100_000:
                 seen.clear()
             h = seen[w] = digest(w, 42)
         own.append(h)
@@ -256,7 +256,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
             fps = [_signed(_word_fingerprints(t, seen)).tolist() for t in x["text"]]
             yield pd.DataFrame({"doc_id": x["doc_id"], "_sha": x["_sha"], "fps": fps})
 
-    hashed = keep(texts.mapInPandas(run, "doc_id long, _sha string, fps array<long>"), "fingerprints")
+    hashed = keep(batched(texts).mapInPandas(run, "doc_id long, _sha string, fps array<long>"), "fingerprints")
     nodes = hashed.join(owner, "_sha").where("doc_id = id").select("id", "fps").dropDuplicates(["id"])
     nodes = keep(nodes, "nodes")
     pairs = keep(link_fingerprints(nodes, 3, FAR_BITS), "pairs")
