@@ -26,7 +26,7 @@ from .common import batched, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions, neighbour verdicts and pieces kept in a worker; beyond, they are forgotten and made again.
-MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 150_000, 150_000, 400_000
+MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 300_000, 300_000, 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
