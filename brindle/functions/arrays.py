@@ -71,6 +71,22 @@ def invert(a: Column) -> Column:
     return F.transform(a, lambda x: 255 - x)
 
 
+def brightness(a: Column, shift: float) -> Column:
+    """Shifted, within the range that the array had."""
+    return F.transform(a, lambda x: F.least(F.array_max(a), F.greatest(F.array_min(a), x + shift)))
+
+
+def contrast(a: Column, percent: float) -> Column:
+    """Differences from the whole part of the mean grown by a percentage, within 0 to 255."""
+    middle = mean(a).cast("long")
+    return F.transform(a, lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), x + (x - middle) * percent / 100)))
+
+
+def gamma255(a: Column, power: float) -> Column:
+    """A power of the array's own range, on 0 to 255."""
+    return F.transform(a, lambda x: F.pow((x - F.array_min(a)) / (F.array_max(a) - F.array_min(a)), F.lit(power)) * 255)
+
+
 def forward_diff(a: Column) -> Column:
     """a[i] - a[i-1], 0 first."""
     return F.transform(a, lambda x, i: F.when(i == 0, F.lit(0.0)).otherwise(x - F.get(a, i - 1)))

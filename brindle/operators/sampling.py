@@ -35,3 +35,10 @@ def even_draws(weighted: DataFrame, key: str, weight: str, draws: int) -> DataFr
     t = weighted.withColumn("hi", F.sum(weight).over(w)).withColumn("total", F.sum(weight).over(Window.partitionBy()))
     edge = lambda c: F.ceil(c / F.col("total") * draws - 0.5)
     return t.select(key, (edge(F.col("hi")) - edge(F.col("hi") - F.col(weight))).cast("long").alias("times"))
+
+
+def grid_crops(df: DataFrame, key: str, shape: tuple[int, int, int], step: int, repeats: int, seed: int = 0) -> DataFrame:
+    """key, x, y, z: for each key `repeats` distinct starts of a fixed grid, drawn by a hash of seed, key and start. A row makes its own starts, so nothing is shuffled."""
+    axes = [F.transform(F.sequence(F.lit(0), F.lit(n - step), F.lit(step)), lambda v: v.cast("long")) for n in shape]
+    starts = F.flatten(F.transform(axes[0], lambda x: F.flatten(F.transform(axes[1], lambda y: F.transform(axes[2], lambda z: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), x, y, z)).alias("h"), x.alias("x"), y.alias("y"), z.alias("z")))))))
+    return df.select(key, F.explode(F.slice(F.array_sort(starts), 1, repeats)).alias("s")).select(key, "s.x", "s.y", "s.z")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import kernels as K
+from ..operators import sampling
+from ..operators import transforms as T
 from ..streaming import stream
 from .catalogue import query, table
 
@@ -49,6 +51,9 @@ elements("to01", "list_transform(a, lambda x: least(1.0, greatest(0.0, (x + 1) /
 elements("minmax255", "list_transform(a, lambda x: (x - list_min(a)) / (list_max(a) - list_min(a)) * 255)", lambda a, b: A.minmax255(a), 4)
 elements("window255", "list_transform(a, lambda x: least(255.0, greatest(0.0, (x + 0.2) / 0.4 * 255)))", lambda a, b: A.window255(a, -0.2, 0.2), 4)
 elements("invert", "list_transform(a, lambda x: 255 - x)", lambda a, b: A.invert(a))
+elements("brightness", "list_transform(a, lambda x: least(list_max(a), greatest(list_min(a), x + 0.1)))", lambda a, b: A.brightness(a, 0.1))
+elements("contrast", "list_transform(a, lambda x: least(255.0, greatest(0.0, x + (x - trunc(list_avg(a))) * 15 / 100)))", lambda a, b: A.contrast(a, 15))
+elements("gamma", "list_transform(a, lambda x: pow((x - list_min(a)) / (list_max(a) - list_min(a)), 1.5) * 255)", lambda a, b: A.gamma255(a, 1.5), 4)
 elements("forward_diff", "list_transform(range(1, 65), lambda i: CASE WHEN i = 1 THEN 0.0 ELSE a[i] - a[i - 1] END)", lambda a, b: A.forward_diff(a))
 elements("gradient_sharpness", "list_transform(range(1, 65), lambda i: abs(CASE WHEN i = 1 THEN a[2] - a[1] WHEN i = 64 THEN a[64] - a[63] ELSE (a[i + 1] - a[i - 1]) / 2 END))", lambda a, b: F.transform(A.gradient(a), lambda x: F.abs(x)))
 elements("center_slice", "a[17:48]", lambda a, b: A.center_slice(a, 32))
@@ -156,6 +161,34 @@ kernel("blend_identity", lambda a: {"worst": float(np.abs(K.blend(a, 2, 1) - a).
 kernel("audit_derived", lambda a: {"hf025": K.hf_energy(a), "f99": [K.axis_f99(a, k) for k in range(3)], "cliff": K.band_power(a, 0.25, 0.3) / max(K.band_power(a, 0.2, 0.25), 1e-12)}, "hf025 double, f99 array<double>, cliff double")
 
 
+for method in T.METHODS:
+    kernel(f"resample_{method}", lambda a, method=method: {"values": T.resample(a, (1, 1, 1), (0.5, 0.8, 2), method).ravel().tolist()}, "values array<double>")
+kernel("conform_spacing", lambda a: {"values": T.resample(a, (1, 1, 1), (0.8, 0.8, 0.8), "bspline", centred=True).ravel().tolist()}, "values array<double>")
+kernel("rotate", lambda a: {"values": T.rotate(a, (10, -20, 90)).ravel().tolist()}, "values array<double>")
+kernel("translate", lambda a: {"values": T.translate(a, (1, -2, 0)).ravel().tolist()}, "values array<double>")
+kernel("regrid_affine", lambda a: {"affine": T.regrid(np.diag([*(1 + np.abs(a[0, 0, :3])), 1]), (4, 4, 4), (2, 4, 8)).ravel().tolist()}, "affine array<double>")
+kernel("crop_kspace", lambda a: {"values": T.crop_kspace(a, (0.5, 1, 1)).ravel().tolist()}, "values array<double>")
+kernel("deform", lambda a: {"values": T.deform(a, T.seeded(1, a), size=1.0).ravel().tolist()}, "values array<double>")
+kernel("sobel", lambda a: {"values": T.sobel(a).ravel().tolist()}, "values array<double>")
+kernel("laplacian", lambda a: {"values": T.laplacian(a).ravel().tolist()}, "values array<double>")
+kernel("equalise", lambda a: {"values": T.equalise(a, radius=1).ravel().tolist()}, "values array<double>")
+kernel("random_crop", lambda a: dict(zip(("start", "share"), T.random_crop(a, (2, 2, 2), T.seeded(2, a)))), "start array<int>, share double")
+kernel("confidence_crop", lambda a: {"start": T.confidence_crop(a > np.percentile(a, 80), (2, 2, 2), T.seeded(3, a))}, "start array<int>")
+kernel("crop_background", lambda a: {"values": T.crop_background(a, (2, 2, 3), float(np.median(a))).ravel().tolist()}, "values array<double>")
+kernel("augment", lambda a: dict(zip(("change", "values"), (lambda n, v: (n, v.ravel().tolist()))(*T.augment(a, T.seeded(4, a))))), "change string, values array<double>")
+kernel("augment_pair", lambda a: dict(zip(("input", "target"), (v.ravel().tolist() for v in T.augment_pair(K.degrade(a, (2, 2, 2))["up"], a, T.seeded(5, a))))), "input array<double>, target array<double>")
+kernel("random_degrade", lambda a: {"values": T.random_degrade(a, T.seeded(6, a)).ravel().tolist()}, "values array<double>")
+kernel("all_metrics", lambda a: T.all_metrics(K.degrade(a, (2, 2, 2))["up"], a, K.foreground(a)), ", ".join(f"{n} double" for n in ("psnr", "mae", "rmse", "ssim", "sharpness_pred", "sharpness_target", "hf_energy_pred", "hf_energy_target", "psnr_masked", "mae_masked")))
+kernel("headroom_db", lambda a: T.headroom(a), "db double, share double")
+for kind in ("hilbert", "slices", "spiral"):
+    kernel(f"scan_{kind}", lambda a, kind=kind: {"values": a.ravel()[T.curve_order(a.shape, kind)].tolist()}, "values array<double>")
+
+
+@query("grid_crops", "WITH g AS (SELECT vec_id, x.i * 2 AS x, y.i * 2 AS y, z.i * 2 AS z FROM embeddings, range(2) x(i), range(2) y(i), range(2) z(i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY md5(concat_ws(':', 7, vec_id, x, y, z))) AS n FROM g) SELECT vec_id, x, y, z FROM r WHERE n <= 3")
+def _(spark, sf):
+    return sampling.grid_crops(table(spark, sf, "embeddings").select("vec_id"), "vec_id", (4, 4, 4), 2, 3, 7)
+
+
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(spark, sf):
     return stream.windowed(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
