@@ -73,18 +73,19 @@ def take_copies(docs: DataFrame, **options) -> DataFrame:
     the numbers of copies that these rows have in the mix each."""
     counts = mix(docs, **options)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    on = F.col("doc_id").eqNullSafe(F.col("_id"))
-    counts = counts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    n, distinct = counts.groupBy("_id").count().agg(F.sum("count"), F.count("*")).first()
+    # docs may have columns of any name, so they travel as one struct
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    counts = counts.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.col("size").alias("words"), "copies")
+    n, distinct = counts.groupBy("id").count().agg(F.sum("count"), F.count("*")).first()
     if n is None or n == distinct:
-        joined = docs.join(counts.select("_id", "_copies"), on)
+        joined = own.join(counts.select("id", "copies"), F.expr("row.doc_id <=> id"))
     else:
-        nth = F.expr("row_number() over (partition by _id, _source, _size order by _copies)")
-        counts = counts.withColumn("_nth", nth)
-        own = docs.withColumn("_z", size)
-        own = own.withColumn("_n", F.expr("row_number() over (partition by doc_id, source, _z order by doc_id)"))
-        joined = own.join(counts, on & F.expr("source <=> _source and _z = _size and _n = _nth"))
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(docs.columns)
+        counts = counts.withColumn("nth", F.expr("row_number() over (partition by id, src, words order by copies)"))
+        own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("z"))
+        own = own.withColumn("n", F.expr("row_number() over (partition by row.doc_id, row.source, z order by row.doc_id)"))
+        joined = own.join(counts, F.expr("row.doc_id <=> id and row.source <=> src and z = words and n = nth"))
+    taken = joined.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
+    return taken.select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

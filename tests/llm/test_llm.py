@@ -21,7 +21,7 @@ ODD = [(1, None, "a"), (2, "", None), (2, "", None), (3, "one", "b"), (None, "on
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns whose names clash with the operators' own."""
-    return spark.createDataFrame(ODD, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("fp", "size", "id", "node", "score", "copies", "_copies_", "n_chars", "component", "key")})
+    return spark.createDataFrame(ODD, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("fp", "size", "id", "node", "score", "copies", "_copies", "_id", "_n", "row", "nth", "words", "_gone", "_kept", "_sha", "n_chars", "component", "key")})
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
