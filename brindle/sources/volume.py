@@ -1,4 +1,4 @@
-"""A Spark data source for NIfTI-1 volumes, and text, name and table readers."""
+"""Readers and writers of NIfTI-1 volumes, of text and of tables."""
 
 from __future__ import annotations
 
@@ -32,13 +32,38 @@ def read_nifti(raw: bytes) -> tuple[list[int], list[float], np.ndarray]:
     return shape, spacing, (values * slope + shift if slope else values).ravel()
 
 
-def write_nifti(data: np.ndarray, spacing: list[float]) -> bytes:
+def read_affine(raw: bytes) -> np.ndarray:
+    """The 4 x 4 matrix from voxel indices to world coordinates: the file's own if it has one, else from its quaternion, else from spacing."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
+    by_quaternion, by_rows = struct.unpack(order + "2h", raw[252:256])
+    sizes = struct.unpack(order + "4f", raw[76:92])
+    affine = np.eye(4)
+    if by_rows > 0:
+        affine[:3] = np.array(struct.unpack(order + "12f", raw[280:328])).reshape(3, 4)
+    elif by_quaternion > 0:
+        b, c, d, *offset = struct.unpack(order + "6f", raw[256:280])
+        v = np.array([b, c, d])
+        w = np.sqrt(max(0.0, 1 - v @ v))
+        cross = np.array([[0, -d, c], [d, 0, -b], [-c, b, 0]])
+        turn = (w * w - v @ v) * np.eye(3) + 2 * np.outer(v, v) + 2 * w * cross
+        affine[:3, :3] = turn * np.array([sizes[1], sizes[2], sizes[3] * (-1 if sizes[0] < 0 else 1)])
+        affine[:3, 3] = offset
+    else:
+        affine[:3, :3] = np.diag(sizes[1:])
+    return affine
+
+
+def write_nifti(data: np.ndarray, spacing: list[float], affine: np.ndarray | None = None) -> bytes:
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
     struct.pack_into("<8h", head, 40, data.ndim, *data.shape, *[1] * (7 - data.ndim))
     struct.pack_into("<2h", head, 70, 16, 32)
     struct.pack_into("<8f", head, 76, 1.0, *spacing, *[0.0] * (7 - len(spacing)))
     struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+    if affine is not None:
+        struct.pack_into("<2h", head, 252, 0, 1)
+        struct.pack_into("<12f", head, 280, *np.asarray(affine, dtype=float)[:3].ravel())
     head[344:348] = b"n+1\0"
     return bytes(head) + data.astype("<f4").ravel(order="F").tobytes()
 
