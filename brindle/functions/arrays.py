@@ -134,3 +134,21 @@ def mass_center(a: Column, share: float = 0.1) -> Column:
 
 def product(a: Column) -> Column:
     return F.aggregate(a, F.lit(1.0), lambda s, x: s * x)
+
+
+def statistical255(a: Column, sigmas: float) -> Column:
+    """The window of so many standard deviations about the mean, scaled to 0 to 255; a flat array gives 127.5."""
+    m = mean(a)
+    sd = F.sqrt(F.greatest(mean(F.transform(a, lambda x: x * x)) - m * m, F.lit(0.0)))
+    half = F.lit(sigmas) * sd
+    return F.transform(a, lambda x: F.when(half > 0, F.least(F.lit(255.0), F.greatest(F.lit(0.0), (x - m + half) / (2 * half) * 255))).otherwise(F.lit(127.5)))
+
+
+def example(a: Column) -> Column:
+    """Values of 0 to 255 as a network takes them: magnitudes, from -1 to 1."""
+    return F.transform(a, lambda x: (F.abs(x) - 127.5) / 127.5)
+
+
+def cross_entropy(logits: Column, label: int) -> Column:
+    """Mean cross-entropy of logits against one label, 0 or 1."""
+    return mean(F.transform(logits, lambda x: F.log1p(F.exp(-x if label else x))))

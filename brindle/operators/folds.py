@@ -67,3 +67,27 @@ def rotate(assigned: DataFrame, k: int) -> DataFrame:
     rounds = assigned.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     split = F.when(F.col("fold") == F.col("round"), "test").when(F.col("fold") == F.pmod(F.col("round") + 1, F.lit(k)), "val").otherwise("train")
     return rounds.withColumn("split", split)
+
+
+def dev_split(df: DataFrame, group: str, stratum: str, test: dict[str, int], val: dict[str, int]) -> DataFrame:
+    """(group, split): test by quotas, val by quotas from what is left, and the rest train; a group is in one split only."""
+    first = quota_split(df, group, stratum, test).withColumn("split", F.lit("test"))
+    rest = df.join(first, group, "left_anti")
+    second = quota_split(rest, group, stratum, val).withColumn("split", F.lit("val"))
+    taken = first.unionByName(second).drop("taken")
+    return df.select(group).distinct().join(taken, group, "left").select(group, F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def carve(df: DataFrame, assigned: DataFrame, group: str, stratum: str, k: int, share: float) -> DataFrame:
+    """(group, round, split): in each of k rounds the round's fold of assigned (group, fold) is test; val is taken from the rest
+    by quotas of so large a share of each stratum, rounded to even."""
+    out = None
+    for i in range(k):
+        test = assigned.where(F.col("fold") == i).select(group)
+        pool = df.join(test, group, "left_anti")
+        quotas = {r[stratum]: round(share * r["count"]) for r in pool.groupBy(stratum).count().collect()}  # a row a stratum
+        val = quota_split(pool, group, stratum, quotas).select(group, F.lit("val").alias("split"))
+        named = test.select(group, F.lit("test").alias("split")).unionByName(val)
+        one = df.select(group).distinct().join(named, group, "left").select(group, F.lit(i).alias("round"), F.coalesce("split", F.lit("train")).alias("split"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,28 @@ def grid_crops(df: DataFrame, key: str, shape: tuple[int, int, int], step: int,
     axes = [F.transform(F.sequence(F.lit(0), F.lit(n - step), F.lit(step)), lambda v: v.cast("long")) for n in shape]
     starts = F.flatten(F.transform(axes[0], lambda x: F.flatten(F.transform(axes[1], lambda y: F.transform(axes[2], lambda z: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), x, y, z)).alias("h"), x.alias("x"), y.alias("y"), z.alias("z")))))))
     return df.select(key, F.explode(F.slice(F.array_sort(starts), 1, repeats)).alias("s")).select(key, "s.x", "s.y", "s.z")
+
+
+def stable_seed(*parts) -> Column:
+    """A number below 2^32 that depends on the parts' text forms alone, the same in every run, partitioning and language."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
+def shuffled_places(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds name, the place from 0 of each row in the order of its key's MD5 (repeats of a key after one another).
+
+    Counted in 65,536 cells of MD5: a window over the cells' counts, then one within each cell, so no task holds all rows.
+    """
+    t = df.withColumn("_md", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))).withColumn("_cell", F.substring("_md", 1, 4))
+    sums = t.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy().orderBy("_cell")) - F.col("_n"))
+    within = F.row_number().over(Window.partitionBy("_cell").orderBy("_md", key))
+    placed = t.withColumn("_within", within).join(F.broadcast(sums), "_cell")  # 65,536 rows at most
+    return placed.withColumn(name, F.col("_before") + F.col("_within") - 1).select(*df.columns, name)
+
+
+def random_pairs(left: DataFrame, right: DataFrame, a: str, b: str, seed: int) -> DataFrame:
+    """a, b: each row of left with a row of right, drawn uniformly by a hash of seed and a. No rows if right has none."""
+    places = shuffled_places(right.select(b), b, "_place")
+    n = right.agg(F.count("*").alias("_n"))  # one row
+    drawn = left.select(a).crossJoin(F.broadcast(n)).where("_n > 0").withColumn("_place", F.pmod(stable_seed(F.lit(seed), F.col(a)), F.col("_n")))
+    return drawn.join(places, "_place").select(a, b)

@@ -60,3 +60,19 @@ def test_source_round_trip(spark, tmp_path):
     assert not any(got["v4"]["data"]) and np.allclose(got["z"]["data"], A.ravel())
     df.write.format("nifti").mode("overwrite").save(out)
     assert spark.read.format("nifti").load(out).where("stem = 'v4' and data[0] > 4").count() == 1
+
+
+def test_dev_split_and_carve(spark):
+    from brindle.operators import folds, sampling
+
+    df = spark.createDataFrame([(g, "ab"[(g + i) % 2]) for g in range(20) for i in range(3)], "g long, s string")
+    rows = {r["g"]: r["split"] for r in folds.dev_split(df, "g", "s", {"a": 6, "b": 6}, {"a": 3, "b": 3}).collect()}
+    sizes = {x: list(rows.values()).count(x) for x in ("test", "val", "train")}
+    assert len(rows) == 20 and sizes["test"] == 4 and sizes["val"] == 2 and sizes["train"] == 14
+    assigned = df.select("g").distinct().withColumn("fold", (F.col("g") % 4).cast("int"))
+    got = folds.carve(df, assigned, "g", "s", 4, 0.2).collect()
+    assert len(got) == 80 and len({(r["g"], r["round"]) for r in got}) == 80
+    assert all((r["split"] == "test") == (r["g"] % 4 == r["round"]) for r in got) and {r["split"] for r in got} == {"test", "val", "train"}
+    odd = spark.createDataFrame([(None,), (1,), (1,), (2,)], "k long")
+    assert sorted(r["p"] for r in sampling.shuffled_places(odd, "k", "p").collect()) == [0, 1, 2, 3]
+    assert sampling.random_pairs(odd.withColumnRenamed("k", "a"), odd.where("k > 9").withColumnRenamed("k", "b"), "a", "b", 1).count() == 0
