@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import in_order
+
 
 def pair_inner(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
@@ -16,9 +18,10 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, name: str, by: str | None, *order) -> DataFrame:
-    """Adds pos, the place from 0 in the given order, within the groups of by (None: of all rows, in one task)."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    """Adds name, the place from 0 in the given order, within the groups of by (None: of all rows, see in_order)."""
+    if by is None:
+        return in_order(df, list(order), name)
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
 
 
 def pair_by_place(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import in_order
+
 
 def balance_weights(df: DataFrame, label: str, power: float, cap: float | None = None) -> DataFrame:
     """label, n, weight = (1 / n)^power, at most cap times the smallest, and share, the part of the draws that it expects."""
@@ -31,8 +33,7 @@ def cap_shares(groups: DataFrame, group: str, weight: str, cap: float) -> DataFr
 
 def even_draws(weighted: DataFrame, key: str, weight: str, draws: int) -> DataFrame:
     """key, times: how many of the points (i + 0.5) / draws fall into the key's stretch of the summed weights."""
-    w = Window.partitionBy().orderBy(key)
-    t = weighted.withColumn("hi", F.sum(weight).over(w)).withColumn("total", F.sum(weight).over(Window.partitionBy()))
+    t = in_order(weighted, [key], "_place", weight).withColumnsRenamed({"until": "hi"})
     edge = lambda c: F.ceil(c / F.col("total") * draws - 0.5)
     return t.select(key, (edge(F.col("hi")) - edge(F.col("hi") - F.col(weight))).cast("long").alias("times"))
 

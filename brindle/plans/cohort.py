@@ -106,8 +106,8 @@ def _(spark, sf):
 
 @query("natural_sort", "SELECT c_name, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT), c_name) AS place FROM customer")
 def _(spark, sf):
-    w = Window.orderBy(N.natural_key(F.col("c_name")), "c_name")
-    return table(spark, sf, "customer").select("c_name", F.row_number().over(w).alias("place"))
+    placed = pairing.ranked(table(spark, sf, "customer").select("c_name"), "place", None, N.natural_key(F.col("c_name")), "c_name")
+    return placed.withColumn("place", F.col("place") + 1)
 
 
 @query("natural_rank", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT), s_name) - 1 AS pos FROM supplier")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import NORMAL, finite, t_values_sql, with_interval
 from ..operators import summaries as S
+from ..operators.ordering import in_order
 from .catalogue import query, table
 
 ROWS = "m AS (SELECT l_orderkey, l_linenumber, l_returnflag AS subgroup, l_orderkey % 5 AS fold, l_extendedprice / 1000 AS pred, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice * (1 - l_discount) / 1000 END AS sinc, l_quantity AS age FROM lineitem)"
@@ -117,7 +118,8 @@ def _(spark, sf):
 
 @query("audit_sorted", "SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS place FROM supplier")
 def _(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(finite(F.col("s_acctbal")).desc_nulls_last(), "s_suppkey")).alias("place"))
+    worst_first = [finite(F.col("s_acctbal")).desc_nulls_last(), F.col("s_suppkey")]
+    return in_order(table(spark, sf, "supplier"), worst_first, "place").select("s_suppkey", (F.col("place") + 1).alias("place"))
 
 
 @query("arg_best", "SELECT c_nationkey, max_by(c_custkey, c_acctbal) AS most, min_by(c_custkey, c_acctbal) AS least FROM customer GROUP BY 1")

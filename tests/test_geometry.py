@@ -76,3 +76,17 @@ def test_dev_split_and_carve(spark):
     odd = spark.createDataFrame([(None,), (1,), (1,), (2,)], "k long")
     assert sorted(r["p"] for r in sampling.shuffled_places(odd, "k", "p").collect()) == [0, 1, 2, 3]
     assert sampling.random_pairs(odd.withColumnRenamed("k", "a"), odd.where("k > 9").withColumnRenamed("k", "b"), "a", "b", 1).count() == 0
+
+
+def test_places_over_many_ranges(spark):
+    from brindle.operators.ordering import in_order
+
+    df = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5003).alias("k"), F.lit("x").alias("place_"))
+    rows = in_order(df.withColumn("w", F.col("k") % 3 + 0.5), ["k"], "p", "w").collect()
+    run = 0.0
+    for i, r in enumerate(sorted(rows, key=lambda r: r["k"])):
+        run += r["w"]
+        assert r["p"] == i and abs(r["until"] - run) < 1e-6
+    assert abs(rows[0]["total"] - run) < 1e-6
+    assert [r["p"] for r in sorted(in_order(df, [F.desc("k")], "p").collect(), key=lambda r: -r["k"])] == list(range(5000))
+    assert in_order(df.where("k < 0"), ["k"], "p").count() == 0
