@@ -11,13 +11,13 @@ No link is lost: both rules follow from the metric.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batched, keep, table, words_of
@@ -164,21 +164,20 @@ def _links(ids: np.ndarray, key: np.ndarray, fps: np.ndarray, far: int) -> tuple
     return a_out, b_out
 
 
-def link_fingerprints(nodes: DataFrame, radius: int, far: int | None = None) -> DataFrame:
-    """Distinct links (a, b) that join the same nodes as all links do: pairs of nodes (id long, unique; fps array<long>)
-    of which some fingerprint is within radius, and all their fingerprints together within far (radius if None) bits.
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    Of a large group only the links of a shortest spanning forest are told, so their number follows the number of
-    nodes, not its square. A bucket above UNIT_ROWS rows is cut into strips, and each pair of strips is compared
-    by a unit of at most two strips, wherever it runs.
-    """
-    far = radius if far is None else far
-    keyed = _keyed(nodes, radius)
-    counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    strips = F.ceil(F.col("n") / UNIT_ROWS).cast("long")
-    shared = keyed.join(counted, "key").withColumn("s", strips).withColumn("i", F.pmod(F.xxhash64("id"), "s"))
-    units = shared.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))).select("key", (F.least("i", "j") * F.col("s") + F.greatest("i", "j")).alias("unit"), "id")
-    placed = units.join(nodes.select("id", "fps"), "id").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
+
+def _in_units(rows: DataFrame, count: str) -> DataFrame:
+    """Rows with key, id and the count of their key, each once for every unit that it belongs to: a pair of strips of its key."""
+    strips = F.ceil(F.col(count) / UNIT_ROWS).cast("long")
+    shared = rows.withColumn("s", strips).withColumn("i", F.pmod(F.xxhash64("id"), "s"))
+    return shared.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))).withColumn("unit", F.least("i", "j") * F.col("s") + F.greatest("i", "j"))
+
+
+def _by_unit(told: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable:
+    """For mapInPandas: told of whole groups of equal key and unit, of rows sorted by them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -192,14 +191,30 @@ def link_fingerprints(nodes: DataFrame, radius: int, far: int | None = None) ->
         if held is not None:
             yield from told(held)
 
+    return run
+
+
+def link_fingerprints(nodes: DataFrame, radius: int, far: int | None = None) -> DataFrame:
+    """Distinct links (a, b) that join the same nodes as all links do: pairs of nodes (id long, unique; fps array<long>)
+    of which some fingerprint is within radius, and all their fingerprints together within far (radius if None) bits.
+
+    Of a large group only the links of a shortest spanning forest are told, so their number follows the number of
+    nodes, not its square. A bucket above UNIT_ROWS rows is cut into strips, and each pair of strips is compared
+    by a unit of at most two strips, wherever it runs.
+    """
+    far = radius if far is None else far
+    keyed = _keyed(nodes, radius)
+    counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    units = _in_units(keyed.join(counted, "key"), "n").select("key", "unit", "id")
+    placed = units.join(nodes.select("id", "fps"), "id").repartition("key", "unit").sortWithinPartitions("key", "unit", "id")
+
     def told(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(x) > 1:
             fps = np.array(x["fps"].tolist(), dtype=np.int64).reshape(len(x), -1).view(np.uint64)
             a, b = _links(x["id"].to_numpy(), x[["key", "unit"]].to_numpy(), fps, far)
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            yield _pairs(a, b)
 
-    return placed.mapInPandas(run, "a long, b long").distinct()
+    return placed.mapInPandas(_by_unit(told), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
@@ -218,12 +233,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Of the stage: independent fingerprints, bits of all of them that a candidate may differ in, and the least resemblance.
-TABLES, FAR_BITS, SHINGLE, RESEMBLANCE = 4, 56, 5, 0.8
+#: Of the stage: words of a shingle and the least resemblance.
+SHINGLE, RESEMBLANCE = 5, 0.8
+#: Shingles that are told to be common: one row in so many is looked at, and so many shingles are remembered at most.
+COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 16, 8, 20_000
+#: Pairs that a task holds before it hands them on.
+PAIRS_HELD = 1 << 18
 
 
-def _word_fingerprints(text: str | None, seen: dict) -> list[int]:
-    """TABLES fingerprints of the set of words: a small edit changes few of them."""
+def _word_fingerprint(text: str | None, seen: dict) -> int:
+    """A fingerprint of the set of words: a small edit changes few of them."""
     digest = xxhash.xxh64_intdigest
     own = []
     for w in set(words_of(text)):
@@ -232,16 +251,17 @@ def _word_fingerprints(text: str | None, seen: dict) -> list[int]:
                 seen.clear()
             h = seen[w] = digest(w, 42)
         own.append(h)
-    h = np.array(own, dtype=np.uint64)
-    return [majority(_mix(h, t)) for t in range(TABLES)]
+    return majority(np.array(own, dtype=np.uint64))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Rows of docs, one of each group of copies: the one with the smallest doc_id.
 
-    Texts of equal SHA-256 are one node (its smallest doc_id). Nodes get TABLES SimHash fingerprints of their word
-    sets; pairs within 3 bits in one of them are found through pivot tables, and those kept are verified on exact
-    sets of five-word shingles: a link needs a resemblance of RESEMBLANCE. A group is a component of links.
+    A group is a component of links: pairs of texts whose sets of five-word shingles have a resemblance of RESEMBLANCE
+    or more, all of them, with none lost. Texts of equal SHA-256 are one node (its smallest doc_id). The links come in
+    rounds, each verified on the sets. The first takes pairs whose SimHash fingerprints of the word sets lie within 3
+    bits, through pivot tables, a forest of each bucket; the second takes neighbours of equal prefix keys. They join large
+    groups cheaply. The last tries every other pair that can reach RESEMBLANCE and whose ends are still in different components (prefix_pairs).
 
     Null and empty texts are copies of each other (null as empty). A row with a null doc_id stays. Rows that repeat
     a doc_id stay or go together. All columns are carried.
@@ -253,33 +273,129 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, int] = {}
         for x in batches:
-            fps = [_signed(_word_fingerprints(t, seen)).tolist() for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "_sha": x["_sha"], "fps": fps})
-
-    hashed = keep(batched(texts).mapInPandas(run, "doc_id long, _sha string, fps array<long>"), "fingerprints")
-    nodes = hashed.join(owner, "_sha").where("doc_id = id").select("id", "fps").dropDuplicates(["id"])
-    nodes = keep(nodes, "nodes")
-    pairs = keep(link_fingerprints(nodes, 3, FAR_BITS), "pairs")
-    links = verified(docs, pairs)
+            yield pd.DataFrame({"doc_id": x["doc_id"], "_sha": x["_sha"], "fp": _signed([_word_fingerprint(t, seen) for t in x["text"]])})
+
+    hashed = keep(batched(texts).mapInPandas(run, "doc_id long, _sha string, fp long"), "fingerprints")
+    nodes = hashed.join(owner, "_sha").where("doc_id = id").select("id", F.array("fp").alias("fps")).dropDuplicates(["id"])
+    sets = keep(_sets(texts.join(owner, "_sha").where("doc_id = id").dropDuplicates(["id", "_sha"])), "shingles")
+    tried = keep(link_fingerprints(keep(nodes, "nodes"), 3), "pairs")
+    links = verified(sets, tried)
+    keyed = keep(prefixes(sets), "prefixes")
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    keyed = keep(keyed.join(shared, "key"), "prefixes")
+    for steps in (8, None):
+        more = keep(prefix_pairs(keyed, connected_components(links), steps).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = keep(links.union(verified(sets, more)), "links"), tried.union(more)
     found = connected_components(links)
     gone_shas = owner.join(found, owner["id"] == found["node"], "left").select("_sha", F.coalesce("component", "id").alias("_kept"))
     gone = hashed.select("doc_id", "_sha").join(gone_shas, "_sha").where("doc_id <> _kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b: doc_ids) those whose sets of five-word shingles have a resemblance of RESEMBLANCE or more."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """id, n, sh and low for each row of texts (id, text): the hashes of its set of shingles, their number, and their distinct lowest 16 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield pd.DataFrame({"id": x["doc_id"], "sh": [np.unique(shingle_hashes(words_of(t), SHINGLE)).view(np.int64) for t in x["text"]]})
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(run, "id long, sh array<long>")
-    sets = keep(sets, "shingles")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(RESEMBLANCE) * (F.size("x") + F.size("y") - common)).select("a", "b")
+            sh = [np.unique(shingle_hashes(words_of(t), SHINGLE)).view(np.int64) for t in x["text"]]
+            yield pd.DataFrame({"id": x["id"], "n": [len(s) for s in sh], "sh": sh, "low": [np.unique(s.astype(np.int16)) for s in sh]})
+
+    return batched(texts.select("id", "text")).mapInPandas(run, "id long, n int, sh array<long>, low array<short>")
+
+
+def _prefix(sh: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of (how common, hash): one more than a set of RESEMBLANCE may lack.
+
+    Two sets that resemble each other that much share one of them, whatever the order, as long as it is one for all."""
+    if not len(sh):
+        return np.zeros(1, dtype=np.int64)  # all empty sets are equal
+    least = int(np.ceil(RESEMBLANCE * len(sh) - 1e-9))
+    rank = np.zeros(len(sh), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
+        rank = np.where(common[at] == sh, counts[at], 0)
+    return sh[np.lexsort((sh, rank))[: len(sh) - least + 1]]
+
+
+def _reachable(key: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, steps: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows a, b of equal key (rows are sorted by it) and different components whose sets may reach RESEMBLANCE if
+    this key is the first that they share: then at most what follows it in the shorter rest is shared too. With steps,
+    only rows so near to each other."""
+    starts = np.flatnonzero(np.r_[True, np.any(key[1:] != key[:-1], axis=1)])
+    sizes = np.diff(np.r_[starts, len(key)])
+    last = np.repeat(starts + sizes, sizes)
+    left, step = np.arange(len(key)), 1
+    while (steps is None or step <= steps) and len(left := left[left + step < last[left]]):
+        a, b = left, left + step
+        most = np.minimum(n[a] - place[a], n[b] - place[b])
+        may = (component[a] != component[b]) & (most + 1e-6 >= RESEMBLANCE * (n[a] + n[b] - most))
+        yield a[may], b[may]
+        step += 1
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(key, id, n, place) for each shingle of each set's prefix (_prefix): of sets (id, sh: the set's hashes) the size and the shingle's place.
+
+    The most common shingles, as a sample of the rows shows them, come last in the order, so few prefixes hold them.
+    """
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(COMMON_SAMPLE)) == 0).select(F.explode("sh").alias("sh")).groupBy("sh").count()
+    top = sample.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "sh").limit(COMMON_MOST).collect()
+    common = np.array(sorted((r["sh"], r["count"]) for r in top), dtype=np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                own = [_prefix(np.sort(s), common[:, 0], common[:, 1]) for s in x["sh"]]
+                lengths = [len(p) for p in own]
+                place = np.concatenate([np.arange(k) for k in lengths])
+                yield pd.DataFrame({"key": np.concatenate(own), "id": np.repeat(x["id"].to_numpy(), lengths), "n": np.repeat([len(s) for s in x["sh"]], lengths), "place": place})
+
+    return batched(sets).mapInPandas(run, "key long, id long, n int, place int")
+
+
+def prefix_pairs(keyed: DataFrame, found: DataFrame, steps: int | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of ids in different components that may have a resemblance of RESEMBLANCE: of prefixes and
+    the components found so far (node, component; other ids are alone). No pair that has it is left out, unless steps
+    limits how far apart its rows may lie in the order of size within a key, so that pairs don't outnumber the rows.
+
+    Keys within one component are done; a key of more than UNIT_ROWS rows is cut into strips.
+    """
+    labelled = keyed.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counted = labelled.groupBy("key").agg(F.count("*").alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "rows")
+    placed = _in_units(labelled.join(counted, "key"), "rows").select("key", "unit", "id", "n", "place", "component")
+    placed = placed.repartition("key", "unit").sortWithinPartitions("key", "unit", "n", "id")
+
+    def told(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids, a_out, b_out, held = x["id"].to_numpy(), [], [], 0
+        for a, b in _reachable(x[["key", "unit"]].to_numpy(), x["component"].to_numpy(), x["n"].to_numpy(), x["place"].to_numpy(), steps):
+            a_out.append(ids[a])
+            b_out.append(ids[b])
+            held += len(a)
+            if held > PAIRS_HELD:
+                yield _pairs(a_out, b_out)
+                a_out, b_out, held = [], [], 0
+        if held:
+            yield _pairs(a_out, b_out)
+
+    return placed.mapInPandas(_by_unit(told), "a long, b long").distinct()
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b: ids) those with sets (_sets) of a resemblance of RESEMBLANCE or more; both empty counts as equal.
+
+    The low bits, a quarter of the bytes, go first: as many hashes are shared as lowest bits at most, and as a set has
+    more of the one than of the other. What they leave is decided on the sets."""
+
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        sides = (sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(f"s{end}")) for end in "ab")
+        return pairs.join(next(sides), "a").join(next(sides), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+
+    def enough(common: Column) -> Column:
+        return common >= F.lit(RESEMBLANCE) * (F.col("na") + F.col("nb") - common)
+
+    most = F.col("common") + F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    near = keep(with_both(pairs, "low").where(enough(most)).select("a", "b").distinct(), "pairs")
+    return keep(with_both(near, "sh").where(enough(F.col("common"))).select("a", "b").distinct(), "links")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,33 @@ def test_drop_near_copies(spark, odd):
     assert simhash.drop_near_copies(odd.limit(0)).count() == 0
 
 
+def _resemblance(a, b):
+    x, y = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_drop_near_copies_of_each_kind_of_edit(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(30_000)}"
+    kinds = {
+        "append": lambda t, k: t + [word() for _ in range(k)],
+        "cut": lambda t, k: t[:-k],
+        "prepend": lambda t, k: [word() for _ in range(k)] + t,
+        "replace": lambda t, k: t[:60] + [word() for _ in range(k // 2)] + t[60 + k // 2 :],
+        "scatter": lambda t, k: [word() if i % 50 == 7 else w for i, w in enumerate(t)],
+    }
+    rows, twin = [], {}
+    for kind, edit in kinds.items():
+        for share in (0.1, 0.15, 0.19):
+            for _ in range(8):
+                text = [word() for _ in range(rng.randint(120, 300))]
+                rows += [" ".join(text), " ".join(edit(text, int(share * len(text))))]
+                twin[len(rows) - 1] = kind
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert kept == {i for i in range(len(rows)) if i not in twin or _resemblance(rows[i - 1], rows[i]) < 0.8}
+    assert len(rows) - len(kept) > 100
+
+
 def test_importance(spark, odd):
     rng = random.Random(6)
     good, bad = "river stone cloud garden winter music".split(), "$$$ ### buy!! win!! click!!".split()
