@@ -156,6 +156,17 @@ def test_drop_near_copies_of_each_kind_of_edit(spark):
     assert len(rows) - len(kept) > 100
 
 
+def test_drop_near_copies_behind_links_that_fail(spark):
+    rng = random.Random(13)
+    lines = [" ".join(f"w{rng.randrange(30_000)}" for _ in range(6)) for _ in range(40)]
+    orders = [rng.sample(lines, len(lines)) for _ in range(6)]
+    first, second = " ".join(lines), " ".join([*lines[:-1], lines[-1] + " more"])
+    docs = [*(" ".join(x) for x in orders), first, second]
+    assert _resemblance(first, second) > 0.95 and all(_resemblance(x, y) < 0.8 for x in docs[:6] for y in (first, second))
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(7))
+
+
 def test_importance(spark, odd):
     rng = random.Random(6)
     good, bad = "river stone cloud garden winter music".split(), "$$$ ### buy!! win!! click!!".split()
