@@ -23,16 +23,28 @@ THRESHOLD = 0.3
 #: Neutral subwords that each text is averaged with, so that a few words alone decide little.
 PADDING = 200
 MOST_WORDS = 250_000
+#: A word of more characters is scored in chunks of so many, and not remembered.
+LONG_WORD = 200
 
 
 def subwords(word: str) -> list[int]:
     """Buckets of the word's character n-grams between < and >, and of the whole word."""
-    marked = f"<{word[:200]}>"
+    marked = f"<{word}>"
     crc = zlib.crc32
     grams = [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
     return [crc(g.encode()) % BUCKETS for g in grams] + [crc(marked.encode(), 1) % BUCKETS]
 
 
+def subword_chunks(word: str) -> Iterator[list[int]]:
+    """The buckets of subwords, in chunks: those of the n-grams that begin in each LONG_WORD characters, then the whole word's."""
+    marked = f"<{word}>"
+    crc = zlib.crc32
+    for start in range(0, len(marked), LONG_WORD):
+        part = marked[start : start + LONG_WORD + LONGEST - 1]  # n-grams may end in the next chunk
+        yield [crc(part[i : i + n].encode()) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(min(LONG_WORD, len(part) - n + 1))]
+    yield [crc(marked.encode(), 1) % BUCKETS]
+
+
 def tokens(text: str | None) -> list[str]:
     """The distinct words of a text, in order, so that sums don't depend on the process."""
     return list(dict.fromkeys(text.lower().split())) if text else []
@@ -65,8 +77,10 @@ class _Words(dict):
         self.effect = effect
 
     def __missing__(self, word: str) -> complex:
-        ids = subwords(word)
         effect = self.effect
+        if len(word) > LONG_WORD:
+            return sum((complex(sum([effect[i] for i in ids]), len(ids)) for ids in subword_chunks(word)), 0j)
+        ids = subwords(word)
         self[word] = value = complex(sum([effect[i] for i in ids]), len(ids))
         return value
 
@@ -81,9 +95,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     for text in texts:
         own = tokens(text)
         for w in own:
-            if w not in known:
+            if w not in known and len(w) <= LONG_WORD:
                 known[w] = np.array(subwords(w), dtype=np.int32)
-        ids = np.concatenate([known[w] for w in own]) if own else np.zeros(0, dtype=np.int32)
+        parts = (known[w] if len(w) <= LONG_WORD else np.concatenate([np.array(ids, dtype=np.int32) for ids in subword_chunks(w)]) for w in own)
+        ids = np.concatenate(list(parts)) if own else np.zeros(0, dtype=np.int32)
         uniq, times = np.unique(ids, return_counts=True)
         bags.append(uniq if own else np.zeros(1, dtype=np.int32))
         counts.append((times / (len(ids) + PADDING)).astype(np.float32) if own else np.zeros(1, dtype=np.float32))

@@ -276,6 +276,19 @@ def test_toxicity_learns_subwords(spark, odd):
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held)
 
 
+def test_toxicity_reads_long_words_whole():
+    rng = random.Random(12)
+    plain, bad = [f"{rng.choice('bdgklm')}{rng.choice('aeiou')}{rng.choice('nrst')}{rng.choice('aeiou')}" for _ in range(300)], ["horrible", "disgusting", "pathetic"]
+    make = lambda t: "_".join(rng.choices(plain, k=60) + [rng.choice(bad) for _ in range(20 * t)])
+    y = [i % 2 for i in range(400)]
+    scorer = toxicity.Scorer(toxicity.train([make(t) for t in y], y))
+    assert all(len(make(0)) > 200 for _ in range(9)) and sum((scorer.score(make(t)) >= 0.3) == t for t in y) >= 380
+    assert not any(len(w) > toxicity.LONG_WORD for w in scorer.words)
+    for n in (1, 2, 198, 199, 200, 201, 203, 205, 397, 398, 399, 400, 401, 405, 2000):
+        word = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+        assert sorted(sum(toxicity.subword_chunks(word), [])) == sorted(toxicity.subwords(word))
+
+
 def test_mixing_cells_and_targets(spark, odd):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * rng.choice([1, 5, 50])), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(900)]
