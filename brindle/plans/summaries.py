@@ -37,6 +37,12 @@ def _(spark, sf):
     return rounded(with_interval(g), "mean", "sd", "hw")
 
 
+@query("ci95_all", "WITH " + ROWS + ", g AS (SELECT fold, subgroup, count(sinc) AS n, avg(sinc) AS mean, stddev_samp(sinc) AS sd FROM m GROUP BY 1, 2) SELECT fold, subgroup, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(" + HW + ", 5) AS hw FROM g" + T)
+def _(spark, sf):
+    g = rows(spark, sf).withColumn("v", finite(F.col("sinc"))).groupBy("fold", "subgroup").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    return rounded(with_interval(g), "mean", "sd", "hw")
+
+
 @query("paired_delta", "WITH " + ROWS + ", g AS (SELECT fold, count(*) AS n, avg(pred - sinc) AS mean, stddev_samp(pred - sinc) AS sd FROM m WHERE sinc IS NOT NULL GROUP BY 1) SELECT fold, n, round(mean, 5) AS mean, round(" + HW + ", 6) AS hw FROM g" + T)
 def _(spark, sf):
     d = rows(spark, sf).withColumn("d", finite(F.col("pred")) - finite(F.col("sinc"))).where("d is not null")

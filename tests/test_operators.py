@@ -3,11 +3,13 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.conftest import SF
 
 from brindle.functions import arrays as A
 from brindle.functions import names as N
-from brindle.functions.stats import t_critical
+from brindle.functions.stats import finite, t_critical, with_interval
 from brindle.operators import folds, kernels, sampling
+from brindle.plans.catalogue import QUERIES
 from brindle.sources import volume
 from brindle.streaming import stream
 
@@ -17,6 +19,20 @@ def test_t_critical_against_published_values():
         assert t_critical(df) == pytest.approx(want, abs=6e-4)
 
 
+def test_intervals_of_few_values(spark):
+    values = [("none", float("nan")), ("one", 2.0), ("one", float("inf")), ("two", 1.0), ("two", 3.0), ("three", 1.0), ("three", 2.0), ("three", 6.0)]
+    v = spark.createDataFrame(values, "g string, x double").withColumn("x", finite(F.col("x")))
+    g = v.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    got = {r["g"]: (r["n"], r["mean"], r["hw"]) for r in with_interval(g).collect()}
+    assert got["none"] == (0, None, None) and got["one"] == (1, 2.0, None)
+    assert got["two"] == (2, 2.0, pytest.approx(12.7062, abs=1e-3)) and got["three"] == (3, 3.0, pytest.approx(4.30265 * 7**0.5 / 3**0.5, abs=1e-4))
+
+
+def test_ci95_all_takes_every_finite_row(spark):
+    finite_rows = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_linenumber <> 7").count()
+    assert QUERIES["ci95_all"](spark, SF).agg(F.sum("n")).first()[0] == finite_rows
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("/a/b/12345_02_2.2_t1w.nii.gz",), ("x_01_0.5y_T1w.NII",), ("a__1_t1w.mha",), ("one_two_three",), ("9_1_06mo_t2w",)], "p string")
     s = rows.select(N.strip_ext(F.col("p")).alias("s"))
