@@ -126,7 +126,7 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The image that begins at a byte of data, and where it ends: size, tables, components, restart interval, and entropy-coded intervals."""
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no JPEG begins here")
-    image: dict = {"quant": {}, "dc": {}, "ac": {}, "restart": 0}
+    image: dict = {"quant": {}, "dc": {}, "ac": {}, "tables": {}, "restart": 0}
     at += 2
     while True:
         if data[at] != 0xFF:
@@ -144,11 +144,13 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
             while body:
                 wide = body[0] >> 4
                 image["quant"][body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")  # of the DC
+                image["tables"]["quant", body[0] & 15] = body[1 : 2 + wide]
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC4:
             while body:
                 counts = list(body[1:17])
                 image["ac" if body[0] >> 4 else "dc"][body[0] & 15] = lookup(counts, list(body[17 : 17 + sum(counts)]))
+                image["tables"]["ac" if body[0] >> 4 else "dc", body[0] & 15] = body[1 : 17 + sum(counts)]
                 body = body[17 + sum(counts) :]
         elif marker in (0xC0, 0xC1):
             if body[0] != 8:
@@ -254,8 +256,7 @@ def read(stored: list[bytes]) -> list[list[np.ndarray]]:
             owner.append(i)
     groups: dict[tuple, list[int]] = {}
     for n, x in enumerate(images):
-        tables = tuple((k, i, t.tobytes() if isinstance(t, np.ndarray) else t) for k in ("quant", "dc", "ac") for i, t in sorted(x[k].items())) if len(images) < 50 else id(None)
-        groups.setdefault((hash(tables), tuple(x["parts"].items()), tuple(x["scan"]), x["restart"] or -n), []).append(n)
+        groups.setdefault((tuple(sorted(x["tables"].items())), tuple(x["parts"].items()), tuple(x["scan"]), x["restart"] or -n), []).append(n)
     out: list[list] = [[] for _ in stored]
     thumbs: dict[int, np.ndarray] = {}
     for members in groups.values():

@@ -374,6 +374,17 @@ def test_jpeg_with_ac_coefficients_and_no_restarts():
     assert thumb.tolist() == [[128 + 5, 128 + 5 - 3]]
 
 
+@pytest.mark.parametrize("copies", [1, 60])
+def test_jpeg_tables_of_each_image(copies):
+    """The same bytes with another quantisation table beside them: each is read by its own."""
+    (one,) = jpeg_media.store([bytes(range(64))])
+    at = one.index(b"\xff\xdb") + 5  # the DC entry
+    other = one[:at] + bytes([one[at] // 2]) + one[at + 1 :]
+    alone = [jpeg_media.read([x])[0][0].tolist() for x in (one, other)]
+    assert alone[0] != alone[1]
+    assert [x[0].tolist() for x in jpeg_media.read([one, other] * copies)] == alone * copies
+
+
 def test_average_hash():
     ramp = np.add.outer(np.arange(16), np.arange(16)).astype(np.uint8)
     assert jpeg_media.average_hash(ramp) == jpeg_media.average_hash(ramp.repeat(2, 0).repeat(2, 1)) != jpeg_media.average_hash(ramp[::-1])
