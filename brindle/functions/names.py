@@ -62,9 +62,14 @@ def age_number(token: Column) -> Column:
     return F.nullif(F.regexp_extract(token, AGE, 0), F.lit("")).try_cast("double")
 
 
+def _by_value(digits: Column) -> Column:
+    """Sorts digits without leading zeros by their number, then by themselves."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(name: Column) -> Column:
     """Sorts names so that runs of digits compare by value."""
-    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d+$"), F.lpad(t, 20, "0")).otherwise(t))
+    return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d+$"), _by_value(F.regexp_replace(t, "^0+", ""))).otherwise(t))
 
 
 def matches_any(name: Column, patterns: list[str]) -> Column:

@@ -49,7 +49,7 @@ def first_missing(inputs: DataFrame, targets: DataFrame, predictions: DataFrame,
 def reconcile_shapes(have: DataFrame, want: DataFrame, prefix: str = "module.") -> DataFrame:
     """Full outer match of (name, shape) tables: loaded, shape_mismatch, unexpected or missing. A prefix goes if all names have it."""
     every = have.agg(F.bool_and(F.col("name").startswith(prefix)).alias("_all"))
-    bare = have.crossJoin(F.broadcast(every)).select(F.when(F.col("_all"), F.substring("name", len(prefix) + 1, 10_000)).otherwise(F.col("name")).alias("name"), F.col("shape").alias("have_shape"))  # one row is broadcast
+    bare = have.crossJoin(F.broadcast(every)).select(F.when(F.col("_all"), F.substring("name", F.lit(len(prefix) + 1), F.length("name"))).otherwise(F.col("name")).alias("name"), F.col("shape").alias("have_shape"))  # one row is broadcast
     both = bare.join(want.select("name", F.col("shape").alias("want_shape")), "name", "full_outer")
     status = F.when(F.col("want_shape").isNull(), "unexpected").when(F.col("have_shape").isNull(), "missing").when(F.col("have_shape") == F.col("want_shape"), "loaded").otherwise("shape_mismatch")
     return both.withColumn("status", status)

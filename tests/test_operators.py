@@ -8,7 +8,7 @@ from tests.conftest import SF
 from brindle.functions import arrays as A
 from brindle.functions import names as N
 from brindle.functions.stats import finite, t_critical, with_interval
-from brindle.operators import folds, kernels, sampling
+from brindle.operators import folds, kernels, pairing, sampling
 from brindle.plans.catalogue import QUERIES
 from brindle.sources import volume
 from brindle.streaming import stream
@@ -33,6 +33,14 @@ def test_ci95_all_takes_every_finite_row(spark):
     assert QUERIES["ci95_all"](spark, SF).agg(F.sum("n")).first()[0] == finite_rows
 
 
+def test_long_names_whole(spark):
+    names = spark.createDataFrame([("a1" + "0" * 25,), ("a2" + "0" * 24,), ("a007",), ("a10",)], "n string")
+    assert [r[0] for r in names.orderBy(N.natural_key(F.col("n"))).collect()] == ["a007", "a10", "a2" + "0" * 24, "a1" + "0" * 25]
+    long = "x" * 10_000
+    have, want = (spark.createDataFrame([(p + long + "a", "1")], "name string, shape string") for p in ("module.", ""))
+    assert [r["status"] for r in pairing.reconcile_shapes(have, want).collect()] == ["loaded"]
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("/a/b/12345_02_2.2_t1w.nii.gz",), ("x_01_0.5y_T1w.NII",), ("a__1_t1w.mha",), ("one_two_three",), ("9_1_06mo_t2w",)], "p string")
     s = rows.select(N.strip_ext(F.col("p")).alias("s"))
