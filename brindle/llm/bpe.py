@@ -5,8 +5,9 @@ neighbours do (Berglund, Martens and van der Merwe, "Constructing a BPE Tokeniza
 nondeterministic transducer reads bytes, walks the trie of tokens, and at the end of a token may tell it and start
 another that the last one may stand beside. It is determinised lazily by subsets (Mohri, 1997): a state is the set of
 (last token, place in the trie, tokens told later than the state's own), and a transition tells what all of its
-hypotheses agree on. Hypotheses that no token continues drop out, so a token is told after a bounded lookahead.
-States and transitions are made when first met and forgotten together beyond a limit.
+hypotheses agree on. Hypotheses that no token continues drop out, so a token is told after a bounded lookahead. Where few
+tokens are to come, a hypothesis that none of them fits is dropped at once, and one that all fit forgets its last token, so
+states are few. States and transitions are made when first met and forgotten together beyond a limit.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,11 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batched, table
+from .common import batched, sliced, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Transitions, neighbour verdicts and pieces kept in a worker; beyond, they are forgotten and made again.
-MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 300_000, 300_000, 700_000
+#: Transitions and neighbour verdicts kept in a worker; beyond, they are forgotten and made again. Of pieces, so many and as many of the time before.
+MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 400_000, 200_000, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +47,10 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+#: Of a place in the trie with up to this many tokens to come, hypotheses are looked at ahead.
+FEW = 8
+
+
 class Transducer:
     """The encoder of single pieces for a vocabulary of ranks."""
 
@@ -66,19 +71,26 @@ class Transducer:
                     self.ends.append(-1)
                 at = nxt
             self.ends[at] = i
+        self.below: list[tuple[int, ...] | None] = [None] * len(self.trie)  # the tokens that end at a node or beneath, if few
+        for at in range(len(self.trie) - 1, -1, -1):  # children have larger numbers
+            own = (self.ends[at],) if self.ends[at] >= 0 else ()
+            under = [self.below[c] for c in self.trie[at].values()]
+            if None not in under and len(found := sum(under, own)) <= FEW:
+                self.below[at] = found
         self.halves: dict[int, tuple[int, int]] = {}  # what the last merge of a token joins; of a byte, itself twice
         for t, i in ranks.items():
             cuts = [(max(x, y), x, y) for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
             self.halves[i] = (i, i) if len(t) == 1 else next(((x, y) for _, x, y in sorted(cuts) if self._apart(x, y, i)), (-1, -1))
+        self.packed = {i: i.to_bytes(4, "little") for i in self.token}
         self.beside: dict[tuple[int, int], bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Drops all states but the first; made counts transitions."""
+        """Drops all states but the first."""
         self.states: list[tuple] = [((-1, 0, ()),)]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.made = 0
+        self.moves: dict[int, tuple[int, bytes]] = {}  # 256 x state + byte: 256 x the next state, packed tokens told
+        self.ends_as: dict[int, bytes] = {}  # 256 x state: what is still owed when the piece ends
 
     def _apart(self, a: int, b: int, whole: int) -> bool:
         """Whether merges of a rank below whole leave a and b apart, so that the merge into whole joins them."""
@@ -116,7 +128,12 @@ class Transducer:
         hyps, open_ = [], first is not None
         for last, node, owed in state:
             if (child := trie[node].get(byte)) is not None:
-                hyps.append((last, child, owed))
+                if last >= 0 and (few := self.below[child]) is not None:
+                    fits = sum([self.neighbours(last, t) for t in few])
+                    if fits:  # else nothing that comes may stand there
+                        hyps.append((-1 if fits == len(few) else last, child, owed))  # if all may, the states of all such last tokens are one
+                else:
+                    hyps.append((last, child, owed))
             if open_ and (t := ends[node]) >= 0 and self.neighbours(last, t):
                 hyps.append((t, first, (*owed, t)))
                 open_ = False  # what was read has one encoding, so no other hypothesis ends a token here
@@ -141,35 +158,47 @@ class Transducer:
             raise ValueError(f"{len(left)} encodings at the end of a piece")
         return left[0]
 
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """The tokens of a piece, told as its bytes come."""
-        number, moves = 0, self.moves
-        for byte in data:
-            move = moves[number].get(byte)
-            if move is None:
-                move = self._move(number, byte)
-            number, told = move
-            if told:
-                yield from told
-        if number:
-            yield from self.finish(self.states[number])
-
-    def _move(self, number: int, byte: int) -> tuple[int, tuple]:
-        state, told = self.step(self.states[number], byte)
+    def _move(self, at: int, byte: int) -> tuple[int, bytes]:
+        state, told = self.step(self.states[at >> 8], byte)
         to = self.numbers.get(state)
         if to is None:
             to = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
-        self.made += 1
-        self.moves[number][byte] = to, told
-        return to, told
+        move = self.moves[at | byte] = to << 8, b"".join([self.packed[t] for t in told])
+        return move
 
-    def encode(self, piece: bytes) -> list[int]:
+    def _end(self, at: int) -> bytes:
+        owed = self.ends_as[at] = b"".join([self.packed[t] for t in self.finish(self.states[at >> 8])])
+        return owed
+
+    def stream(self, data: Iterable[int]) -> Iterator[bytes]:
+        """The packed tokens of a piece, told as its bytes come."""
+        at, moves = 0, self.moves
+        for byte in data:
+            at, told = moves.get(at | byte) or self._move(at, byte)
+            if told:
+                yield told
+        if at:
+            yield self.ends_as.get(at) or self._end(at)
+
+    def encode_packed(self, piece: bytes) -> bytes:
+        """The ids of a piece as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(piece)
-        if self.made > self.most:
+        if whole is not None:
+            return self.packed[whole]
+        if len(self.moves) > self.most:
             self.forget()
-        return [whole] if whole is not None else list(self.stream(piece))
+        at, out, find = 0, [], self.moves.get  # what stream does, without a generator for each piece
+        for byte in piece:
+            at, told = find(at | byte) or self._move(at, byte)
+            if told:
+                out.append(told)
+        if at:
+            out.append(self.ends_as.get(at) or self._end(at))
+        return b"".join(out)
+
+    def encode(self, piece: bytes) -> list[int]:
+        return np.frombuffer(self.encode_packed(piece), dtype="<u4").tolist()
 
 
 class Encoder:
@@ -183,7 +212,7 @@ class Encoder:
         if not text:
             return b""
         if len(self.known) > MOST_PIECES:
-            self.known.clear()
+            self.known = _Known(self, self.known)
         return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str | None) -> list[int]:
@@ -194,11 +223,17 @@ class Encoder:
 
 
 class _Known(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    """Pieces and their packed ids; a piece that the table before this one knew is moved here when it comes again."""
+
+    def __init__(self, encoder: Encoder, before: _Known | None = None):
+        self.encoder, self.before = encoder, {} if before is None else before
+        if before is not None:
+            before.before = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.transducer.encode(piece.encode()), dtype="<u4").tobytes()
+        ids = self.before.pop(piece, None)
+        if ids is None:
+            ids = self.encoder.transducer.encode_packed(piece.encode())
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -215,8 +250,25 @@ class Utf8Decoder:
         self.need, self.value, self.low, self.high = 0, 0, 0x80, 0xBF
 
     def feed(self, chunk: bytes) -> str:
-        if not self.need and chunk.isascii():
-            return chunk.decode("ascii")
+        if self.need:
+            return self._steps(chunk)
+        cut = len(chunk) - self._open(chunk)
+        try:  # between characters, well-formed ones pass the machine at once
+            return chunk[:cut].decode() + self._steps(chunk[cut:])
+        except UnicodeDecodeError:
+            return self._steps(chunk)
+
+    @staticmethod
+    def _open(chunk: bytes) -> int:
+        """The bytes at the end that begin a character and don't finish it."""
+        for k, b in enumerate(reversed(chunk[-3:]), 1):
+            if b >= 0xC0:
+                return k if k < 2 + (b >= 0xE0) + (b >= 0xF0) else 0
+            if b < 0x80:
+                break
+        return 0
+
+    def _steps(self, chunk: bytes) -> str:
         out: list[str] = []
         for b in chunk:
             if self.need:
@@ -246,11 +298,15 @@ class Utf8Decoder:
         return rest
 
 
-def decode_stream(encoder: Encoder, ids: Iterable[int]) -> Iterator[str]:
-    """Text as ids come: what of it is complete after each id, then the end of an unfinished character."""
-    token, state = encoder.transducer.token, Utf8Decoder()
-    for i in ids:
-        yield state.feed(token[i])
+#: Ids that the decoder takes at once where a whole document's are at hand.
+AT_ONCE = 1 << 14
+
+
+def decode_stream(encoder: Encoder, ids: Sequence[int], at_once: int = 1) -> Iterator[str]:
+    """Text as ids come: what of it is complete after each at_once ids, then the end of an unfinished character."""
+    state = Utf8Decoder()
+    for i in range(0, len(ids), at_once):
+        yield state.feed(encoder.decode(ids[i : i + at_once]))
     yield state.end()
 
 
@@ -267,18 +323,18 @@ def encoder_of(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array<int>), decoded (binary: the ids' bytes) for each row of docs (doc_id, text); null as empty: no ids.
-    Texts come whole; rows repeat as they do in docs; other columns are not carried. An empty table gives no rows."""
+    """doc_id, ids (array<int>), decoded (string: the ids' text, by decode_stream) and whole (boolean: whether that is the text)
+    for each row of docs (doc_id, text); null as empty: no ids. Texts come whole; rows repeat as they do in docs; other columns
+    are not carried. An empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(path)
-        for x in batches:
-            for i in range(0, len(x), 128):
-                part = x.iloc[i : i + 128]
-                ids = [np.frombuffer(encoder.encode_packed(t), dtype="<i4") for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": ids, "decoded": [encoder.decode(y.tolist()) for y in ids]})
+        for x in sliced(batches):
+            ids = [np.frombuffer(encoder.encode_packed(t), dtype="<i4") for t in x["text"]]
+            decoded = ["".join(decode_stream(encoder, y.tolist(), AT_ONCE)) for y in ids]
+            yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy(), "ids": ids, "decoded": decoded, "whole": [d == (t or "") for d, t in zip(decoded, x["text"])]})
 
-    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string, whole boolean")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -289,9 +345,10 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
         for x in batches:
             rows = []
             for doc_id, text in zip(x["doc_id"], x["text"]):
-                packed = encoder.encode_packed(text)
-                decoded = encoder.decode(np.frombuffer(packed, dtype="<u4").tolist())
-                rows.append((doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                packed, decoded = encoder.encode_packed(text), hashlib.sha256()
+                for part in decode_stream(encoder, np.frombuffer(packed, dtype="<u4").tolist(), AT_ONCE):
+                    decoded.update(part.encode())
+                rows.append((doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), decoded.hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

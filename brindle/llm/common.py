@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,24 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Characters of text that a worker turns into one frame of results.
+SLICE_CHARS = 1 << 19
+
+
+def sliced(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = SLICE_CHARS) -> Iterator[pd.DataFrame]:
+    """The batches' rows in frames of about so many characters of a column, of one row at least."""
+    for x in batches:
+        begin, total = 0, 0
+        for i, t in enumerate(x[column]):
+            n = len(t) if t else 0
+            if i > begin and total + n > chars:
+                yield x.iloc[begin:i]
+                begin, total = i, 0
+            total += n
+        if len(x) > begin:
+            yield x.iloc[begin:]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

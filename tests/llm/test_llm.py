@@ -321,7 +321,8 @@ def test_bpe_against_tiktoken(encoder):
     for _ in range(1500):
         s = "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 60)))
         ids = encoder.encode(s)
-        assert ids == other.encode_ordinary(s) and encoder.decode(ids) == s.encode() and "".join(bpe.decode_stream(encoder, ids)) == s
+        assert ids == other.encode_ordinary(s) and encoder.decode(ids) == s.encode()
+        assert all("".join(bpe.decode_stream(encoder, ids, n)) == s for n in (1, 3, 1000))
     small = bpe.Transducer(ranks, most=50)
     for w in ("unbelievable", "xqzzkwj", "a" * 3000):
         assert small.encode(w.encode()) == other.encode_ordinary(w)
@@ -337,12 +338,17 @@ def test_utf8_machine():
         raw = bytes(rng.choice([65, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF, 0xC0, 0xF4, 0x90]) for _ in range(rng.randint(0, 12)))
         state = bpe.Utf8Decoder()
         assert "".join(state.feed(raw[i : i + 1]) for i in range(len(raw))) + state.end() == raw.decode("utf-8", "replace")
+        cut, state = rng.randint(0, len(raw)), bpe.Utf8Decoder()
+        assert state.feed(raw[:cut]) + state.feed(raw[cut:]) + state.end() == raw.decode("utf-8", "replace")
 
 
 def test_bpe_rows(spark, odd):
     path = public_tokenizers.path(bpe.VOCABULARY)
     got = bpe.encode_documents(odd, path).collect()
-    assert [bytes(r["decoded"]) for r in got] == [(t or "").encode() for _, t, _ in ODD] and got[0]["ids"] == []
+    assert [r["decoded"] for r in got] == [t or "" for _, t, _ in ODD] and got[0]["ids"] == [] and all(r["whole"] for r in got)
+    digests = [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encoding_digests(odd, path).collect()]
+    packed = [np.array(r["ids"], dtype="<u4").tobytes() for r in got]
+    assert digests == [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for p, (_, t, _) in zip(packed, ODD)]
     assert bpe.encoding_digests(odd.limit(0), path).count() == 0
 
 
