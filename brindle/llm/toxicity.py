@@ -2,52 +2,77 @@
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, table
+from .common import batched, keep, sliced, table
 
-#: Most labelled rows of each class that the model is trained on, by hash of doc_id.
-MOST_TOXIC, MOST_CLEAN = 1500, 3500
+#: Most labelled rows of each class that the model is trained on, by hash of doc_id, and most characters of them together.
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3500, 40_000_000
 #: Hash buckets of subwords, their least and greatest length in characters with the word's < and >, and dimensions.
 BUCKETS, SHORTEST, LONGEST, DIMENSIONS = 1 << 17, 3, 6, 8
 STEPS, BATCH, RATE, DECAY = 1100, 32, 0.5, 1e-6
+#: A bucket takes part if so many training texts have it.
+LEAST_TEXTS = 3
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.3
 #: Neutral subwords that each text is averaged with, so that a few words alone decide little.
 PADDING = 200
-MOST_WORDS = 250_000
-#: A word of more characters is scored in chunks of so many, and not remembered.
-LONG_WORD = 200
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the word's character n-grams between < and >, and of the whole word."""
-    marked = f"<{word}>"
-    crc = zlib.crc32
-    grams = [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
-    return [crc(g.encode()) % BUCKETS for g in grams] + [crc(marked.encode(), 1) % BUCKETS]
-
-
-def subword_chunks(word: str) -> Iterator[list[int]]:
-    """The buckets of subwords, in chunks: those of the n-grams that begin in each LONG_WORD characters, then the whole word's."""
-    marked = f"<{word}>"
-    crc = zlib.crc32
-    for start in range(0, len(marked), LONG_WORD):
-        part = marked[start : start + LONG_WORD + LONGEST - 1]  # n-grams may end in the next chunk
-        yield [crc(part[i : i + n].encode()) % BUCKETS for n in range(SHORTEST, LONGEST + 1) for i in range(min(LONG_WORD, len(part) - n + 1))]
-    yield [crc(marked.encode(), 1) % BUCKETS]
-
-
-def tokens(text: str | None) -> list[str]:
-    """The distinct words of a text, in order, so that sums don't depend on the process."""
-    return list(dict.fromkeys(text.lower().split())) if text else []
+#: Words remembered by a worker, and characters whose subwords are hashed at once.
+MOST_WORDS, BLOCK = 200_000, 1 << 16
+
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, places in words) of the character n-grams of each <word> and of each whole word, in blocks: a word may be
+    of any length and lie in several. The hash of an n-gram is of its code points alone."""
+    if not words:
+        return
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    ends = np.cumsum(lengths)
+    whole = np.zeros(len(words), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(codes), BLOCK):
+            part = codes[start : start + BLOCK + LONGEST - 1].astype(np.uint64) + np.uint64(1)  # n-grams may end in the next block
+            at = np.arange(start, min(start + BLOCK, len(codes)))
+            owner = np.searchsorted(ends, at, "right")
+            left = ends[owner] - at
+            part = np.concatenate([part, np.zeros(len(at) + LONGEST - 1 - len(part), dtype=np.uint64)])
+            h = np.zeros(len(at), dtype=np.uint64)
+            for n in range(1, LONGEST + 1):
+                h = (h + part[n - 1 : n - 1 + len(at)]) * _ODD[0]
+                h ^= h >> np.uint64(31)
+                if n >= SHORTEST:
+                    fits = left >= n
+                    yield (_mixed(h[fits] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32), owner[fits]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            signs = _mixed(part[: len(at)] * _ODD[0] + (lengths[owner] - left).astype(np.uint64) * _ODD[2]) * _ODD[0]
+            whole[owner[first]] += np.add.reduceat(signs, first)
+        yield (_mixed(whole) % np.uint64(BUCKETS)).astype(np.int32), np.arange(len(words))
+
+
+def tokens(text: str | None) -> dict[str, int]:
+    """The words of a text and how often each comes, in order, so that sums don't depend on the process."""
+    return Counter(text.lower().split()) if text else {}
+
+
+def weights_of(counts: dict[str, int]) -> np.ndarray:
+    """What a word counts for: the first time fully, repeats ever less, as a text of many lines may repeat one."""
+    return 1 + np.log(np.fromiter(counts.values(), dtype=float, count=len(counts)))
 
 
 @dataclass
@@ -59,30 +84,59 @@ class Model:
 
 
 class Scorer:
-    """Scores with a model. A word's subwords are summed once; what is classified is the mean over the subwords of a text's distinct words and the padding."""
+    """Scores with a model. A word's subwords are summed once; what is classified is the mean over a text's subwords and the padding."""
 
     def __init__(self, model: Model):
-        self.bias, self.words = model.bias, _Words(model.effect.astype(float).tolist())
+        self.model, self.words = model, {}
 
-    def score(self, text: str | None) -> float:
+    def learn(self, texts: list[dict[str, int]]) -> None:
+        """Sums the subwords of the words that are new, all at once."""
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        both = sum(map(self.words.__getitem__, tokens(text)), 0j)  # real: the sum of effects; imaginary: the number of subwords
-        logit = self.bias + both.real / (both.imag + PADDING)
-        return float(1 / (1 + np.exp(-np.clip(logit, -50, 50))))
-
-
-class _Words(dict):
-    def __init__(self, effect: list[float]):
-        self.effect = effect
-
-    def __missing__(self, word: str) -> complex:
-        effect = self.effect
-        if len(word) > LONG_WORD:
-            return sum((complex(sum([effect[i] for i in ids]), len(ids)) for ids in subword_chunks(word)), 0j)
-        ids = subwords(word)
-        self[word] = value = complex(sum([effect[i] for i in ids]), len(ids))
-        return value
+        known = self.words
+        new = list(dict.fromkeys(w for t in texts for w in t if w not in known))
+        sums, sizes = np.zeros(len(new)), np.zeros(len(new))
+        for ids, owner in subwords(new):
+            sums += np.bincount(owner, weights=self.model.effect[ids], minlength=len(new))
+            sizes += np.bincount(owner, minlength=len(new))
+        known.update(zip(new, (sums + 1j * sizes).tolist()))
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        bags = [tokens(t) for t in texts]
+        self.learn(bags)
+        logits = np.full(len(bags), self.model.bias)
+        for i, bag in enumerate(bags):
+            if bag:
+                both = weights_of(bag) @ np.fromiter(map(self.words.__getitem__, bag), dtype=complex, count=len(bag))
+                logits[i] += both.real / (both.imag + PADDING)  # real: the sum of effects; imaginary: the number of subwords
+        return 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+
+
+def _bags(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text its distinct buckets and their shares of its subwords and the padding."""
+    counts = [tokens(t) for t in texts]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+    words, ids, sizes = list(number), [], []
+    for i in range(0, len(words), 4096):
+        parts = list(subwords(words[i : i + 4096]))
+        own = np.concatenate([p[1] for p in parts])
+        ids.append(np.concatenate([p[0] for p in parts])[np.argsort(own, kind="stable")])
+        sizes.append(np.bincount(own, minlength=len(words[i : i + 4096])))
+    flat, sizes = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (ids, sizes))
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    bags, shares = [], []
+    for c in counts:
+        own = [number[w] for w in c]
+        buckets = np.concatenate([flat[starts[i] : starts[i + 1]] for i in own]) if own else np.zeros(0, dtype=np.int32)
+        each = np.repeat(weights_of(c), sizes[own]) if own else np.zeros(0)
+        uniq, place = np.unique(buckets, return_inverse=True)
+        bags.append(uniq)
+        shares.append((np.bincount(place, weights=each, minlength=len(uniq)) / (each.sum() + PADDING)).astype(np.float32))
+    some = np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *bags]), minlength=BUCKETS) >= LEAST_TEXTS
+    for i, b in enumerate(bags):
+        keeps = some[b]
+        bags[i], shares[i] = (b[keeps], shares[i][keeps]) if keeps.any() else (np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.float32))
+    return bags, shares
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
@@ -90,19 +144,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 50.0 if labels and labels[0] else -50.0)
     rng = np.random.default_rng(seed)
-    known: dict[str, np.ndarray] = {}
-    bags, counts = [], []
-    for text in texts:
-        own = tokens(text)
-        for w in own:
-            if w not in known and len(w) <= LONG_WORD:
-                known[w] = np.array(subwords(w), dtype=np.int32)
-        parts = (known[w] if len(w) <= LONG_WORD else np.concatenate([np.array(ids, dtype=np.int32) for ids in subword_chunks(w)]) for w in own)
-        ids = np.concatenate(list(parts)) if own else np.zeros(0, dtype=np.int32)
-        uniq, times = np.unique(ids, return_counts=True)
-        bags.append(uniq if own else np.zeros(1, dtype=np.int32))
-        counts.append((times / (len(ids) + PADDING)).astype(np.float32) if own else np.zeros(1, dtype=np.float32))
-    known.clear()
+    bags, counts = _bags(texts)
     y = np.array(labels)
     emb = (rng.random((BUCKETS, DIMENSIONS), dtype=np.float32) - 0.5) / DIMENSIONS
     w, b = (rng.random((DIMENSIONS, 2)) - 0.5).astype(np.float32), np.zeros(2, dtype=np.float32)
@@ -131,7 +173,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         sq_b += g_b**2
         w -= (RATE / 5 * g_w / np.sqrt(sq_w)).astype(np.float32)
         b -= (RATE / 5 * g_b / np.sqrt(sq_b)).astype(np.float32)
-    return Model((emb @ (w[:, 1] - w[:, 0])).astype(np.float64), float(b[1] - b[0]))
+    effect = (emb @ (w[:, 1] - w[:, 0])).astype(np.float64)
+    met = np.zeros(BUCKETS, dtype=bool)
+    met[np.concatenate(bags)] = True
+    return Model(np.where(met, effect, 0.0), float(b[1] - b[0]))  # what training has not met is neutral
 
 
 def held_out() -> F.Column:
@@ -142,39 +187,48 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of labels (doc_id, toxic) on docs (doc_id, text), without held-out rows.
 
-    At most MOST_TOXIC and MOST_CLEAN labelled rows are collected, those of smallest hash of doc_id. Rows with a null
-    label or doc_id don't count; a doc_id labelled twice counts by its larger label.
+    At most MOST_TOXIC and MOST_CLEAN labelled rows are collected, those of smallest hash of doc_id, and of these the first
+    that have MOST_CHARS characters together. Rows with a null label or doc_id don't count; a doc_id labelled twice counts
+    by its larger label.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(is_).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for is_, n in (("toxic = 1", MOST_TOXIC), ("toxic = 0", MOST_CLEAN))]
     chosen = F.broadcast(some[0].union(some[1]))  # MOST_TOXIC + MOST_CLEAN rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MOST_TOXIC + MOST_CLEAN).toPandas()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("place"), "doc_id", "text", "toxic")
+    sample = keep(rows.orderBy("place", "doc_id", "text").limit(MOST_TOXIC + MOST_CLEAN), "sample")
+    sizes = sample.select(F.coalesce(F.length("text"), F.lit(0)).alias("n"), "place").orderBy("place").toPandas()
+    fits = sizes["place"][sizes["n"].cumsum() <= MOST_CHARS]
+    if len(fits) < len(sizes):
+        sample = sample.where(F.col("place") <= int(fits.max()) if len(fits) else F.lit(False))
+    rows = sample.orderBy("place", "doc_id", "text").select("text", "toxic").toPandas()
     return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for each row of docs (doc_id, text). Null and empty texts get the score of no words at all.
-    Repeated rows get equal scores; other columns are not carried; an empty table gives no rows."""
+    Texts are read whole, words of any length too. Repeated rows get equal scores; other columns are not carried; an empty
+    table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
-        for x in batches:
-            scores = np.array([scorer.score(t) for t in x["text"]], dtype=float)
-            yield pd.DataFrame({"doc_id": x["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
+        for x in sliced(batches):
+            scores = scorer.score(x["text"].tolist())
+            yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy(), "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
 
     return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold; nulls and empty texts as in score_documents."""
+    """The rows of docs, all columns as they are, that score below the threshold; nulls, empty and repeated rows and an empty
+    table as in score_documents."""
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for x in batches:
-            yield pd.Series([scorer.score(t) for t in x], dtype=float)
+            yield x.filter(pa.array(scorer.score(x.column(at).to_pylist()) < threshold))
 
-    return batched(docs).where(scored(F.col("text")) < threshold)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

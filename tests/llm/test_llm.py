@@ -266,27 +266,73 @@ def test_toxicity_learns_subwords(spark, odd):
     y = [i % 2 for i in range(400)]
     model = toxicity.train([make(t) for t in y], y)
     scorer = toxicity.Scorer(model)
-    assert sum((scorer.score(make(t)) >= 0.3) == t for t in y) >= 380
-    assert scorer.score(make(0) + " horible disgustng patetic") > scorer.score(make(0))
+    assert ((scorer.score([make(t) for t in y]) >= 0.3) == y).sum() >= 380
+    assert np.greater(*scorer.score([make(0) + " horible disgustng patetic", make(0)]))
+    once, twice = scorer.score(["horrible river stone", "horrible horrible horrible river stone"])
+    assert twice > once
     got = toxicity.score_documents(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and got[0]["score"] == got[1]["score"]
-    assert toxicity.keep_clean(odd.limit(0), model).count() == 0
-    assert toxicity.Scorer(toxicity.train([], [])).score("x") < 0.01
+    kept = toxicity.keep_clean(odd, model, threshold=1.1)
+    assert kept.columns == odd.columns and sorted(kept.collect(), key=str) == sorted(odd.collect(), key=str)
+    assert toxicity.keep_clean(odd.limit(0), model).count() == 0 and toxicity.score_documents(odd.limit(0), model).count() == 0
+    assert toxicity.Scorer(toxicity.train([], [])).score(["x"])[0] < 0.01
     held = odd.select("doc_id", toxicity.held_out().alias("h")).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in held)
 
 
-def test_toxicity_reads_long_words_whole():
+def test_toxicity_reads_long_words_whole(monkeypatch):
     rng = random.Random(12)
     plain, bad = [f"{rng.choice('bdgklm')}{rng.choice('aeiou')}{rng.choice('nrst')}{rng.choice('aeiou')}" for _ in range(300)], ["horrible", "disgusting", "pathetic"]
     make = lambda t: "_".join(rng.choices(plain, k=60) + [rng.choice(bad) for _ in range(20 * t)])
     y = [i % 2 for i in range(400)]
     scorer = toxicity.Scorer(toxicity.train([make(t) for t in y], y))
-    assert all(len(make(0)) > 200 for _ in range(9)) and sum((scorer.score(make(t)) >= 0.3) == t for t in y) >= 380
-    assert not any(len(w) > toxicity.LONG_WORD for w in scorer.words)
-    for n in (1, 2, 198, 199, 200, 201, 203, 205, 397, 398, 399, 400, 401, 405, 2000):
-        word = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
-        assert sorted(sum(toxicity.subword_chunks(word), [])) == sorted(toxicity.subwords(word))
+    assert all(len(make(0)) > 200 for _ in range(9)) and ((scorer.score([make(t) for t in y]) >= 0.3) == y).sum() >= 380
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)) for n in (1, 2, 198, 300, 301, 2000)] + ["x" * 300 + "a", "x" * 300 + "b"]
+    wanted = [sorted(_by_word(words[i : i + 1])[0]) for i in range(len(words))]
+    assert [len(w) for w in wanted] == [sum(max(0, len(w) + 3 - n) for n in range(3, 7)) + 1 for w in words] and wanted[-1] != wanted[-2]
+    for block in (7, 64, 1 << 16):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert [sorted(x) for x in _by_word(words)] == wanted
+
+
+def _by_word(words):
+    out = [[] for _ in words]
+    for ids, owner in toxicity.subwords(words):
+        for i, o in zip(ids.tolist(), owner.tolist()):
+            out[o].append(i)
+    return out
+
+
+def test_toxicity_gradient_against_differences():
+    """A single step of training moves what it touches against the numerical gradient of the cross-entropy."""
+    texts, y = ["bad awful word", "good kind word", "bad bad thing", "kind thing here"] * 3, [1, 0, 1, 0] * 3
+    bags, shares = toxicity._bags(texts)
+    rng = np.random.default_rng(0)
+    emb, w = rng.normal(size=(toxicity.BUCKETS, 3)), rng.normal(size=(3, 2))
+
+    def loss(e):
+        z = np.stack([(e[b] * s[:, None]).sum(0) for b, s in zip(bags, shares)]) @ w
+        return -(z[np.arange(len(y)), y] - np.log(np.exp(z).sum(1))).mean()
+
+    z = np.stack([(emb[b] * s[:, None]).sum(0) for b, s in zip(bags, shares)]) @ w
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    for bucket in rng.choice(bags[0], 5):
+        for k in range(3):
+            near = emb.copy()
+            near[bucket, k] += 1e-5
+            by_rule = sum((p[i] @ w[k]) * shares[i][bags[i] == bucket].sum() for i in range(len(y))) / len(y)
+            assert by_rule == pytest.approx((loss(near) - loss(emb)) / 1e-5, abs=1e-5)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = queries.QUERIES["op7_toxicity"](spark, "/root/testdata/sf0.1").join(labels.where("toxic is not null"), "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    hits = rows[rows["predicted"] == 1]
+    assert (hits["toxic"] == 1).mean() > 0.8 and (rows[rows["toxic"] == 1]["predicted"] == 1).mean() > 0.75
+    order = rows["score"].rank()
+    n, m = (rows["toxic"] == 1).sum(), (rows["toxic"] == 0).sum()
+    assert (order[rows["toxic"] == 1].sum() - n * (n + 1) / 2) / (n * m) > 0.93
 
 
 def test_mixing_cells_and_targets(spark, odd):
