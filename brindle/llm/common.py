@@ -17,11 +17,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder that every executor sees: spark.checkpoint.dir. Where it is unset, one of our own on a local master, as in tests;
+    on a cluster that is an error, as executors don't see each other's disks."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -33,7 +34,27 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Removes the files of tables that keep made, when all that reads them has been written itself."""
+    for df in kept:
+        if at := df.__dict__.pop("_kept_at", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a table of keys (a long or two each) that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def beside(keys: DataFrame) -> DataFrame:
+    """A kept table of keys, to be broadcast if it has at most MOST_BROADCAST rows (so that what it is joined to stays where it is), else as it is."""
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
 
 
 #: Rows that go to a Python worker at once: texts may be long, and a worker's memory is small.

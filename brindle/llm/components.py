@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import forget, keep
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and Beyond",
     2014). A step takes the smallest neighbour by an aggregation, which Spark combines before its shuffle, and
-    joins it back, a join that AQE may split where a hub has many edges; neighbour lists are never gathered.
+    joins it back, a join that AQE may split where a hub has many edges; neighbour lists are never gathered. The result
+    is a kept table, which its reader may forget.
     Loops, repeated and reversed edges count once; edges with a null end are dropped. No edges: no rows.
     """
     pairs = edges.where(f"`{a}` is not null and `{b}` is not null and `{a}` <> `{b}`")
@@ -27,13 +28,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now, before = keep(small.union(low).distinct(), "edges"), mark
+        last, now, before = now, keep(small.union(low).distinct(), "edges"), mark
+        forget(last)
         mark = _mark(now)
         if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    found = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    found._kept_at = now._kept_at
+    return found
 
 
 def _mark(edges: DataFrame) -> tuple:

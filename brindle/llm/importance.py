@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, keep, table, unit_interval
+from .common import batched, beside, keep, table, unit_interval
 
 #: Hash buckets of unigrams and bigrams; most labelled rows that the target model is estimated from, by hash of doc_id.
 BUCKETS, MOST_TARGET = 10_000, 20_000
@@ -125,8 +125,8 @@ def resample(docs: DataFrame, ratios: np.ndarray, k: int | None = None) -> DataF
 
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The rows of docs, all columns, that resample selects; a row with a null doc_id goes by the doc_ids that are null."""
-    chosen = resample(docs, log_ratios(docs, labels), k).where("not selected").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_gone"]), "left_anti")
+    gone = keep(resample(docs, log_ratios(docs, labels), k).where("not selected").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(beside(gone), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ No link is lost: both rules follow from the metric.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, keep, table, words_of
+from .common import batched, beside, forget, keep, sliced, table, words_of
 from .components import connected_components
 
 #: Bits are cut into so many blocks, of 10 or 11 bits.
@@ -237,15 +238,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 SHINGLE, RESEMBLANCE = 5, 0.8
 #: Shingles that are told to be common: one row in so many is looked at, and so many shingles are remembered at most.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 16, 8, 20_000
+#: Keys of a text most of whose shingles (a share of OWN) are not common: two texts of RESEMBLANCE share one of them but for a chance below 1e-15.
+KEYS, OWN = 40, 0.6
 #: Pairs that a task holds before it hands them on.
 PAIRS_HELD = 1 << 18
+#: Rounds of prefix_pairs: how far apart in a key's order of size the ends of a pair may be; None: anywhere.
+ROUNDS = (8, 64, None)
 
 
-def _word_fingerprint(text: str | None, seen: dict) -> int:
+def _word_fingerprint(words: list[bytes], seen: dict) -> int:
     """A fingerprint of the set of words: a small edit changes few of them."""
     digest = xxhash.xxh64_intdigest
     own = []
-    for w in set(words_of(text)):
+    for w in set(words):
         if (h := seen.get(w)) is None:
             if len(seen) > 100_000:
                 seen.clear()
@@ -260,61 +265,90 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     A group is a component of links: pairs of texts whose sets of five-word shingles have a resemblance of RESEMBLANCE
     or more, all of them, with none lost. Texts of equal SHA-256 are one node (its smallest doc_id). The links come in
     rounds, each verified on the sets. The first takes pairs whose SimHash fingerprints of the word sets lie within 3
-    bits, through pivot tables, a forest of each bucket; the second takes neighbours of equal prefix keys. They join large
-    groups cheaply. The last tries every other pair that can reach RESEMBLANCE and whose ends are still in different components (prefix_pairs).
+    bits, through pivot tables, a forest of each bucket; the next take neighbours of equal prefix keys. They join large
+    groups cheaply. The last tries every other pair that can reach RESEMBLANCE and whose ends are still in different
+    components (prefix_pairs). Sets are made only of the texts of a round's pairs.
 
     Null and empty texts are copies of each other (null as empty). A row with a null doc_id stays. Rows that repeat
-    a doc_id stay or go together. All columns are carried.
+    a doc_id stay or go together. All columns are carried. An empty table gives no rows.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    texts = docs.where("doc_id is not null").select("doc_id", digest.alias("_sha"), "text")
-    owner = keep(texts.groupBy("_sha").agg(F.min("doc_id").alias("id")), "owners")
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    hashed = keep(_hashed(texts, _common(texts)).withColumn("row", F.monotonically_increasing_id()), "hashed")
+    owner = keep(hashed.groupBy("sha").agg(F.min(F.struct("doc_id", "row")).alias("x")).select("sha", F.col("x.doc_id").alias("id"), "x.row"), "owners")
+    nodes = keep(hashed.drop("sha").join(owner.select("row", "id"), "row").select("id", "fp", "n", "keys"), "nodes")
+    tried = keep(link_fingerprints(nodes.select("id", F.array("fp").alias("fps")), 3), "pairs")
+    links = verified(texts, tried)
+    every = nodes.select("id", "n", F.posexplode("keys").alias("place", "key"))
+    shared = every.groupBy("key").count().where("count > 1").select("key")
+    keyed = keep(every.join(shared, "key"), "keys")
+    found = connected_components(links)
+    for steps in ROUNDS:
+        more = keep(prefix_pairs(keyed, found, steps).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            forget(more)
+            continue
+        new = verified(texts, more)
+        both, past = keep(links.union(new), "links"), keep(tried.union(more), "pairs")
+        forget(links, new, tried, more, found)
+        links, tried, found = both, past, connected_components(both)
+    names = owner.join(found, owner["id"] == found["node"], "left").select("sha", F.coalesce("component", "id").alias("_kept"))
+    gone = keep(hashed.select("doc_id", "sha").join(names, "sha").where("doc_id <> _kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    forget(hashed, owner, nodes, tried, links, keyed, found)
+    return docs.join(beside(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def _set_of(words: list[bytes]) -> np.ndarray:
+    """The sorted hashes of a text's set of shingles."""
+    return np.unique(shingle_hashes(words, SHINGLE)).view(np.int64)
+
+
+def _common(texts: DataFrame) -> np.ndarray:
+    """(hash, count) of the most common shingles, in order of hash, as a sample of the rows shows them; COMMON_MOST at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[bytes, int] = {}
-        for x in batches:
-            yield pd.DataFrame({"doc_id": x["doc_id"], "_sha": x["_sha"], "fp": _signed([_word_fingerprint(t, seen) for t in x["text"]])})
-
-    hashed = keep(batched(texts).mapInPandas(run, "doc_id long, _sha string, fp long"), "fingerprints")
-    nodes = hashed.join(owner, "_sha").where("doc_id = id").select("id", F.array("fp").alias("fps")).dropDuplicates(["id"])
-    sets = keep(_sets(texts.join(owner, "_sha").where("doc_id = id").dropDuplicates(["id", "_sha"])), "shingles")
-    tried = keep(link_fingerprints(keep(nodes, "nodes"), 3), "pairs")
-    links = verified(sets, tried)
-    keyed = keep(prefixes(sets), "prefixes")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    keyed = keep(keyed.join(shared, "key"), "prefixes")
-    for steps in (8, None):
-        more = keep(prefix_pairs(keyed, connected_components(links), steps).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links, tried = keep(links.union(verified(sets, more)), "links"), tried.union(more)
-    found = connected_components(links)
-    gone_shas = owner.join(found, owner["id"] == found["node"], "left").select("_sha", F.coalesce("component", "id").alias("_kept"))
-    gone = hashed.select("doc_id", "_sha").join(gone_shas, "_sha").where("doc_id <> _kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+        for x in sliced(batches):
+            yield pd.DataFrame({"sh": np.concatenate([_set_of(words_of(t)) for t in x["text"]])})
 
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_SAMPLE)) == 0).select("text")
+    counts = batched(some).mapInPandas(run, "sh long").groupBy("sh").count().where(F.col("count") >= COMMON_LEAST)
+    top = counts.orderBy(F.desc("count"), "sh").limit(COMMON_MOST).collect()
+    return np.array(sorted((r["sh"], r["count"]) for r in top), dtype=np.int64).reshape(-1, 2)
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """id, n, sh and low for each row of texts (id, text): the hashes of its set of shingles, their number, and their distinct lowest 16 bits."""
+
+def _hashed(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, sha (of the text), fp (of its word set), n (shingles) and keys (_keys) for each row of texts (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            sh = [np.unique(shingle_hashes(words_of(t), SHINGLE)).view(np.int64) for t in x["text"]]
-            yield pd.DataFrame({"id": x["id"], "n": [len(s) for s in sh], "sh": sh, "low": [np.unique(s.astype(np.int16)) for s in sh]})
+        seen: dict[bytes, int] = {}
+        for x in sliced(batches):
+            rows = []
+            for doc_id, text in zip(x["doc_id"], x["text"]):
+                words = words_of(text)
+                sh = _set_of(words)
+                rows.append((doc_id, hashlib.sha256((text or "").encode()).digest(), _signed([_word_fingerprint(words, seen)])[0], len(sh), _keys(sh, common)))
+            yield pd.DataFrame(rows, columns=["doc_id", "sha", "fp", "n", "keys"])
 
-    return batched(texts.select("id", "text")).mapInPandas(run, "id long, n int, sh array<long>, low array<short>")
+    return batched(texts).mapInPandas(run, "doc_id long, sha binary, fp long, n int, keys array<long>")
 
 
-def _prefix(sh: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of (how common, hash): one more than a set of RESEMBLANCE may lack.
+def _keys(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of (how common, hash): its prefix, or KEYS of it.
 
-    Two sets that resemble each other that much share one of them, whatever the order, as long as it is one for all."""
+    Two sets of RESEMBLANCE share one of the prefix, one shingle more than such a set may lack, whatever the order, as long as
+    it is one for all. Where a share of OWN or more of the shingles is not common, KEYS of them do: then at most 0.25 / OWN of
+    the two sets' shingles that aren't common is in one of them only, and as these are in the order of their hashes,
+    the chance that none of the first KEYS is in both is below (0.25 / OWN) ** KEYS.
+    """
     if not len(sh):
         return np.zeros(1, dtype=np.int64)  # all empty sets are equal
-    least = int(np.ceil(RESEMBLANCE * len(sh) - 1e-9))
     rank = np.zeros(len(sh), dtype=np.int64)
     if len(common):
-        at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
-        rank = np.where(common[at] == sh, counts[at], 0)
-    return sh[np.lexsort((sh, rank))[: len(sh) - least + 1]]
+        at = np.minimum(np.searchsorted(common[:, 0], sh), len(common) - 1)
+        rank = np.where(common[at, 0] == sh, common[at, 1], 0)
+    most = len(sh) - int(np.ceil(RESEMBLANCE * len(sh) - 1e-9)) + 1
+    if (rank == 0).mean() >= OWN:
+        most = min(most, KEYS)
+    return sh[np.lexsort((sh, rank))[:most]]
 
 
 def _reachable(key: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.ndarray, steps: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -333,29 +367,9 @@ def _reachable(key: np.ndarray, component: np.ndarray, n: np.ndarray, place: np.
         step += 1
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(key, id, n, place) for each shingle of each set's prefix (_prefix): of sets (id, sh: the set's hashes) the size and the shingle's place.
-
-    The most common shingles, as a sample of the rows shows them, come last in the order, so few prefixes hold them.
-    """
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(COMMON_SAMPLE)) == 0).select(F.explode("sh").alias("sh")).groupBy("sh").count()
-    top = sample.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "sh").limit(COMMON_MOST).collect()
-    common = np.array(sorted((r["sh"], r["count"]) for r in top), dtype=np.int64).reshape(-1, 2)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            if len(x):
-                own = [_prefix(np.sort(s), common[:, 0], common[:, 1]) for s in x["sh"]]
-                lengths = [len(p) for p in own]
-                place = np.concatenate([np.arange(k) for k in lengths])
-                yield pd.DataFrame({"key": np.concatenate(own), "id": np.repeat(x["id"].to_numpy(), lengths), "n": np.repeat([len(s) for s in x["sh"]], lengths), "place": place})
-
-    return batched(sets).mapInPandas(run, "key long, id long, n int, place int")
-
-
 def prefix_pairs(keyed: DataFrame, found: DataFrame, steps: int | None = None) -> DataFrame:
-    """Distinct pairs (a, b) of ids in different components that may have a resemblance of RESEMBLANCE: of prefixes and
-    the components found so far (node, component; other ids are alone). No pair that has it is left out, unless steps
+    """Distinct pairs (a, b) of ids in different components that may have a resemblance of RESEMBLANCE: of keyed (key, id, n, place: see
+    _keys) and the components found so far (node, component; other ids are alone). No pair that has it is left out, unless steps
     limits how far apart its rows may lie in the order of size within a key, so that pairs don't outnumber the rows.
 
     Keys within one component are done; a key of more than UNIT_ROWS rows is cut into strips.
@@ -380,11 +394,24 @@ def prefix_pairs(keyed: DataFrame, found: DataFrame, steps: int | None = None) -
     return placed.mapInPandas(_by_unit(told), "a long, b long").distinct()
 
 
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b: ids) those with sets (_sets) of a resemblance of RESEMBLANCE or more; both empty counts as equal.
+def _sets(texts: DataFrame) -> DataFrame:
+    """id, n, sh and low for each row of texts (doc_id, text): the hashes of its set of shingles, their number, and their distinct lowest 16 bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in sliced(batches):
+            sh = [_set_of(words_of(t)) for t in x["text"]]
+            yield pd.DataFrame({"id": x["doc_id"].to_numpy(), "n": [len(s) for s in sh], "sh": sh, "low": [np.unique(s.astype(np.int16)) for s in sh]})
+
+    return batched(texts.select("doc_id", "text")).mapInPandas(run, "id long, n int, sh array<long>, low array<short>")
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of kept pairs (a, b: doc_ids) those whose texts (doc_id, text) have sets of a resemblance of RESEMBLANCE or more; both empty counts as equal.
 
-    The low bits, a quarter of the bytes, go first: as many hashes are shared as lowest bits at most, and as a set has
-    more of the one than of the other. What they leave is decided on the sets."""
+    Sets are made of the texts in pairs alone. Their low bits, a quarter of the bytes, go first: as many hashes are shared as lowest
+    bits at most, and as a set has more of the one than of the other. What they leave is decided on the sets."""
+    ends = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    sets = keep(_sets(texts.join(beside(ends), "doc_id", "left_semi")), "sets")
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
         sides = (sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col(column).alias(f"s{end}")) for end in "ab")
@@ -395,7 +422,9 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     most = F.col("common") + F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
     near = keep(with_both(pairs, "low").where(enough(most)).select("a", "b").distinct(), "pairs")
-    return keep(with_both(near, "sh").where(enough(F.col("common"))).select("a", "b").distinct(), "links")
+    links = keep(with_both(near, "sh").where(enough(F.col("common"))).select("a", "b").distinct(), "links")
+    forget(ends, sets, near)
+    return links
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

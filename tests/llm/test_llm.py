@@ -13,7 +13,7 @@ import xxhash
 from tests.conftest import same
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, components, html_extract, importance, jpeg_media, license_scan, mixing, queries, simhash, sketches, toxicity, url_filters
+from brindle.llm import bpe, common, components, html_extract, importance, jpeg_media, license_scan, mixing, queries, simhash, sketches, toxicity, url_filters
 
 ODD = [(1, None, "a"), (2, "", None), (2, "", None), (3, "one", "b"), (None, "one two three four five six", "b"), (4, "x " * 5000, "a"), (4, "x " * 5000, "a"), (5, "é日本 😀\n\tz", "c")]
 
@@ -167,6 +167,86 @@ def test_drop_near_copies_behind_links_that_fail(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(7))
 
 
+def test_drop_near_copies_without_broadcasts(spark, odd, monkeypatch):
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    test_drop_near_copies(spark, odd)
+
+
+def test_keys_of_similar_sets_meet():
+    """Of two sets of resemblance 0.8 the keys share one, with common shingles or without, at any size."""
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 5, 9, 10, 50, 190, 200, 260, 1000, 5000):
+        for part in (0.0, 0.3, 0.5, 0.9):
+            both = np.unique(rng.integers(-(2**62), 2**62, n))
+            own = int(0.25 * len(both) / 2)  # of each: half of what a resemblance of 0.8 allows
+            a, b = (np.unique(np.concatenate([both, rng.integers(-(2**62), 2**62, own)])) for _ in range(2))
+            common_ones = np.sort(both[rng.random(len(both)) < part])
+            table = np.stack([common_ones, np.full(len(common_ones), 9)], axis=1)
+            assert len(np.intersect1d(simhash._keys(a, table), simhash._keys(b, table)))
+            assert len(simhash._keys(a, table)) <= max(simhash.KEYS, len(a) - int(np.ceil(0.8 * len(a) - 1e-9)) + 1)
+
+
+def _kept_by_brute_force(rows):
+    """doc_ids that one-of-each-group leaves, by all pairs."""
+    sets = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    up = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((up[i], up[j]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    return {i for i in up if up[i] == i}
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage on what the stage before it kept, of whole tables."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = lambda df: sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "quality", "near_duplicates", "mixing", "encoding"]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    one = common.keep(stages["toxicity"](spark, docs, sf), "test")
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
+    assert one.schema == docs.schema and texts(one) == [(i, t) for i, t in texts(docs) if scorer.score([t])[0] < 0.3]
+    two = common.keep(stages["quality"](spark, one, sf), "test")
+    chosen = {r["doc_id"] for r in importance.resample(one, importance.log_ratios(one, labels)).where("selected").collect()}
+    assert two.schema == docs.schema and texts(two) == [x for x in texts(one) if x[0] in chosen]
+    three = common.keep(stages["near_duplicates"](spark, two, sf), "test")
+    left = _kept_by_brute_force(texts(two))
+    assert three.schema == docs.schema and texts(three) == [x for x in texts(two) if x[0] in left] and len(left) < two.count()
+    four = common.keep(stages["mixing"](spark, three, sf), "test")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(three).collect()}
+    assert four.schema == docs.schema and texts(four) == sorted(x for x in texts(three) for _ in range(copies[x[0]]))
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    five = [(r["doc_id"], r["ids"]) for r in stages["encoding"](spark, four, sf).collect()]
+    assert sorted(five) == sorted((i, other.encode_ordinary(t or "")) for i, t in texts(four))
+    assert sorted((r["doc_id"], r["ids"]) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(five)
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empties, repeats, clashing columns and no rows, with and without labels."""
+    import corpus_pipeline
+
+    for n, marks in enumerate(([], [(i, i % 2, i % 2) for i in range(1, 6)])):
+        sf = tmp_path / str(n)
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        for rows in (odd, odd.limit(0)):
+            docs = rows
+            for name, stage in corpus_pipeline.STAGES[:-1]:
+                out = common.keep(stage(spark, docs, str(sf)), "test")
+                assert out.columns == odd.columns and out.dtypes == odd.dtypes, name
+                assert out.exceptAll(docs).isEmpty() or name == "mixing"
+                docs = out
+            coded = corpus_pipeline.STAGES[-1][1](spark, docs, str(sf))
+            assert coded.count() == docs.count()
+
+
 def test_importance(spark, odd):
     rng = random.Random(6)
     good, bad = "river stone cloud garden winter music".split(), "$$$ ### buy!! win!! click!!".split()
