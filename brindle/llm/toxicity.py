@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, keep, sliced, table
+from .common import batched, forget, keep, sliced, table
 
 #: Most labelled rows of each class that the model is trained on, by hash of doc_id, and most characters of them together.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3500, 40_000_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 40_000_000
 #: Hash buckets of subwords, their least and greatest length in characters with the word's < and >, and dimensions.
 BUCKETS, SHORTEST, LONGEST, DIMENSIONS = 1 << 17, 3, 6, 8
 STEPS, BATCH, RATE, DECAY = 1100, 32, 0.5, 1e-6
@@ -25,8 +25,8 @@ LEAST_TEXTS = 3
 THRESHOLD = 0.3
 #: Neutral subwords that each text is averaged with, so that a few words alone decide little.
 PADDING = 200
-#: Words remembered by a worker, and characters whose subwords are hashed at once.
-MOST_WORDS, BLOCK = 200_000, 1 << 16
+#: Words remembered by a worker, characters whose subwords are hashed at once, and texts whose bags stand in one array.
+MOST_WORDS, BLOCK, TEXTS = 200_000, 1 << 16, 256
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -114,31 +114,37 @@ class Scorer:
 
 def _bags(texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each text its distinct buckets and their shares of its subwords and the padding."""
-    counts = [tokens(t) for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
-    words, ids, sizes = list(number), [], []
-    for i in range(0, len(words), 4096):
-        parts = list(subwords(words[i : i + 4096]))
-        own = np.concatenate([p[1] for p in parts])
-        ids.append(np.concatenate([p[0] for p in parts])[np.argsort(own, kind="stable")])
-        sizes.append(np.bincount(own, minlength=len(words[i : i + 4096])))
-    flat, sizes = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (ids, sizes))
-    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    parts = []  # of TEXTS texts each: their buckets and shares end to end, in arrays large enough to be given back to the system
+    for i in range(0, len(texts), TEXTS):
+        counts = [tokens(t) for t in texts[i : i + TEXTS]]
+        number = {w: n for n, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+        found = list(subwords(list(number)))
+        own = np.concatenate([np.zeros(0, dtype=np.int64), *(p[1] for p in found)])
+        flat = np.concatenate([np.zeros(0, dtype=np.int32), *(p[0] for p in found)])[np.argsort(own, kind="stable")]
+        sizes = np.bincount(own, minlength=len(number))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        some = [_bag(c, [number[w] for w in c], flat, starts, sizes) for c in counts]
+        parts.append((np.concatenate([x[0] for x in some]), np.concatenate([x[1] for x in some]), np.array([len(x[0]) for x in some])))
+    frequent = sum((np.bincount(p[0], minlength=BUCKETS) for p in parts), np.zeros(BUCKETS, dtype=np.int64)) >= LEAST_TEXTS
     bags, shares = [], []
-    for c in counts:
-        own = [number[w] for w in c]
-        buckets = np.concatenate([flat[starts[i] : starts[i + 1]] for i in own]) if own else np.zeros(0, dtype=np.int32)
-        each = np.repeat(weights_of(c), sizes[own]) if own else np.zeros(0)
-        uniq, place = np.unique(buckets, return_inverse=True)
-        bags.append(uniq)
-        shares.append((np.bincount(place, weights=each, minlength=len(uniq)) / (each.sum() + PADDING)).astype(np.float32))
-    some = np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *bags]), minlength=BUCKETS) >= LEAST_TEXTS
-    for i, b in enumerate(bags):
-        keeps = some[b]
-        bags[i], shares[i] = (b[keeps], shares[i][keeps]) if keeps.any() else (np.zeros(1, dtype=np.int32), np.zeros(1, dtype=np.float32))
+    for k, (buckets, share, lengths) in enumerate(parts):
+        met = frequent[buckets]
+        cuts = np.cumsum(np.add.reduceat(met, np.cumsum(lengths) - lengths) * (lengths > 0) if len(buckets) else lengths)[:-1] if len(lengths) else []
+        parts[k] = None
+        for b, s in zip(np.split(buckets[met], cuts), np.split(share[met], cuts)):
+            bags.append(b if len(b) else np.zeros(1, dtype=np.int32))
+            shares.append(s if len(b) else np.zeros(1, dtype=np.float32))
     return bags, shares
 
 
+def _bag(counts: dict[str, int], own: list[int], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not own:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
+    each = np.repeat(weights_of(counts), sizes[own])
+    uniq, place = np.unique(np.concatenate([flat[starts[i] : starts[i + 1]] for i in own]), return_inverse=True)
+    return uniq, (np.bincount(place, weights=each, minlength=len(uniq)) / (each.sum() + PADDING)).astype(np.float32)
+
+
 def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     """Embeddings and softmax weights learnt together by AdaGrad on the cross-entropy. With one class or none, each score is its share."""
     if len(set(labels)) < 2:
@@ -200,8 +206,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     fits = sizes["place"][sizes["n"].cumsum() <= MOST_CHARS]
     if len(fits) < len(sizes):
         sample = sample.where(F.col("place") <= int(fits.max()) if len(fits) else F.lit(False))
-    rows = sample.orderBy("place", "doc_id", "text").select("text", "toxic").toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["place", "doc_id", "text"], kind="stable", na_position="first")
+        model = train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+        return pd.DataFrame({"effect": [model.effect], "bias": [model.bias]})
+
+    # one task, of the bounded sample: an executor's memory rather than the driver's
+    learnt = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "effect array<double>, bias double").collect()
+    forget(sample)
+    return Model(np.array(learnt[0]["effect"]), learnt[0]["bias"]) if learnt else train([], [])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
