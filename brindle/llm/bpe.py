@@ -27,7 +27,7 @@ from .common import batched, sliced, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions and neighbour verdicts kept in a worker; beyond, they are forgotten and made again. Of pieces, so many and as many of the time before.
-MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 400_000, 200_000, 200_000
+MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 320_000, 250_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
