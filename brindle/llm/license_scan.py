@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Texts are normalised (A-Z lower-cased, digits to 0, ASCII punctuation dropped) and become sequences of hashes of
+Texts are normalised (A-Z lower-cased, ASCII punctuation dropped) and become sequences of hashes of
 five-word shingles. Windows of three lengths slide over the sequence, each by half its length or less, and a template is
 cut into windows of its class's length at every place. A template of T shingles belongs to the longest class with
 T >= length + stride - 1, so that some window of a text that holds it unchanged lies within it and has the very MinHashes of a
@@ -50,7 +50,7 @@ _DROPPED = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER + "123456789" + _DROPPED, LOWER + "0" * 9)
+    return F.translate(F.coalesce(text, F.lit("")), UPPER + _DROPPED, LOWER)
 
 
 def template_shingles(text: str) -> list[int]:
@@ -62,7 +62,7 @@ def template_shingles(text: str) -> list[int]:
             seed = xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), seed)
         return seed - 2**64 if seed >= 2**63 else seed
 
-    words = [xxhash.xxh64_intdigest(w, 42) for w in text.translate(str.maketrans(UPPER + "123456789", LOWER + "0" * 9, _DROPPED)).encode().split()]
+    words = [xxhash.xxh64_intdigest(w, 42) for w in text.translate(str.maketrans(UPPER, LOWER, _DROPPED)).encode().split()]
     runs = [words[i : i + SHINGLE] for i in range(max(1, len(words) - SHINGLE + 1))]
     return [chain(r) for r in runs]
 
@@ -125,9 +125,15 @@ def license_matches(text: Column, templates: dict[str, list[str]] = TEMPLATES, l
         kept = F.filter(F.array(*found), lambda x: x["containment"] >= least)
         return F.when(F.size(h) > 0, F.when(met, kept))
 
+    every = sorted({v for x in listed for v in x[2]})
+
+    def scan(h: Column) -> Column:
+        # a text without any template's shingle contains no share of one, so its bands need not be made
+        return F.when(F.arrays_overlap(h, _longs(every)), let(F.array(*[minima(h, c, b) for c, b in used]), lambda m: verify(h, m)))
+
     hashes = shingle_hashes(word_hashes(normalised(text)))
     empty = F.array().cast("array<struct<license:string,containment:double,first_word:int>>")
-    return F.coalesce(let(hashes, lambda h: let(F.array(*[minima(h, c, b) for c, b in used]), lambda m: verify(h, m))), empty)
+    return F.coalesce(let(hashes, scan), empty)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = CONTAINMENT) -> DataFrame:
