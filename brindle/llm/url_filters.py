@@ -71,18 +71,21 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     refresh = F.col("tag").rlike(r"""(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b""")
     target = F.when(canonical, quoted("href")).when(refresh, F.regexp_extract("tag", r"""(?i)\burl\s*=\s*["']?([^"'>]*)""", 1))
     named = found.select("url", F.trim(F.regexp_replace(target, "&amp;", "&")).alias("to"))
-    # from the page's url: what a target of this form replaces
-    form = F.when(F.col("to").contains("://"), r"(?s)^.*").when(F.col("to").startswith("//"), r"(?s)^.*").when(F.col("to").startswith("/"), r"(?s)(?<=://[^/?#]{0,4096})[/?#].*")
-    form = form.when(F.col("to").startswith("?"), r"(?s)[?#].*").when(F.col("to").startswith("#"), r"(?s)#.*").otherwise(r"(?s)(?<=/)[^/?#]*(?:[?#].*)?$")
-    parts = named.where("to <> ''").select("url", "to", form.alias("form"))
-    full = F.concat(F.expr("regexp_replace(url, form, '')"), F.when(F.col("to").startswith("//"), F.lit("http:")).otherwise(F.lit("")), F.col("to"))
-    return parts.select(url_key(F.col("url")).alias("a"), url_key(full).alias("b"))
+    # what of the page's url stays before a target of this form
+    origin = F.regexp_extract("url", r"(?s)^[^?#]*?://[^/?#]*", 0)
+    to, page = F.col("to"), F.regexp_extract("url", r"(?s)^[^#]*", 0)
+    folder = F.concat(origin, F.regexp_extract(F.substr("url", F.length(origin) + 1), r"(?s)^[^?#]*/", 0))
+    before = F.when(to.contains("://"), "").when(to.startswith("//"), "http:").when(to.startswith("/"), origin).when(to.startswith("?"), F.regexp_extract("url", r"(?s)^[^?#]*", 0)).when(to.startswith("#"), page)
+    before = before.otherwise(F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder))
+    parts = named.where("to <> ''").select("url", F.concat(before, to).alias("full"))
+    return parts.select(url_key(F.col("url")).alias("a"), url_key(F.col("full")).alias("b")).where("a is not null and b is not null")
 
 
 def url_key(url: Column) -> Column:
-    """Names a url in the alias graph: without scheme and fragment, host lower-cased."""
+    """Names a url in the alias graph: without scheme and fragment, host lower-cased. Null without a host."""
     rest = _after_scheme(url)
-    return F.concat(ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
+    host = ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
+    return F.when(host != "", F.concat(host, F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1)))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame | None = None) -> DataFrame:
@@ -91,9 +94,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataF
     The longest fitting rule decides. A url without a rule takes the decision of its class, the component of
     canonical links and redirects that it lies in: allow if a rule allows any member, else block if a rule blocks
     any, else allow. edges (a, b: url_key of two urls) come from the pages' own html unless given, such as from
-    a crawl's redirect log. alias_of is the smallest key of the class (the url's own where it has no alias).
+    a crawl's redirect log. alias_of is the smallest key of the class (the url's own where it has no alias; null without a host).
 
-    Null and malformed urls have an empty host and path, no rule, and are allowed. Repeated rows are judged
+    Null and malformed urls have an empty host and path, no rule and no class, and are allowed. Repeated rows are judged
     alike, each once. An empty table gives no rows. Other columns, whatever their names, are not carried.
     """
     edges = alias_edges(pages) if edges is None else edges
@@ -127,6 +130,6 @@ WITH p AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM q
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict,
-       host || substr(regexp_extract(rest, '^[^#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS alias_of
+       CASE WHEN host <> '' THEN host || substr(regexp_extract(rest, '^[^#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) END AS alias_of
 FROM r
 """
