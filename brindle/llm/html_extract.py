@@ -23,6 +23,9 @@ from .common import batched, table
 
 #: Fixed values of HTML: elements whose content is no text, that never hold anything, and that are inside a line.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head".split())
+#: Of these, those that end at once with a slash, and those whose content is read as markup where nothing closes them.
+FOREIGN = frozenset("svg math object canvas iframe".split())
+OPEN = frozenset("svg math object canvas select noscript template iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open paragraph.
@@ -42,6 +45,7 @@ def blocks_of(page: str) -> list[Block]:
     path: tuple[str, ...] = ()
     out: list[Block] = []
     parts: list[str] = []
+    unclosed: set[str] = set()
     linked, links, at, n = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -65,11 +69,15 @@ def blocks_of(page: str) -> list[Block]:
         if not name or not (m[4] or m[8]):  # a comment, a declaration, or a tag that the page's end cuts off
             continue
         closing = bool(m[1] or m[5])
+        alone = (m[3] or m[7] or "").endswith("/")  # <svg ... /> has no content
         if name in RAW and not closing:
-            if name == "head":
+            if name == "head" or alone and name in FOREIGN:
+                continue
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if not end and name in OPEN:
+                unclosed.add(name)  # never closed, here and further on: what follows is read as markup
                 continue
             flush()
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if name == "head":
@@ -85,7 +93,7 @@ def blocks_of(page: str) -> list[Block]:
             if any(t == name for t, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-        elif name not in VOID and not (m[3] or m[7] or "").endswith("/"):
+        elif name not in VOID and not alone:
             if name in ENDS_P and stack and stack[-1][0] == "p" or name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
             names = " ".join(a or b or c or k for k, a, b, c in ((x[0].split("=")[0].strip().lower(), x[1], x[2], x[3]) for x in _NAMES.finditer(m[3] or m[7] or "")))
@@ -119,7 +127,7 @@ def features(blocks: list[Block]) -> list[list[int]]:
         f.append(f"stops {min(sum(map(text.count, '.!?')), 3)}")
         f.append(f"end {'.' if text[-1] in '.!?:' else '-'}")
         f.append("bar" if "|" in text or "·" in text or "»" in text else "no bar")
-        if "©" in text or "(c)" in text[:20].lower():
+        if "©" in text or text.lower().startswith("(c)"):
             f.append("copyright")
         if i == 0 or i == len(blocks) - 1:
             f.append("first" if i == 0 else "last")

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, and on odd rows."""
 
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -62,6 +64,42 @@ def test_url_classes(spark):
     assert url_filters.judge_urls(pages.limit(0), url_filters.RULES).count() == 0
 
 
+def test_urls_without_host_and_long_hosts(spark):
+    host = "h" * 5000 + ".org"
+    rows = [(1, "http://b.net/fr/", "<link rel=canonical href='http://#x'>"), (2, None, ""), (3, "nourl", ""), (4, f"http://{host}/a/b?q", "<link rel=canonical href='/c'>"), (5, f"http://{host}/c", ""), (6, f"http://{host}", "<link rel=canonical href='d?e'>"), (7, f"http://{host}/a/b?q=/x", "<link rel=canonical href='?r'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["alias_of"]) for r in url_filters.judge_urls(pages, url_filters.RULES).collect()}
+    assert got[1][0] == "block" and got[2] == got[3] == ("allow", None)
+    assert got[4] == got[5] == ("allow", f"{host}/a/b?q")
+    edges = {tuple(r) for r in url_filters.alias_edges(pages).collect()}
+    assert edges == {(f"{host}/a/b?q", f"{host}/c"), (host, f"{host}/d?e"), (f"{host}/a/b?q=/x", f"{host}/a/b?r")}
+
+
+def test_log_ratios_against_counts(spark):
+    rng = random.Random(3)
+    texts = [(i, None if i == 3 else "" if i == 4 else " ".join(rng.choices("red green blue, one! two café".split(), k=rng.randint(1, 30)))) for i in range(60)]
+    marks = [(i, int(i % 3 == 0)) for i in range(0, 60, 2)]
+    got = importance.log_ratios(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"))
+    raw, target = np.ones(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    for i, t in texts:
+        h = [zlib.crc32(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", (t or "").lower())]
+        for b in [x % importance.BUCKETS for x in h] + [(x * 1_000_003 + y * 8_191 + 1) % importance.BUCKETS for x, y in zip(h, h[1:])]:
+            raw[b] += 1
+            target[b] += dict(marks).get(i, 0)
+    raw /= raw.sum()
+    target += importance.PRIOR * raw
+    assert np.allclose(got, np.log(target / target.sum() / raw))
+
+
+def test_quality_on_labels(spark):
+    """Of labelled rows the good ones are kept, and what is dropped is mostly bad."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    rows = queries.QUERIES["op3_quality"](spark, sf).join(labels, "doc_id").groupBy("quality", "selected").count().collect()
+    n = {(r["quality"], r["selected"]): r["count"] for r in rows}
+    assert n[1, True] >= 0.97 * (n[1, True] + n.get((1, False), 0))
+
+
 def _fingerprint(text):
     words = (text or "").encode().lower().split()
     runs = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -275,6 +313,38 @@ def test_licenses(spark, odd):
     assert [r["matches"] for r in license_scan.scan_licenses(odd).collect()] == [[]] * len(ODD) and license_scan.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_license_versions_differ(spark):
+    texts = ["Licensed under the Apache License, Version 1.1 and so on", "This work is licensed under the GNU General Public License, version 2 only", "Licensed under the Apache License, Version 2.0."]
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = [[(m["license"], m["containment"]) for m in r["matches"]] for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert found == [[], [("GPL", 7 / 8)], [("Apache-2.0", 1.0)]]  # another version is one shingle of the notice's
+
+
+def test_licenses_against_containment_everywhere(spark):
+    """What is retrieved and verified against the largest containment in any stretch of the text, for edited templates."""
+    rng = random.Random(17)
+    flat = [(n, t) for n, ts in license_scan.TEMPLATES.items() for t in ts]
+    texts = []
+    for n, t in flat * 3:
+        words = t.split()
+        for _ in range(rng.choice([0, 0, 1, len(words) // 20])):
+            words[rng.randrange(len(words))] = "edited"
+        texts.append(" ".join(["pad"] * rng.randint(0, 30) + words + ["end"] * rng.randint(0, 30)))
+    got = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = wanted = 0
+    for i, text in enumerate(texts):
+        sh = license_scan.template_shingles(text)
+        want = set()
+        for n, t in flat:
+            own = license_scan.template_shingles(t)
+            reach = 3 * len(own) + 16
+            if max(len(set(own) & set(sh[a : a + reach])) for a in range(max(1, len(sh) - reach + 1))) >= 0.8 * len(set(own)):
+                want.add(n)
+        assert got[i] <= want
+        wanted, missed = wanted + len(want), missed + len(want - got[i])
+    assert wanted >= len(flat) * 2 and missed <= 0.02 * wanted
+
+
 def test_license_notices_of_the_data(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: {m["license"] for m in r["matches"]} for r in license_scan.scan_licenses(docs).collect()}
@@ -333,6 +403,26 @@ def test_html():
     assert len(html_extract.extract("<article>" + "<p>Some words in a line.</p>" * 20_000, chain).split("\n")) == 20_000
 
 
+def test_html_goes_on_after_what_has_no_end():
+    chain = html_extract.default_chain()
+    body = "<p>The first words of the story stand here.</p>{}<p>And the last words of it are here, too.</p></article></body></html>"
+    for odd in ("<svg width=3 />", "<object data=x />", "<canvas id=c>", "<select>", "<noscript>", "<svg><path d=1 /></svg>", "<iframe src=y></iframe>", "<math/>", "<template>"):
+        page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A title of some words</h1>" + body.format(odd)
+        assert html_extract.extract(page, chain) == "A title of some words\nThe first words of the story stand here.\nAnd the last words of it are here, too.", odd
+
+
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(2)
+    chain = html_extract.Chain()
+    chain.weight, chain.bias, chain.move = rng.normal(size=html_extract.FEATURES), 0.1, rng.normal(size=(2, 2))
+    for page, _ in html_extract.labelled_pages(12, seed=5):
+        blocks = html_extract.blocks_of(page)[:9]
+        own = chain.scores(blocks)
+        score = lambda ys: sum(s for s, y in zip(own, ys) if y) + sum(chain.move[a, b] for a, b in zip(ys, ys[1:]))  # noqa: E731, B023
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=score)
+        assert score(chain.decode(blocks)) == pytest.approx(score(best))
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", "")], "page_id long, url string, html string").withColumn("text", F.lit(3))
     got = html_extract.extract_pages(pages, html_extract.default_chain()).collect()
