@@ -13,20 +13,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def per_volume(df: DataFrame, keys: list[str], column: str, shape: tuple[int, ...], kernel: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """keys and the kernel's fields for each row; status is ok or the error's name, and the fields are null where it failed."""
+#: Bytes of volumes whose results are handed on together.
+FRAME_BYTES = 16 << 20
+
+
+def per_volume(df: DataFrame, keys: list[str], column: str, shape: tuple[int, ...], kernel: Callable[..., dict], schema: str, named: bool = False) -> DataFrame:
+    """keys and the kernel's fields for each row; status is ok or the error's name, and the fields are null where it failed. A frame of
+    results holds as many volumes as have FRAME_BYTES together, of one at least. named: the kernel also gets the row's first key."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    names = [s.strip().split(" ")[0] for s in schema.split(",")]
+    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for values in x[column]:
-                try:
-                    rows.append({**kernel(np.asarray(values, dtype=np.float64).reshape(shape)), "status": "ok"})
-                except Exception as e:  # a bad volume must not end the job
-                    rows.append({"status": type(e).__name__})
-            yield pd.concat([x[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "status"])], axis=1)
+        step = max(1, FRAME_BYTES // (8 * int(np.prod(shape))))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                x, rows = batch.iloc[at : at + step], []
+                for key, values in zip(x[keys[0]], x[column]):
+                    try:
+                        a = np.asarray(values, dtype=np.float64).reshape(shape)
+                        rows.append({**(kernel(a, key) if named else kernel(a)), "status": "ok"})
+                    except Exception as e:  # a bad volume must not end the job
+                        rows.append({"status": type(e).__name__})
+                yield pd.concat([x[keys].reset_index(drop=True), pd.DataFrame(rows, columns=[*names, "status"])], axis=1)
 
     return df.select(*keys, column).mapInPandas(run, f"{types}, {schema}, status string")
 
@@ -48,25 +56,31 @@ def band_power(a: np.ndarray, low: float, high: float) -> float:
     return float((np.abs(np.fft.fftn(a - a.mean())) ** 2)[(r >= low) & (r < high)].sum())
 
 
-def radial_spectrum(a: np.ndarray, bins: int = 8) -> np.ndarray:
-    """Mean power in bins of equal width from 0 to the largest frequency; 0 for an empty bin."""
-    r, power = radius_grid(a.shape).ravel(), (np.abs(np.fft.fftn(a)) ** 2).ravel()
-    which = np.clip((r / r.max() * bins).astype(int), 0, bins - 1)
+def _binned(where: np.ndarray, power: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of bins of equal width from 0 to the largest place, and the mean power in each, 0 for an empty one."""
+    edges = np.linspace(0, where.max(), bins + 1)
+    which = np.minimum(np.searchsorted(edges, where, "right") - 1, bins - 1)
     n = np.bincount(which, minlength=bins)
-    return np.divide(np.bincount(which, weights=power, minlength=bins), n, out=np.zeros(bins), where=n > 0)
+    return (edges[1:] + edges[:-1]) / 2, np.bincount(which, weights=power, minlength=bins) / np.maximum(n, 1)
+
+
+def radial_spectrum(a: np.ndarray, bins: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Bin centres and mean power by distance from frequency 0, of the mean-free volume."""
+    return _binned(radius_grid(a.shape).ravel(), (np.abs(np.fft.fftn(a - a.mean())) ** 2).ravel(), bins)
 
 
-def axis_spectrum(a: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+def axis_spectrum(a: np.ndarray, axis: int, bins: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies from 0 on and the power of the mean-free volume along one axis, its mean over the others; with bins, as radial_spectrum."""
     f = np.fft.fftfreq(a.shape[axis])
-    power = np.moveaxis(np.abs(np.fft.fft(a, axis=axis)) ** 2, axis, 0).reshape(len(f), -1).mean(1)
+    power = np.moveaxis(np.abs(np.fft.fft(a - a.mean(), axis=axis)) ** 2, axis, 0).reshape(len(f), -1).mean(1)
     keep = np.flatnonzero(f >= 0)
-    return f[keep], power[keep]
+    return _binned(f[keep], power[keep], bins) if bins else (f[keep], power[keep])
 
 
 def axis_f99(a: np.ndarray, axis: int, level: float = 0.99) -> float:
-    """The frequency up to which an axis holds that share of its power without DC; NaN for under three bins or no power."""
+    """The frequency up to which an axis holds that share of its power without DC; NaN for under three frequencies or no power."""
     f, p = axis_spectrum(a, axis)
-    f, p = f[1:], p[1:]
+    p[0] = 0
     if len(f) < 3 or p.sum() <= 0:
         return float("nan")
     return float(np.interp(level, np.cumsum(p) / p.sum(), f))
@@ -115,10 +129,10 @@ def _flood(seed: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 def foreground(a: np.ndarray, percentile: float = 55) -> np.ndarray:
-    """Above the percentile, closed by a cube of three, holes filled, the largest part joined through faces."""
+    """Above the percentile, closed by a cube of three (beyond the border lies background), holes filled, the largest part joined through faces."""
     m = a > np.percentile(a, percentile)
     m = np.logical_or.reduce(list(_shifted(m, False, True)))
-    m = np.logical_and.reduce(list(_shifted(m, True, True)))
+    m = np.logical_and.reduce(list(_shifted(m, False, True)))
     border = np.ones_like(m)
     border[tuple(slice(1, -1) for _ in m.shape)] = False
     m = ~_flood(border & ~m, ~m)
@@ -136,41 +150,105 @@ def kept_band(n: int, kept: int) -> slice:
     return slice((n - kept) // 2, (n - kept) // 2 + kept)
 
 
-def degrade(a: np.ndarray, factors: tuple[float, ...], mode: str = "fermi", apod: float = 0.3, snr: float = 0.0, seed: int = 0, p1: float = 1.0, p2: float = 0.1) -> dict[str, np.ndarray]:
+#: Standard deviations in a full width at half maximum.
+FWHM = 2 * np.sqrt(2 * np.log(2))
+
+
+def coarse_size(n: int, factor: float) -> int:
+    """The even size of an axis on a grid coarser by factor."""
+    m = int(np.rint(n / factor))
+    return m - m % 2
+
+
+def even_padding(n: int, factor: float) -> tuple[int, int]:
+    """Samples to add before and after, so that an axis is a multiple of twice the rounded factor."""
+    short = -n % (2 * max(1, int(np.rint(factor))))
+    return short // 2, short - short // 2
+
+
+def axis_window(f: np.ndarray, kept: float, mode: str, apod: float, slab: bool, slab_fwhm: float) -> np.ndarray:
+    """The window of one axis at frequencies f, of which the share kept stays: a Tukey of taper apod, or the spectrum of a Gaussian
+    whose width at half maximum is a coarse voxel (slab_fwhm of them across a slab)."""
+    r = np.abs(f) / (kept / 2 + 1e-12)
+    if mode == "gaussian" or slab:
+        width = (slab_fwhm if slab and mode != "gaussian" else 1.0) / kept / FWHM
+        w = np.exp(-2 * (np.pi * width * f) ** 2)
+    else:
+        w = 0.5 + 0.5 * np.cos(np.pi * np.clip((r - 1 + apod) / max(apod, 1e-300), 0, 1)) if apod > 0 else np.ones_like(r)
+    return np.where(np.abs(f) <= kept / 2 + 1e-12, w, 0.0)
+
+
+def kspace_window(shape: tuple[int, ...], kept: tuple[float, ...], mode: str = "fermi", apod: float | None = None, slice_axis: int = 2, slab_fwhm: float = 1.2, p1: float = 0.9, p2: float = 0.1) -> np.ndarray:
+    """The weights of centred k-space for a coarser acquisition. fermi: a radial roll-off at p1 of the coarse Nyquist frequency, p2 wide.
+    Others are products over the axes: kspace (a box, or a Tukey of apod), kspace_hann (a Hann), gaussian, and slab (a Gaussian across the slices, a box within)."""
+    if mode not in ("fermi", "kspace", "kspace_hann", "gaussian", "slab"):
+        raise ValueError(f"unknown mode {mode}")
+    axes = [(np.arange(n) - n // 2) / n for n in shape]
+    if mode == "fermi":
+        squares = np.meshgrid(*[(f / (k / 2 + 1e-12)) ** 2 for f, k in zip(axes, kept)], indexing="ij")
+        return 1 / (1 + np.exp((np.sqrt(sum(squares)) - p1) / p2))
+    taper = min(float(mode == "kspace_hann") if apod is None else apod, 1.0)
+    window = np.ones(())
+    for k, (f, share) in enumerate(zip(axes, kept)):
+        window = np.multiply.outer(window, axis_window(f, share, mode, taper, mode == "slab" and k == slice_axis, slab_fwhm))
+    return window
+
+
+def foreground_mean(a: np.ndarray, percentile: float = 60) -> float:
+    """The mean of what exceeds the percentile, of all finite values where that is under 100 of them; 0 if none is finite."""
+    a = a[np.isfinite(a)]
+    if not a.size:
+        return 0.0
+    high = a[a > np.percentile(a, percentile)]
+    return float((high if high.size >= 100 else a).mean())
+
+
+def sigma_for_snr(a: np.ndarray, snr: float, gain: float = 1.0) -> float:
+    """The noise that gives the foreground this signal-to-noise ratio, less by the gain of larger voxels."""
+    return foreground_mean(a) / snr / gain if snr and snr > 0 else 0.0
+
+
+def add_rician(a: np.ndarray, sigma: float, rng: np.random.Generator) -> np.ndarray:
+    """The modulus of the volume with complex normal noise."""
+    return np.hypot(a + rng.normal(0, sigma, a.shape), rng.normal(0, sigma, a.shape)) if sigma > 0 else a
+
+
+def _centred(a: np.ndarray) -> np.ndarray:
+    return np.fft.fftshift(np.fft.fftn(a))
+
+
+def _from_centred(k: np.ndarray) -> np.ndarray:
+    return np.fft.ifftn(np.fft.ifftshift(k)).real
+
+
+def degrade(a: np.ndarray, factors: tuple[float, ...], mode: str = "fermi", apod: float | None = None, snr: float = 0.0, seed: int = 0, slice_axis: int = 2, slab_fwhm: float = 1.2, source: tuple[float, ...] = (1.0, 1.0, 1.0), target: tuple[float, ...] = (2.0, 2.0, 2.0), voxel_gain: bool = True, p1: float = 0.9, p2: float = 0.1) -> dict:
     """A coarser acquisition of a volume and its return to the fine grid, both by cropping and zero-filling k-space.
 
-    low has about shape / factor samples an axis, even in number; up has the shape of a. Modes: fermi (radial), kspace
-    (Tukey of apod), kspace_hann, gaussian, slab (a box). snr > 0 adds Rician noise to low, seeded.
+    The volume is padded by its edges to even multiples of the factors first. low is the coarse volume, up has the shape of a, info tells
+    padded and coarse shape, padding, kept shares, mode and noise. snr > 0 adds Rician noise to low, seeded; voxel_gain lessens
+    it by the ratio of target's voxel to source's. Windows: see kspace_window.
     """
-    low = tuple(max(2, (m := int(np.rint(n / f))) - m % 2) if f > 1 else n for n, f in zip(a.shape, factors))
-    spectrum = np.fft.fftshift(np.fft.fftn(a))
-    axes = [(np.arange(n) - n // 2) / n for n in a.shape]
-    edge = [m / n / 2 for n, m in zip(a.shape, low)]
-    if mode == "fermi":
-        dv = np.sqrt(sum(g * g for g in np.meshgrid(*[f / k for f, k in zip(axes, edge)], indexing="ij")))
-        window = 1 / (1 + np.exp(np.clip((dv - p1) / p2, -60, 60)))
-    else:
-        flat = {"kspace": apod, "kspace_hann": 1.0, "slab": 0.0}
-        window = np.ones(())
-        for f, k in zip(axes, edge):
-            r = np.abs(f) / k
-            if mode == "gaussian":
-                w = np.where(r <= 1, np.exp(-2 * (np.pi * f / (2 * k) / 2.3548) ** 2), 0)
-            else:
-                t = flat[mode]
-                w = np.where(r > 1 + 1e-12, 0.0, np.where((r <= 1 - t) | (t <= 0), 1.0, 0.5 * (1 + np.cos(np.pi * (r - (1 - t)) / max(t, 1e-12)))))
-            window = np.multiply.outer(window, w)
-    box = tuple(kept_band(n, m) for n, m in zip(a.shape, low))
-    scale = np.prod(low) / np.prod(a.shape)
-    coarse = np.abs(np.fft.ifftn(np.fft.ifftshift((spectrum * window)[box]))) * scale
-    if snr > 0:
-        rng = np.random.default_rng(seed)
-        level = coarse[coarse > np.percentile(coarse, 60)]
-        sigma = (level.mean() if len(level) >= 100 else coarse.mean()) / snr
-        coarse = np.sqrt((coarse + rng.normal(0, sigma, coarse.shape)) ** 2 + rng.normal(0, sigma, coarse.shape) ** 2)
-    full = np.zeros(a.shape, dtype=complex)
-    full[box] = np.fft.fftshift(np.fft.fftn(coarse))
-    return {"low": coarse, "up": np.maximum(np.abs(np.fft.ifftn(np.fft.ifftshift(full))) / scale, 0)}
+    pads = [even_padding(n, f) for n, f in zip(a.shape, factors)]
+    whole = np.pad(np.asarray(a, dtype=np.float64), pads, mode="edge")
+    size = tuple(coarse_size(n, f) for n, f in zip(whole.shape, factors))
+    kept = tuple(m / n for m, n in zip(size, whole.shape))
+    box = tuple(kept_band(n, m) for n, m in zip(whole.shape, size))
+    scale = float(np.prod(kept))
+    low = np.abs(_from_centred((_centred(whole) * kspace_window(whole.shape, kept, mode, apod, slice_axis, slab_fwhm, p1, p2))[box])) * scale
+    level, gain = foreground_mean(low), float(np.prod(target) / np.prod(source)) if voxel_gain else 1.0
+    sigma = sigma_for_snr(low, snr, gain)
+    low = add_rician(low, sigma, np.random.default_rng(seed))
+    full = np.zeros(whole.shape, dtype=complex)
+    full[box] = _centred(low)
+    up = np.abs(_from_centred(full) / scale)[tuple(slice(before, before + n) for (before, _), n in zip(pads, a.shape))]
+    info = {"padded_shape": list(whole.shape), "pad_before": [before for before, _ in pads], "lowres_shape": list(size), "keep_fraction": list(kept), "mode": mode, "foreground_mean": level, "noise_sigma": sigma}
+    return {"low": low, "up": up, "info": info}
+
+
+def degraded_row(a: np.ndarray, factors: tuple[float, ...]) -> dict:
+    """What degrade gives, as the fields of a row."""
+    x = degrade(a, factors)
+    return {"low": x["low"].ravel().tolist(), "up": x["up"].ravel().tolist(), "info": x["info"]}
 
 
 def tile_starts(n: int, tile: int, stride: int) -> list[int]:

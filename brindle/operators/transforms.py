@@ -5,6 +5,7 @@ What is drawn at random comes from `seeded`, so a repeated task draws the same a
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -28,6 +29,11 @@ def seeded(seed: int, a: np.ndarray) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(np.ascontiguousarray(a).tobytes())])
 
 
+def named_seed(*parts) -> int:
+    """What sampling.stable_seed gives for the same parts: a seed from, say, a run's seed, a volume's name and the epoch."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
 def _cubic(d: np.ndarray) -> np.ndarray:
     """The cubic B-spline."""
     d = np.abs(d)
@@ -290,7 +296,8 @@ def augment_pair(a: np.ndarray, b: np.ndarray, rng: np.random.Generator, chance:
 
 
 def random_degrade(a: np.ndarray, rng: np.random.Generator, factors: tuple[float, ...] = (2, 2, 2), apod: tuple[float, float] = (0.0, 0.3), snr: tuple[float, float] = (20.0, 40.0), modes: tuple[str, ...] = ("kspace",)) -> np.ndarray:
-    """The whole volume through the forward model with a drawn window, taper and noise level."""
+    """The whole volume through the forward model with a drawn window, taper and noise level. Give each volume and epoch a generator of
+    its own (named_seed), so that epochs differ and equal volumes too."""
     mode = modes[rng.integers(len(modes))]
     return kernels.degrade(a, factors, mode=mode, apod=rng.uniform(*apod), snr=rng.uniform(*snr), seed=int(rng.integers(2**31)))["up"]
 
@@ -321,8 +328,9 @@ def hilbert_rank(at: list[np.ndarray], bits: int) -> np.ndarray:
 def curve_order(shape: tuple[int, ...], kind: str) -> np.ndarray:
     """Flat indices (C order) in the order that a curve visits them, a permutation.
 
-    hilbert: a Hilbert curve over the whole box. slices: one over each z slice, slice by slice. spiral: each slice from its border inwards. Sides that are no power of two
-    take the part of the next larger curve that lies inside, so steps there may leap.
+    hilbert: a Hilbert curve over the whole box. slices: one over each z slice, slice by slice. spiral: each slice from its border inwards,
+    and the next one back outwards. hilbert and slices over sides that are no power of two take the part of the next larger curve that lies
+    inside, so steps there may leap.
     """
     at = [v.ravel() for v in np.meshgrid(*[np.arange(n) for n in shape], indexing="ij")]
     bits = max(1, int(np.ceil(np.log2(max(max(shape), 2)))))
@@ -337,7 +345,8 @@ def curve_order(shape: tuple[int, ...], kind: str) -> np.ndarray:
     w, h = shape[0] - 1 - 2 * ring, shape[1] - 1 - 2 * ring
     u, v = x - ring, y - ring
     place = np.where(u == 0, v, np.where(v == h, h + u, np.where(u == w, h + w + (h - v), 2 * h + w + (w - u))))
-    return np.lexsort((place, ring, z))
+    back = np.where(z % 2, -1, 1)  # odd slices go from the middle outwards
+    return np.lexsort((place * back, ring * back, z))
 
 
 def all_metrics(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) -> dict[str, float]:
@@ -354,9 +363,31 @@ def all_metrics(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None = None) ->
     return out
 
 
-def headroom(a: np.ndarray, factors: tuple[float, ...] = (2, 2, 2)) -> dict[str, float]:
-    """How well plain degrading keeps a volume: PSNR over the foreground, both scaled by the volume's own range; and the foreground's share."""
-    mask, span = kernels.foreground(a), max(float(np.ptp(a)), 1e-12)
-    d = ((kernels.degrade(a, factors)["up"] - a) / span)[mask]
-    mse = float((d * d).mean()) if d.size else float("nan")
+def headroom(a: np.ndarray, factors: tuple[float, ...] = (2, 2, 2), mode: str = "kspace", snr: float = 0.0) -> dict[str, float]:
+    """How well plain degrading keeps a volume: PSNR over the foreground, both on the volume's own range; and the foreground's share. NaN without foreground."""
+    low, span = a.min(), max(float(np.ptp(a)), 1e-12)
+    own, other = (a - low) / span, np.clip((kernels.degrade(a, factors, mode=mode, snr=snr)["up"] - low) / span, 0, 1)
+    mask = kernels.foreground(own)
+    if not mask.any():
+        return {"db": float("nan"), "share": float("nan")}
+    mse = float(((other - own)[mask] ** 2).mean())
     return {"db": float("inf") if mse <= 0 else -10 * float(np.log10(mse)), "share": float(mask.mean())}
+
+
+def audit(a: np.ndarray, spacing: tuple[float, ...] = (1.0, 1.0, 1.0), cutoff: float = 0.25, masked: bool = True) -> dict:
+    """What resolution a volume really has, within the box of its foreground and scaled by its largest magnitude: hf025 (power beyond
+    cutoff), f99 of each axis, eff_mm (the voxel that the worst axis' f99 stands for), worst_axis, cliff (power just above the cutoff over
+    that just below), shape and spacing as text."""
+    if masked:
+        mask = kernels.foreground((a - a.min()) / max(float(np.ptp(a)), 1e-12))
+        if mask.any():
+            a = a[tuple(slice(int(i.min()), int(i.max()) + 1) for i in np.nonzero(mask))]
+    a = a / max(float(np.abs(a).max()), 1e-12)
+    f99 = [kernels.axis_f99(a, k) for k in range(a.ndim)]
+    known = [k for k, f in enumerate(f99) if not np.isnan(f)]
+    worst = min(known, key=lambda k: f99[k]) if known else 0
+    below, above = kernels.band_power(a, 0.2, cutoff), kernels.band_power(a, cutoff, 0.3)
+    return {
+        "hf025": kernels.hf_energy(a, cutoff), "f99": f99, "eff_mm": 0.5 / f99[worst] * spacing[worst] if known and f99[worst] > 0 else float("nan"), "worst_axis": "xyz"[worst],
+        "cliff": above / below if below > 0 else float("nan"), "shape": "x".join(map(str, a.shape)), "spacing": ",".join(f"{s:.2f}" for s in spacing),
+    }

@@ -10,7 +10,7 @@ from ..operators import folds, sampling
 from ..operators import geometry as G
 from .catalogue import query, table
 from .cohort import WITH, cohort
-from .volumes import W, elements, kernel, measure, signals
+from .volumes import W, by_place, elements, kernel, measure, places, signals
 
 #: A made-up affine: voxel axes run to posterior, right and superior.
 AFFINE = np.array([[0.0, 1.5, 0, -10], [-1, 0, 0, 20], [0, 0, 2, 5], [0, 0, 0, 1]])
@@ -23,7 +23,9 @@ def _reoriented(a: np.ndarray) -> dict:
 
 kernel("reorient", _reoriented, "values array<double>, affine array<double>, letters string")
 kernel("pad_to", lambda a: dict(zip(("values", "start"), (lambda b, at: (b.ravel().tolist(), list(at)))(*G.pad_to(a, (4, 6, 4), 4)))), "values array<double>, start array<int>")
-kernel("turn_matrix", lambda a: {"turn": G.about_axis(tuple(a[0, 0, :3]), float(a[0, 0, 3])).ravel().tolist()}, "turn array<double>")
+places("pad_to_places", lambda a: G.pad_to(a, (4, 8, 4), 4)[0], "", by_place("a[x.i * 16 + least(3, greatest(0, y.i - 2)) * 4 + z.i + 1]", (4, 8, 4)))
+TURN = "u AS (SELECT vec_id, a[1] / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) AS x, a[2] / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) AS y, a[3] / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) AS z, cos(a[4]) AS c, sin(a[4]) AS s FROM e), m AS (SELECT vec_id, [c + x * x * (1 - c), x * y * (1 - c) - z * s, x * z * (1 - c) + y * s, y * x * (1 - c) + z * s, c + y * y * (1 - c), y * z * (1 - c) - x * s, z * x * (1 - c) - y * s, z * y * (1 - c) + x * s, c + z * z * (1 - c)] AS m FROM u)"
+places("turn_matrix", lambda a: G.about_axis(tuple(a[0, 0, :3]), float(a[0, 0, 3]))[:3, :3], TURN, "SELECT vec_id, i.i AS pos, m[i.i + 1] AS v FROM m, range(9) i(i)")
 
 MEAN, SD = "list_avg(a)", "list_aggregate(a, 'stddev_pop')"
 elements(
@@ -86,3 +88,30 @@ def _(spark, sf):
 @query("cv_carve")
 def _(spark, sf):
     return folds.carve(cohort(spark, sf), folds.kfold_groups(cohort(spark, sf), "o_custkey", "weighting", 4), "o_custkey", "weighting", 4, 0.2)
+
+
+def checked(name: str, rounds: int, splits) -> None:
+    """Whether a greedy split keeps what it must: each group in one split of each round, and none left out."""
+    sql = WITH + f"SELECT r.i AS round, count(DISTINCT o_custkey) AS groups, 0 AS leaks, 0 AS missing FROM cohort, range({rounds}) r(i) GROUP BY 1"
+
+    @query(name, sql)
+    def _(spark, sf):
+        c = cohort(spark, sf)
+        found = splits(c).groupBy("round", "o_custkey").agg(F.countDistinct("split").alias("n"))
+        every = c.select("o_custkey").distinct().join(F.broadcast(spark.range(rounds).withColumnRenamed("id", "round")))  # a row a round
+        both = every.join(found, ["round", "o_custkey"], "left")
+        return both.groupBy("round").agg(F.count("*").alias("groups"), F.count_if(F.col("n") > 1).alias("leaks"), F.count_if(F.col("n").isNull()).alias("missing"))
+
+
+checked("kfold_groups_kept", 1, lambda c: folds.kfold_groups(c, "o_custkey", "weighting", 5).select("o_custkey", F.lit(0).alias("round"), F.col("fold").alias("split")))
+checked("dev_split_kept", 1, lambda c: folds.dev_split(c, "o_custkey", "weighting", QUOTAS, QUOTAS).withColumn("round", F.lit(0)))
+checked("cv_carve_kept", 4, lambda c: folds.carve(c, folds.kfold_groups(c, "o_custkey", "weighting", 4), "o_custkey", "weighting", 4, 0.2))
+
+
+@query("quota_split_met", WITH + "SELECT weighting, least(count(*), q.n) AS n FROM cohort JOIN (VALUES ('f', 20), ('o', 20), ('p', 2)) q(w, n) ON q.w = weighting GROUP BY weighting, q.n")
+def _(spark, sf):
+    """Of each stratum as many rows as its quota asks, where there are so many."""
+    c = cohort(spark, sf)
+    taken = c.join(folds.quota_split(c, "o_custkey", "weighting", QUOTAS), "o_custkey").groupBy("weighting").agg(F.count("*").alias("n"))
+    asked = spark.createDataFrame(list(QUOTAS.items()), "weighting string, asked long")
+    return taken.join(asked, "weighting").select("weighting", F.least("n", "asked").alias("n"))

@@ -140,47 +140,129 @@ def _(spark, sf):
 
 
 CUBE = (4, 4, 4)
+#: The places of a volume; a[16 x + 4 y + z + 1] is the value there.
+PLACES = "range(4) x(i), range(4) y(i), range(4) z(i)"
+#: Power of the mean-free volume at each frequency (kx, ky, kz) and the distance r from 0, by sums of cosines and sines, axis by axis.
+POWER = """d AS (SELECT vec_id, x.i AS x, y.i AS y, z.i AS z, a[x.i * 16 + y.i * 4 + z.i + 1] - list_avg(a) AS re, 0.0 AS im FROM e, range(4) x(i), range(4) y(i), range(4) z(i)),
+f1 AS (SELECT vec_id, k.i AS x, y, z, sum(re * cos(pi() * k.i * x / 2) + im * sin(pi() * k.i * x / 2)) AS re, sum(im * cos(pi() * k.i * x / 2) - re * sin(pi() * k.i * x / 2)) AS im FROM d, range(4) k(i) GROUP BY 1, 2, 3, 4),
+f2 AS (SELECT vec_id, x, k.i AS y, z, sum(re * cos(pi() * k.i * y / 2) + im * sin(pi() * k.i * y / 2)) AS re, sum(im * cos(pi() * k.i * y / 2) - re * sin(pi() * k.i * y / 2)) AS im FROM f1, range(4) k(i) GROUP BY 1, 2, 3, 4),
+f3 AS (SELECT vec_id, x, y, k.i AS z, sum(re * cos(pi() * k.i * z / 2) + im * sin(pi() * k.i * z / 2)) AS re, sum(im * cos(pi() * k.i * z / 2) - re * sin(pi() * k.i * z / 2)) AS im FROM f2, range(4) k(i) GROUP BY 1, 2, 3, 4),
+p AS (SELECT vec_id, x, y, z, re * re + im * im AS power, sqrt(pow(least(x, 4 - x) / 4.0, 2) + pow(least(y, 4 - y) / 4.0, 2) + pow(least(z, 4 - z) / 4.0, 2)) AS r FROM f3)"""
+
+
+def kernel(name, function, schema, sql=None):
+    @query(name, sql)
+    def _(spark, sf):
+        found = K.per_volume(signals(spark, sf), ["vec_id"], "a", CUBE, function, schema)
+        return found.drop("status") if sql else found
+
+
+def _with(steps: str) -> str:
+    return f"WITH {E}, {steps} " if steps else f"WITH {E} "
+
 
+def one(name, function, steps, value, rows, digits=6):
+    """A query of one number a volume; its SQL: common tables, the value, and what it is selected from."""
 
-def kernel(name, function, schema):
-    @query(name)
+    @query(name, _with(steps) + f"SELECT vec_id, round({value}, {digits}) AS {name} FROM {rows}")
     def _(spark, sf):
-        return K.per_volume(signals(spark, sf), ["vec_id"], "a", CUBE, function, schema)
+        got = K.per_volume(signals(spark, sf), ["vec_id"], "a", CUBE, lambda a: {"v": float(function(a))}, "v double")
+        return got.select("vec_id", F.round("v", digits).alias(name))
 
 
-kernel("radial_spectrum", lambda a: {"power": K.radial_spectrum(a).tolist()}, "power array<double>")
-kernel("axis_spectrum", lambda a: {"power": K.axis_spectrum(a, 0)[1].tolist()}, "power array<double>")
-kernel("band_power", lambda a: {"power": K.band_power(a, 0.2, 0.45)}, "power double")
+def places(name, function, steps, values, digits=6):
+    """A query of a row for each value that a kernel gives, with its place in C order; its SQL: common tables, and a select of vec_id, pos and v."""
+
+    @query(name, _with(steps) + f"SELECT vec_id, pos, round(v, {digits}) AS x FROM ({values})")
+    def _(spark, sf):
+        got = K.per_volume(signals(spark, sf), ["vec_id"], "a", CUBE, lambda a: {"values": np.asarray(function(a), dtype=float).ravel().tolist()}, "values array<double>")
+        return got.select("vec_id", F.posexplode("values").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", digits).alias("x"))
+
+
+def by_place(value: str, shape: tuple[int, int, int] = CUBE) -> str:
+    """SQL with a row for each place (x, y, z) of a grid and the value there."""
+    n, m, k = shape
+    return f"SELECT vec_id, x.i * {m * k} + y.i * {k} + z.i AS pos, {value} AS v FROM e, range({n}) x(i), range({m}) y(i), range({k}) z(i)"
+
+
+def held(c: str, n: int = 3) -> str:
+    return f"least({n}, greatest(0, {c}))"
+
+
+places("radial_spectrum", lambda a: K.radial_spectrum(a, 8)[1], POWER + ", w AS (SELECT vec_id, least(CAST(floor(r / (sqrt(0.75) / 8) + 1e-9) AS BIGINT), 7) AS bin, power FROM p), g AS (SELECT vec_id, bin, avg(power) AS v FROM w GROUP BY 1, 2)", "SELECT e.vec_id, b.i AS pos, coalesce(v, 0.0) AS v FROM e CROSS JOIN range(8) b(i) LEFT JOIN g ON g.vec_id = e.vec_id AND g.bin = b.i")
+places("axis_spectrum", lambda a: K.axis_spectrum(a, 0)[1], POWER.split("f2 AS")[0].rstrip(",\n ") , "SELECT vec_id, x AS pos, avg(re * re + im * im) AS v FROM f1 WHERE x < 2 GROUP BY 1, 2")
+one("band_power", lambda a: K.band_power(a, 0.2, 0.45), POWER, "coalesce(sum(power) FILTER (r >= 0.2 AND r < 0.45), 0)", "p GROUP BY 1")
+DIFF = {k: f"CASE {k}.i WHEN 0 THEN {b} - {c} WHEN 3 THEN {c} - {d} ELSE ({b} - {d}) / 2 END" for k, (b, c, d) in {"x": ("a[(x.i + 1) * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[(x.i - 1) * 16 + y.i * 4 + z.i + 1]"), "y": ("a[x.i * 16 + (y.i + 1) * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + (y.i - 1) * 4 + z.i + 1]"), "z": ("a[x.i * 16 + y.i * 4 + z.i + 2]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i]")}.items()}
+one("sharpness", K.sharpness, "g AS (SELECT vec_id, sqrt(" + " + ".join(f"pow({DIFF[k]}, 2)" for k in "xyz") + f") AS g FROM e, {PLACES})", "avg(g)", "g GROUP BY 1")
+places("percentile_norm", K.percentile_norm, "q AS (SELECT vec_id, a, list_aggregate(a, 'quantile_cont', 0.005) AS lo, list_aggregate(a, 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+EDGE = " + ".join(f"pow({c}, 2)" for c in ("CASE WHEN x.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[(x.i - 1) * 16 + y.i * 4 + z.i + 1]"), "CASE WHEN y.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[x.i * 16 + (y.i - 1) * 4 + z.i + 1]"), "CASE WHEN z.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[x.i * 16 + y.i * 4 + z.i]")))
+one("edge_weighted_l1", lambda a: K.edge_weighted_l1(a, a[::-1]), f"t AS (SELECT vec_id, a, list_concat(a[49:64], a[33:48], a[17:32], a[1:16]) AS t FROM e), g AS (SELECT vec_id, sqrt({EDGE} + 1e-12) AS g, abs(a[x.i * 16 + y.i * 4 + z.i + 1] - t[x.i * 16 + y.i * 4 + z.i + 1]) AS d FROM t, {PLACES}), w AS (SELECT vec_id, d, 1 + 2 * least(1.0, g / (4 * avg(g) OVER (PARTITION BY vec_id))) AS w FROM g)", "sum(w * d) / sum(w)", "w GROUP BY 1")
+one("blend_identity", lambda a: np.abs(K.blend(a, 2, 1) - a).max(), "", "CAST(0 AS DOUBLE)", "e")
+places("translate", lambda a: T.translate(a, (1, -2, 0)), "", by_place("CASE WHEN x.i >= 1 AND y.i < 2 THEN a[(x.i - 1) * 16 + (y.i + 2) * 4 + z.i + 1] ELSE 0 END"))
+places("rotate_quarter", lambda a: T.rotate(a, (0, 0, 90)), "", by_place("a[y.i * 16 + (3 - x.i) * 4 + z.i + 1]"))
+LAP = " + ".join(f"a[{held('x.i + ' + str(i))} * 16 + {held('y.i + ' + str(j))} * 4 + {held('z.i + ' + str(k))} + 1]" for i, j, k in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+places("laplacian", T.laplacian, "", by_place(LAP + " - 6 * a[x.i * 16 + y.i * 4 + z.i + 1]"))
+SOBEL = "o AS (SELECT * FROM (VALUES (-1),(0),(1)) o(o)), n AS (SELECT vec_id, x.i AS x, y.i AS y, z.i AS z, dx.o AS dx, dy.o AS dy, dz.o AS dz, CASE WHEN x.i + dx.o BETWEEN 0 AND 3 AND y.i + dy.o BETWEEN 0 AND 3 AND z.i + dz.o BETWEEN 0 AND 3 THEN a[(x.i + dx.o) * 16 + (y.i + dy.o) * 4 + z.i + dz.o + 1] ELSE -1 END AS v FROM e, range(4) x(i), range(4) y(i), range(4) z(i), o dx, o dy, o dz), g AS (SELECT vec_id, x * 16 + y * 4 + z AS pos, sum(v * dx * (2 - abs(dy)) * (2 - abs(dz))) / 4 AS gx, sum(v * dy * (2 - abs(dx)) * (2 - abs(dz))) / 4 AS gy, sum(v * dz * (2 - abs(dx)) * (2 - abs(dy))) / 4 AS gz FROM n GROUP BY 1, 2)"
+places("sobel", T.sobel, SOBEL, "SELECT vec_id, pos, 2 * ((exp(2 * sqrt(gx * gx + gy * gy + gz * gz)) - 1) / (exp(2 * sqrt(gx * gx + gy * gy + gz * gz)) + 1)) - 1 AS v FROM g")
+places("resample_nearest", lambda a: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), "nearest"), "", by_place("a[CAST(floor(least(3.0, x.i * 0.5) + 0.5) AS BIGINT) * 16 + CAST(floor(least(3.0, y.i * 0.8) + 0.5) AS BIGINT) * 4 + CAST(floor(least(3.0, z.i * 2.0) + 0.5) AS BIGINT) + 1]", (8, 5, 2)))
+LINEAR = f"c AS (SELECT vec_id, a, x.i * 10 + y.i * 2 + z.i AS pos, least(3.0, x.i * 0.5) AS px, least(3.0, y.i * 0.8) AS py, least(3.0, z.i * 2.0) AS pz FROM e, range(8) x(i), range(5) y(i), range(2) z(i)), b AS (SELECT vec_id, pos, a[least(3, CAST(floor(px) AS BIGINT) + i.i) * 16 + least(3, CAST(floor(py) AS BIGINT) + j.i) * 4 + least(3, CAST(floor(pz) AS BIGINT) + k.i) + 1] * (CASE i.i WHEN 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE j.i WHEN 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) * (CASE k.i WHEN 0 THEN 1 - (pz - floor(pz)) ELSE pz - floor(pz) END) AS v FROM c, range(2) i(i), range(2) j(i), range(2) k(i))"
+places("resample_linear", lambda a: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), "linear"), LINEAR, "SELECT vec_id, pos, sum(v) AS v FROM b GROUP BY 1, 2")
+
+
+def tapped(window: str) -> tuple[str, str]:
+    """SQL that resamples the axes by eight taps each, weighted by a window of the distance {d} and normalised; beyond the ends the last value goes on."""
+    steps = []
+    for axis, step, count in (("x", 0.5, 8), ("y", 0.8, 5), ("z", 2.0, 2)):
+        at = f"least(3.0, i.i * {step})"
+        weight = window.format(d=f"({at} - floor({at}) - (k.i - 3))")
+        steps.append(f"t{axis} AS (SELECT i.i AS i, greatest(0, least(3, CAST(floor({at}) AS BIGINT) + k.i - 3)) AS src, {weight} AS w FROM range({count}) i(i), range(8) k(i))")
+        steps.append(f"w{axis} AS (SELECT i, src, sum(w) / sum(sum(w)) OVER (PARTITION BY i) AS w FROM t{axis} GROUP BY 1, 2)")
+    return ", ".join(steps), "SELECT vec_id, x.i * 10 + y.i * 2 + z.i AS pos, sum(x.w * y.w * z.w * a[x.src * 16 + y.src * 4 + z.src + 1]) AS v FROM e, wx x, wy y, wz z GROUP BY 1, 2"
+
+
+SINC = "CASE WHEN abs({d}) < 1e-12 THEN 1.0 WHEN abs({d}) > 4 THEN 0.0 ELSE sin(pi() * {d}) / (pi() * {d}) END"
+TAPERS = {
+    "hamming": "0.54 + 0.46 * cos(pi() * {d} / 4)", "cosine": "cos(pi() * {d} / 8)", "welch": "1 - {d} * {d} / 16",
+    "lanczos": "CASE WHEN abs({d}) < 1e-12 THEN 1.0 ELSE sin(pi() * {d} / 4) / (pi() * {d} / 4) END", "blackman": "0.42 + 0.5 * cos(pi() * {d} / 4) + 0.08 * cos(pi() * {d} / 2)",
+}
+places("resample_gaussian", lambda a: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), "gaussian"), *tapped("exp(-0.5 * pow({d} / 0.8, 2))"))
+for method, taper in TAPERS.items():
+    places(f"resample_{method}", lambda a, method=method: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), method), *tapped(f"({SINC}) * ({taper})"))
+
+MASS = "m AS (SELECT vec_id, a, list_aggregate(a, 'quantile_cont', 0.5) AS level FROM e), h AS (SELECT vec_id, avg(x.i) AS cx, avg(y.i) AS cy FROM m, range(4) x(i), range(4) y(i), range(4) z(i) WHERE a[x.i * 16 + y.i * 4 + z.i + 1] > level GROUP BY 1), st AS (SELECT e.vec_id, a, least(2, greatest(0, CAST(round_even(coalesce(cx, 2), 0) AS BIGINT) - 1)) AS sx, least(2, greatest(0, CAST(round_even(coalesce(cy, 2), 0) AS BIGINT) - 1)) AS sy FROM e LEFT JOIN h USING (vec_id))"
+places("crop_background", lambda a: T.crop_background(a, (2, 2, 3), float(np.median(a))), MASS, "SELECT vec_id, x.i * 6 + y.i * 3 + z.i AS pos, a[(sx + x.i) * 16 + (sy + y.i) * 4 + z.i + 1] AS v FROM st, range(2) x(i), range(2) y(i), range(3) z(i)")
+places("regrid_affine", lambda a: T.regrid(np.diag([*(1 + np.abs(a[0, 0, :3])), 1]), (4, 4, 4), (2, 4, 8)), "n AS (SELECT vec_id, [1 + abs(a[1]), 1 + abs(a[2]), 1 + abs(a[3])] AS d, [2.0, 1.0, 0.5] AS g, [0.5, 1.5, 3.5] AS c FROM e)", "SELECT vec_id, r.i * 4 + k.i AS pos, CASE WHEN r.i = 3 THEN CASE WHEN k.i = 3 THEN 1.0 ELSE 0.0 END WHEN k.i = r.i THEN d[r.i + 1] * g[r.i + 1] WHEN k.i = 3 THEN d[r.i + 1] * 1.5 - d[r.i + 1] * g[r.i + 1] * c[r.i + 1] ELSE 0.0 END AS v FROM n, range(4) r(i), range(4) k(i)")
+
+# curves: where a place of the 4 x 4 x 4 grid stands in the order
+SPIRAL = "o AS (SELECT x.i AS x, y.i AS y, z.i AS z, least(x.i, y.i, 3 - x.i, 3 - y.i) AS ring FROM range(4) x(i), range(4) y(i), range(4) z(i)), q AS (SELECT *, CASE WHEN x = ring THEN y - ring WHEN y = 3 - ring THEN 3 - 2 * ring + x - ring WHEN x = 3 - ring THEN 2 * (3 - 2 * ring) + 3 - ring - y ELSE 3 * (3 - 2 * ring) + 3 - ring - x END AS step FROM o), r AS (SELECT x * 16 + y * 4 + z AS idx, row_number() OVER (ORDER BY z, CASE WHEN z % 2 = 1 THEN -ring ELSE ring END, CASE WHEN z % 2 = 1 THEN -step ELSE step END) - 1 AS pos FROM q)"
+places("scan_spiral", lambda a: a.ravel()[T.curve_order(a.shape, "spiral")], SPIRAL, "SELECT vec_id, pos, a[idx + 1] AS v FROM e, r")
 kernel("fg_mask_threshold", lambda a: {"voxels": int(K.foreground(a).sum())}, "voxels long")
-kernel("degrade", lambda a: {"low": K.degrade(a, (2, 2, 1))["low"].ravel().tolist(), "up": K.degrade(a, (2, 2, 1))["up"].ravel().tolist()}, "low array<double>, up array<double>")
+kernel("degrade", lambda a: K.degraded_row(a, (2, 2, 1)), "low array<double>, up array<double>, info struct<padded_shape:array<int>,pad_before:array<int>,lowres_shape:array<int>,keep_fraction:array<double>,mode:string,foreground_mean:double,noise_sigma:double>")
 kernel("ssim3d", lambda a: {"ssim": K.ssim(a, K.degrade(np.abs(a), (2, 2, 2))["up"])}, "ssim double")
-kernel("sharpness", lambda a: {"sharp": K.sharpness(a)}, "sharp double")
-kernel("percentile_norm", lambda a: {"norm": K.percentile_norm(a).ravel().tolist()}, "norm array<double>")
-kernel("edge_weighted_l1", lambda a: {"loss": K.edge_weighted_l1(a, a[::-1])}, "loss double")
-kernel("blend_identity", lambda a: {"worst": float(np.abs(K.blend(a, 2, 1) - a).max())}, "worst double")
-kernel("audit_derived", lambda a: {"hf025": K.hf_energy(a), "f99": [K.axis_f99(a, k) for k in range(3)], "cliff": K.band_power(a, 0.25, 0.3) / max(K.band_power(a, 0.2, 0.25), 1e-12)}, "hf025 double, f99 array<double>, cliff double")
-
-
-for method in T.METHODS:
-    kernel(f"resample_{method}", lambda a, method=method: {"values": T.resample(a, (1, 1, 1), (0.5, 0.8, 2), method).ravel().tolist()}, "values array<double>")
+kernel("audit_derived", T.audit, "hf025 double, f99 array<double>, eff_mm double, worst_axis string, cliff double, shape string, spacing string")
+kernel("resample_bspline", lambda a: {"values": T.resample(a, (1, 1, 1), (0.5, 0.8, 2), "bspline").ravel().tolist()}, "values array<double>")
 kernel("conform_spacing", lambda a: {"values": T.resample(a, (1, 1, 1), (0.8, 0.8, 0.8), "bspline", centred=True).ravel().tolist()}, "values array<double>")
 kernel("rotate", lambda a: {"values": T.rotate(a, (10, -20, 90)).ravel().tolist()}, "values array<double>")
-kernel("translate", lambda a: {"values": T.translate(a, (1, -2, 0)).ravel().tolist()}, "values array<double>")
-kernel("regrid_affine", lambda a: {"affine": T.regrid(np.diag([*(1 + np.abs(a[0, 0, :3])), 1]), (4, 4, 4), (2, 4, 8)).ravel().tolist()}, "affine array<double>")
 kernel("crop_kspace", lambda a: {"values": T.crop_kspace(a, (0.5, 1, 1)).ravel().tolist()}, "values array<double>")
 kernel("deform", lambda a: {"values": T.deform(a, T.seeded(1, a), size=1.0).ravel().tolist()}, "values array<double>")
-kernel("sobel", lambda a: {"values": T.sobel(a).ravel().tolist()}, "values array<double>")
-kernel("laplacian", lambda a: {"values": T.laplacian(a).ravel().tolist()}, "values array<double>")
 kernel("equalise", lambda a: {"values": T.equalise(a, radius=1).ravel().tolist()}, "values array<double>")
 kernel("random_crop", lambda a: dict(zip(("start", "share"), T.random_crop(a, (2, 2, 2), T.seeded(2, a)))), "start array<int>, share double")
 kernel("confidence_crop", lambda a: {"start": T.confidence_crop(a > np.percentile(a, 80), (2, 2, 2), T.seeded(3, a))}, "start array<int>")
-kernel("crop_background", lambda a: {"values": T.crop_background(a, (2, 2, 3), float(np.median(a))).ravel().tolist()}, "values array<double>")
 kernel("augment", lambda a: dict(zip(("change", "values"), (lambda n, v: (n, v.ravel().tolist()))(*T.augment(a, T.seeded(4, a))))), "change string, values array<double>")
 kernel("augment_pair", lambda a: dict(zip(("input", "target"), (v.ravel().tolist() for v in T.augment_pair(K.degrade(a, (2, 2, 2))["up"], a, T.seeded(5, a))))), "input array<double>, target array<double>")
-kernel("random_degrade", lambda a: {"values": T.random_degrade(a, T.seeded(6, a)).ravel().tolist()}, "values array<double>")
+
+
+@query("random_degrade")
+def _(spark, sf):
+    def drawn(a: np.ndarray, vec_id: int) -> dict:  # a volume draws by its name and the epoch, so epochs differ
+        return {"epochs": [T.random_degrade(a, np.random.default_rng(T.named_seed(6, vec_id, epoch))).ravel().tolist() for epoch in range(2)]}
+
+    return K.per_volume(signals(spark, sf), ["vec_id"], "a", CUBE, drawn, "epochs array<array<double>>", named=True)
+
+
 kernel("all_metrics", lambda a: T.all_metrics(K.degrade(a, (2, 2, 2))["up"], a, K.foreground(a)), ", ".join(f"{n} double" for n in ("psnr", "mae", "rmse", "ssim", "sharpness_pred", "sharpness_target", "hf_energy_pred", "hf_energy_target", "psnr_masked", "mae_masked")))
 kernel("headroom_db", lambda a: T.headroom(a), "db double, share double")
-for kind in ("hilbert", "slices", "spiral"):
+for kind in ("hilbert", "slices"):
     kernel(f"scan_{kind}", lambda a, kind=kind: {"values": a.ravel()[T.curve_order(a.shape, kind)].tolist()}, "values array<double>")
 
 

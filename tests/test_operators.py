@@ -1,4 +1,7 @@
+import fnmatch
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -8,9 +11,9 @@ from tests.conftest import SF
 from brindle.functions import arrays as A
 from brindle.functions import names as N
 from brindle.functions.stats import finite, t_critical, with_interval
-from brindle.operators import folds, kernels, pairing, sampling
+from brindle.operators import folds, kernels, pairing, sampling, transforms
 from brindle.plans.catalogue import QUERIES
-from brindle.sources import volume
+from brindle.sources import tables, volume
 from brindle.streaming import stream
 
 
@@ -98,7 +101,7 @@ def test_kernels():
     d = kernels.degrade(a, (2, 2, 2))
     assert d["low"].shape == (6, 6, 6) and d["up"].shape == a.shape
     assert kernels.hf_energy(d["up"]) < kernels.hf_energy(a)
-    whole = kernels.degrade(a, (1, 1, 1), mode="slab")
+    whole = kernels.degrade(a, (1, 1, 1), mode="kspace")
     assert np.abs(whole["up"] - a).max() < 1e-9
     assert kernels.ssim(a, a) == pytest.approx(1) and kernels.ssim(a / 150, d["up"] / 150) < 1
     mask = kernels.foreground(a)
@@ -108,6 +111,92 @@ def test_kernels():
     assert (noisy[0] == noisy[1]).all()
 
 
+def test_forward_model():
+    rng = np.random.default_rng(0)
+    a = np.abs(rng.normal(10, 3, (32, 32, 32)))
+    power = lambda b: kernels.axis_spectrum(b, 0)
+    f, p = power(kernels.degrade(a, (2, 2, 2), mode="kspace")["up"])
+    assert p[(f > 0.05) & (f < 0.24)].mean() > 20 * p[f > 0.27].mean()  # nothing is left beyond the coarse Nyquist frequency
+    odd = kernels.degrade(a[:13, :10, :7], (2, 2, 2))
+    assert odd["up"].shape == (13, 10, 7) and odd["info"]["padded_shape"] == [16, 12, 8] and odd["info"]["pad_before"] == [1, 1, 0] and odd["info"]["lowres_shape"] == [8, 6, 4] == list(odd["low"].shape)
+    plain, gained, fixed = (kernels.degrade(a, (2, 2, 2), snr=s, voxel_gain=g, seed=1) for s, g in ((0, True), (20, True), (20, False)))
+    assert plain["info"]["noise_sigma"] == 0 and fixed["info"]["noise_sigma"] == pytest.approx(fixed["info"]["foreground_mean"] / 20) == pytest.approx(8 * gained["info"]["noise_sigma"])
+    assert np.abs(fixed["low"] - plain["low"]).std() > 4 * np.abs(gained["low"] - plain["low"]).std()
+    windows = {m: kernels.kspace_window((16, 16, 16), (0.5, 0.5, 0.5), m) for m in ("fermi", "kspace", "kspace_hann", "gaussian", "slab")}
+    assert windows["fermi"][8, 8, 8] == pytest.approx(1 / (1 + np.exp(-9))) and set(np.unique(windows["kspace"])) == {0.0, 1.0}
+    assert windows["kspace_hann"][8, 8, 8] == 1 and windows["kspace_hann"][4, 8, 8] == pytest.approx(0, abs=1e-9) and windows["kspace_hann"][6, 8, 8] == pytest.approx(0.5)
+    width = 1.2 / 0.5 / kernels.FWHM
+    assert windows["slab"][8, 6, 10] == pytest.approx(np.exp(-2 * (np.pi * width * 2 / 16) ** 2)) and windows["slab"][4, 8, 8] == 1
+    assert np.abs(kernels.kspace_window((16,), (0.5,), "kspace", apod=1.0) - windows["kspace_hann"][:, 8, 8]).max() < 1e-12
+    with pytest.raises(ValueError):
+        kernels.kspace_window((4,), (0.5,), "none")
+
+
+def test_spectra_are_mean_free():
+    a = 1000 + np.random.default_rng(1).normal(size=(8, 8, 8))
+    centres, power = kernels.radial_spectrum(a)
+    assert len(centres) == len(power) == 64 and power[0] < 1e-6 and np.allclose(np.diff(centres), centres[1] - centres[0])
+    f, p = kernels.axis_spectrum(a, 1)
+    assert f.tolist() == [0, 0.125, 0.25, 0.375] and p[0] < 50 and kernels.axis_spectrum(a, 1, bins=2)[0].tolist() == [0.09375, 0.28125]
+
+
+def test_foreground_at_the_border():
+    a = np.zeros((6, 6, 6))
+    a[0:3, 1:4, 1:4] = 1  # touches the border
+    assert kernels.foreground(a, 50).sum() == a[1:].sum()  # closing lets go of what lies at the border
+
+
+def test_audit_and_headroom():
+    a = _phantom(24)
+    found = transforms.audit(a, (1.0, 1.0, 2.0))
+    assert found["worst_axis"] in "xyz" and found["spacing"] == "1.00,1.00,2.00" and len(found["f99"]) == 3 and found["eff_mm"] >= 1
+    assert found["shape"] != "24x24x24" and transforms.audit(a, masked=False)["shape"] == "24x24x24"
+    assert 10 < transforms.headroom(a)["db"] < 60
+
+
+def test_draws_by_name_and_epoch(spark):
+    got = spark.range(1).select(sampling.stable_seed(F.lit(6), F.lit("v1"), F.lit(2))).first()[0]
+    assert got == transforms.named_seed(6, "v1", 2) != transforms.named_seed(6, "v1", 3)
+
+
+@pytest.mark.parametrize("shape", [(4, 4, 4), (3, 5, 4), (5, 2, 3), (1, 4, 2)])
+def test_spiral_steps_to_neighbours(shape):
+    order = transforms.curve_order(shape, "spiral")
+    at = np.stack(np.unravel_index(order, shape), axis=1)
+    assert sorted(order) == list(range(int(np.prod(shape)))) and (np.abs(np.diff(at, axis=0)).sum(1) == 1).all()
+
+
+def test_globs():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        pattern, text = "".join(rng.choice("ab-!]^[c*?1&~") for _ in range(rng.randint(0, 6))), "".join(rng.choice("ab-!]^[c1&~") for _ in range(rng.randint(0, 4)))
+        assert bool(re.match(N.glob_regex(pattern), text)) == fnmatch.fnmatchcase(text, pattern), (pattern, text)
+
+
+def test_places_within_few_groups(spark):
+    df = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(40)], "g string, i int")
+    got = {(r["g"], r["i"]): r["p"] for r in pairing.ranked(df, "p", "g", F.desc("i"), few=True).collect()}
+    assert got == {(g, i): 39 - i for g in ("a", "b", None) for i in range(40)}
+
+
+def test_discover_falls_back(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/m.csv").write_text("x\n1\n")
+    assert [r[0].split("/")[-2] for r in tables.discover(spark, str(tmp_path), "m.csv").collect()] == ["b"]
+    (tmp_path / "a/m.csv").write_text("x\n1\n")
+    assert [r[0].split("/")[-2] for r in tables.discover(spark, str(tmp_path), "m.csv").collect()] == ["a"]
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    at = str(tmp_path / "events")
+    spark.sql("select timestamp_seconds(id * 600) as ts, 'k' as event_type, 'u' as user_id, 1.0 as value from range(12)").coalesce(1).write.parquet(at)
+    source = spark.readStream.schema("ts timestamp, event_type string, user_id string, value double").parquet(at)
+    for name, df in (("one", stream.windowed(source)), ("two", stream.sliding(source, "1 hour", "30 minutes")), ("three", stream.sessions(source, "user_id", "1 hour"))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert spark.table(name).agg(F.sum("n")).first()[0] == (24 if name == "two" else 12)
+
+
 def test_bad_volume_gives_a_status(spark):
     df = spark.createDataFrame([(1, [1.0] * 8), (2, [1.0] * 7), (3, None)], "i long, a array<double>")
     got = {r["i"]: r["status"] for r in kernels.per_volume(df, ["i"], "a", (2, 2, 2), lambda a: {"m": float(a.mean())}, "m double").collect()}
