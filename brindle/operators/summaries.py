@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, with_interval
+from .pairing import ranked
+
+
+#: Rows with an age that a table by age needs.
+LEAST_AGED = 6
 
 
 def blocks(df: DataFrame, subgroup: str) -> DataFrame:
@@ -20,9 +25,34 @@ def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
     return df.unpivot(keys, metrics, "metric", "value").withColumn("value", finite(F.col("value"))).where("value is not null")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, share: float = 0.5, name: str = "median") -> DataFrame:
+    """keys and the exact quantile of the values that aren't null, between two neighbours in proportion, for few groups of any size.
+
+    Rows are placed by ranges of the order of all groups (see ranked), so no task holds a group's values; the one or two rows at the
+    quantile's place are picked. Groups without a value are left out."""
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(key.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    placed = ranked(rows, "_p", "_g", "_v", few=True)
+    at = placed.groupBy("_g").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_of"), ((F.col("_n") - 1) * F.lit(float(share))).alias("_at"))
+    near = placed.join(F.broadcast(at), F.col("_g").eqNullSafe(F.col("_of"))).where((F.col("_p") == F.floor("_at")) | (F.col("_p") == F.ceil("_at")))  # a row a group
+    two = near.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.max(F.col("_at") - F.floor("_at")).alias("part"))
+    return two.select(*[F.col(f"_g.{k}").alias(k) for k in keys], F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("part")) * F.col("lo") + F.col("part") * F.col("hi")).alias(name))
+
+
+def with_quantile(groups: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """groups with the column of quantiles; keys may be null."""
+    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return groups.join(F.broadcast(named), same, "left").drop(*[f"_{k}" for k in keys])  # a row a group
+
+
 def describe(df: DataFrame, keys: list[str], value: str = "value", sd: str = "samp") -> DataFrame:
+    """n, mean, sd, median, low and high of the values by a few groups."""
     spread = F.stddev_samp(value) if sd == "samp" else F.stddev_pop(value)
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), spread.alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"))
+    groups = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), spread.alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return with_quantile(groups, quantiles(df, keys, value), keys).select(*keys, "n", "mean", "sd", "median", "low", "high")
 
 
 def cv_summary(df: DataFrame, subgroup: str, metrics: list[str]) -> DataFrame:
@@ -46,7 +76,7 @@ def in_bins(value: Column, edges: list[float]) -> Column:
 
 def flag_low(df: DataFrame, db: str, hf: str, db_above: float, ratio: float) -> DataFrame:
     """Flag LOW: measured db at db_above or more, where any row has one; else hf below ratio times the median."""
-    whole = df.agg(F.percentile(hf, F.lit(0.5)).alias("_median"), (F.count(finite(F.col(db))) > 0).alias("_measured"))
+    whole = df.agg((F.count(finite(F.col(db))) > 0).alias("_measured")).join(F.broadcast(quantiles(df, [], hf, name="_median")), how="left")  # one row each
     low = F.when(F.col("_measured"), finite(F.col(db)) >= db_above).otherwise(F.col(hf) < ratio * F.greatest("_median", F.lit(1e-12)))
     return df.crossJoin(F.broadcast(whole)).withColumn("flag", F.when(low, "LOW").otherwise("")).drop("_median", "_measured")  # one row
 

@@ -62,6 +62,21 @@ def _(spark, sf):
     return rounded(rounded(t.select("block", "n", "mean", "sd", "median"), "mean", "sd"), "median", digits=7)
 
 
+@query("eval_low_headroom", "WITH " + ROWS + ", f AS (SELECT *, sinc > 60 AS low FROM m) SELECT block, count(*) AS n, round(avg(pred), 5) AS mean FROM (SELECT 'ALL' AS block, * FROM f UNION ALL SELECT subgroup, * FROM f UNION ALL SELECT 'LOW_HEADROOM', * FROM f WHERE low UNION ALL SELECT 'HEADROOM', * FROM f WHERE NOT coalesce(low, false)) GROUP BY 1")
+def _(spark, sf):
+    """Besides the blocks: the rows that were marked to have little to gain, and the rest, where any is marked."""
+    r = rows(spark, sf).withColumn("low", F.coalesce(finite(F.col("sinc")) > 60, F.lit(False)))
+    marked = r.withColumn("block", F.when(F.col("low"), "LOW_HEADROOM").otherwise("HEADROOM")).where(F.lit(not r.where("low").isEmpty()))
+    every = S.blocks(r, "subgroup").unionByName(marked)
+    return every.groupBy("block").agg(F.count("*").alias("n"), F.round(F.avg("pred"), 5).alias("mean"))
+
+
+@query("age_table_wanted", "WITH " + ROWS + " SELECT fold, count(age) FILTER (age > 45) AS aged, count(age) FILTER (age > 45) >= 6 AS wanted FROM m GROUP BY 1")
+def _(spark, sf):
+    """A table by age is made of six aged rows or more."""
+    return rows(spark, sf).groupBy("fold").agg(F.count_if(F.col("age") > 45).alias("aged")).withColumn("wanted", F.col("aged") >= S.LEAST_AGED)
+
+
 @query("cv_paired", "WITH " + ROWS + BLOCKS + ", g AS (SELECT block, count(*) AS n, avg(pred - sinc) AS mean, stddev_samp(pred - sinc) AS sd FROM b WHERE sinc IS NOT NULL GROUP BY 1) SELECT block, n, round(mean, 5) AS mean, round(" + HW + ", 6) AS hw, mean - " + HW + " <= 0 AND mean + " + HW + " > 0 AS includes_zero FROM g" + T)
 def _(spark, sf):
     t = S.paired(rows(spark, sf), "subgroup", F.col("pred"), F.col("sinc"))
@@ -99,13 +114,16 @@ def _(spark, sf):
 
 @query("audit_by_weighting", "SELECT l_returnflag AS weighting, count(*) AS n, quantile_cont(l_discount, 0.5) AS mid, min(l_discount) AS low, max(l_discount) AS high, count(*) FILTER (l_discount < 0.02) AS flagged FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("weighting")).agg(F.count("*").alias("n"), F.percentile("l_discount", F.lit(0.5)).alias("mid"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), F.count_if(F.col("l_discount") < 0.02).alias("flagged"))
+    x = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("weighting"), "l_discount")
+    g = x.groupBy("weighting").agg(F.count("*").alias("n"), F.min("l_discount").alias("low"), F.max("l_discount").alias("high"), F.count_if(F.col("l_discount") < 0.02).alias("flagged"))
+    return S.with_quantile(g, S.quantiles(x, ["weighting"], "l_discount", name="mid"), ["weighting"])
 
 
 @query("headroom_spread", "SELECT quantile_cont(p_retailprice, 0.5) AS median, round(max(p_retailprice) / greatest(min(p_retailprice), 1e-12), 6) AS spread, max(p_retailprice) / greatest(min(p_retailprice), 1e-12) > 3 AS wide FROM part")
 def _(spark, sf):
     ratio = F.max("p_retailprice") / F.greatest(F.min("p_retailprice"), F.lit(1e-12))
-    return table(spark, sf, "part").agg(F.percentile("p_retailprice", F.lit(0.5)).alias("median"), F.round(ratio, 6).alias("spread"), (ratio > 3).alias("wide"))
+    p = table(spark, sf, "part")
+    return p.agg(F.round(ratio, 6).alias("spread"), (ratio > 3).alias("wide")).join(F.broadcast(S.quantiles(p, [], "p_retailprice")), how="left")  # one row each
 
 
 @query("flag_low_headroom", "SELECT s_suppkey, CASE WHEN s_acctbal < 0.5 * greatest((SELECT quantile_cont(s_acctbal, 0.5) FROM supplier), 1e-12) THEN 'LOW' ELSE '' END AS flag FROM supplier")
