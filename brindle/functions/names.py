@@ -54,6 +54,11 @@ def group_key(stem: Column, level: str) -> Column:
     return {"subject": identity(stem, field(stem, 0)), "session": identity(stem, field(stem, 0), field(stem, 1)), "volume": stem}[level]
 
 
+def extracted(stem: Column, pattern: str) -> Column:
+    """What a pattern's first group finds in a stem (all that it matches where it has no group), null where it finds nothing: in place of a schema's field."""
+    return F.nullif(F.regexp_extract(stem, pattern, int(re.compile(pattern).groups > 0)), F.lit(""))
+
+
 def subgroup(weighting: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(weighting), F.lit("")), F.lit("unknown"))
 
@@ -72,15 +77,43 @@ def natural_key(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d+$"), _by_value(F.regexp_replace(t, "^0+", ""))).otherwise(t))
 
 
+def _class(inside: str) -> str:
+    """What stands between brackets, with its ranges; one that runs backwards holds nothing."""
+    out, i = "", 0
+    while i < len(inside):
+        if inside[i + 1 : i + 2] == "-" and i + 2 < len(inside):
+            if inside[i] <= inside[i + 2]:
+                out += re.escape(inside[i]) + "-" + re.escape(inside[i + 2])
+            i += 3
+        else:
+            out += re.escape(inside[i])
+            i += 1
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """The regular expression of a shell pattern: * and ?, and [...] with ranges and ! first; a [ that nothing closes is itself."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        end = pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] == "!")) if c == "[" else -1
+        if end > 0:
+            inside = pattern[i + 1 : end]
+            inverse, inside = inside.startswith("!"), inside.removeprefix("!")
+            held = _class(inside)
+            out += "[" + "^" * inverse + held + "]" if held else "." if inverse else "(?!)"
+            i = end
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        i += 1
+    return f"(?s)^{out}$"
+
+
 def matches_any(name: Column, patterns: list[str]) -> Column:
-    """True if a pattern fits: a glob if it has * ? or [, else a part of the name."""
+    """True if a pattern fits: a glob (see glob_regex) if it has * ? or [, else a part of the name."""
     out = F.lit(False)
     for p in patterns:
-        if re.search(r"[*?\[]", p):
-            body = "".join(".*" if c == "*" else "." if c == "?" else c if c in "[]" else re.escape(c) for c in p)
-            out = out | name.rlike(f"(?s)^{body}$")
-        else:
-            out = out | name.contains(p)
+        out = out | (name.rlike(glob_regex(p)) if re.search(r"[*?\[]", p) else name.contains(p))
     return out
 
 

@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the folder in spark.checkpoint.dir (one of our own where that is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own on a local master, as in tests; on a cluster that is an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="brindle-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

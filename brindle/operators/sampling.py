@@ -21,14 +21,11 @@ def cap_shares(groups: DataFrame, group: str, weight: str, cap: float) -> DataFr
 
     The closed form: with the groups in falling order of weight, the first m stop at the cap, for the least m that leaves none above.
     """
-    w = Window.partitionBy().orderBy(F.desc(weight), group)
-    t = groups.withColumn("_k", F.row_number().over(w) - 1).withColumn("rest", F.sum(weight).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    t = t.withColumn("scaled", F.col(weight) / F.col("rest") * (1 - F.col("_k") * cap)).withColumn("fits", F.col("scaled") <= cap + 1e-12)
-    whole = Window.partitionBy()
-    t = t.withColumn("m", F.min(F.when(F.col("fits"), F.col("_k"))).over(whole)).withColumn("n", F.count("*").over(whole))
-    t = t.withColumn("base", F.max(F.when(F.col("_k") == F.col("m"), F.col("rest"))).over(whole))
-    share = F.when(F.col("n") * cap < 1, 1 / F.col("n")).when(F.col("_k") < F.col("m"), F.lit(cap)).otherwise(F.col(weight) / F.col("base") * (1 - F.col("m") * cap))
-    return t.select(group, share.alias("share"))
+    t = in_order(groups.select(group, weight), [F.desc(weight), F.col(group)], "_k", weight).withColumn("rest", F.col("total") - F.col("until") + F.col(weight))
+    fits = F.col(weight) / F.col("rest") * (1 - F.col("_k") * cap) <= cap + 1e-12
+    first = F.broadcast(t.agg(F.min(F.when(fits, F.struct("_k", "rest"))).alias("m"), F.count("*").alias("n")))  # one row
+    share = F.when(F.col("n") * cap < 1, 1 / F.col("n")).when(F.col("_k") < F.col("m._k"), F.lit(cap)).otherwise(F.col(weight) / F.col("m.rest") * (1 - F.col("m._k") * cap))
+    return t.crossJoin(first).select(group, share.alias("share"))
 
 
 def even_draws(weighted: DataFrame, key: str, weight: str, draws: int) -> DataFrame:

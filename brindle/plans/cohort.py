@@ -76,6 +76,17 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url").where(N.matches_any(F.col("url"), ["https*/en/*", "blog"]))
 
 
+@query("include_bracket_glob", "SELECT c_custkey, c_name FROM customer WHERE c_name GLOB '*[0-4]?' OR c_name GLOB '*[!1-9][57]'")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name").where(N.matches_any(F.col("c_name"), ["*[0-4]?", "*[!1-9][57]"]))
+
+
+@query("identity_by_pattern", WITH + "SELECT o_orderkey, coalesce(nullif(regexp_extract(stem, '^([0-9]+)_', 1), ''), stem) AS subject, coalesce(lower(nullif(regexp_extract(stem, '_([a-z]+)$', 1), '')), 'unknown') AS subgroup FROM cohort")
+def _(spark, sf):
+    s = F.col("stem")
+    return cohort(spark, sf).select("o_orderkey", F.coalesce(N.extracted(s, "^([0-9]+)_"), s).alias("subject"), N.subgroup(N.extracted(s, "_([a-z]+)$")).alias("subgroup"))
+
+
 @query("weighting_filter", WITH + "SELECT o_orderkey, stem FROM cohort WHERE weighting = 'f'")
 def _(spark, sf):
     return cohort(spark, sf).where(F.col("weighting") == "F".lower()).select("o_orderkey", "stem")
@@ -112,7 +123,7 @@ def _(spark, sf):
 
 @query("natural_rank", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT), s_name) - 1 AS pos FROM supplier")
 def _(spark, sf):
-    return pairing.ranked(table(spark, sf, "supplier"), "pos", "s_nationkey", N.natural_key(F.col("s_name")), "s_name").select("s_suppkey", "pos")
+    return pairing.ranked(table(spark, sf, "supplier"), "pos", "s_nationkey", N.natural_key(F.col("s_name")), "s_name", few=True).select("s_suppkey", "pos")
 
 
 # joins and sets
@@ -157,7 +168,7 @@ MANIFEST = "manifest AS (SELECT 's' || CAST(o_orderkey % 3 AS VARCHAR) AS split,
 
 def manifest(spark, sf):
     c = cohort(spark, sf).select(F.concat(F.lit("s"), F.pmod("o_orderkey", F.lit(3))).alias("split"), "stem")
-    return pairing.ranked(c, "pos", "split", "stem").select("split", F.col("pos").cast("string").alias("assigned_name"), "stem")
+    return pairing.ranked(c, "pos", "split", "stem", few=True).select("split", F.col("pos").cast("string").alias("assigned_name"), "stem")
 
 
 @query("renumber", WITH + ", " + MANIFEST + " SELECT * FROM manifest")

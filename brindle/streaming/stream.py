@@ -23,6 +23,16 @@ def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour",
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
+def sliding(events: DataFrame, width: str, step: str, late: str = "10 minutes", key: str = "event_type") -> DataFrame:
+    """Count by overlapping windows and key, of a stream or a table."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+
+
+def sessions(events: DataFrame, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Count by sessions of a key: stretches of rows less than gap apart, of a stream or a table."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), "n")
+
+
 def pool(events: DataFrame, key: str, item: str, size: int = 50) -> DataFrame:
     """A bounded pool for each key of a stream: the first items pass and fill it; later an item passes, or takes the place of
     one that passes instead, as a hash of item and ordinal decides. key, item_in and item_out of each row."""
