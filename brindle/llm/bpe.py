@@ -13,7 +13,6 @@ states are few. States and transitions are made when first met and forgotten tog
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -23,7 +22,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batched, sliced, table
+from .common import batched, held, sliced, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions and neighbour verdicts kept in a worker; beyond, they are forgotten and made again. Of pieces, so many and as many of the time before.
@@ -310,16 +309,9 @@ def decode_stream(encoder: Encoder, ids: Sequence[int], at_once: int = 1) -> Ite
     yield state.end()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """A worker's encoder for the file at path, which each machine has."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-        gc.freeze()
-        gc.set_threshold(200_000)  # tables of tuples hold no cycles; looking for them takes a quarter of the time
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +90,31 @@ def sliced(batches: Iterator[pd.DataFrame], column: str = "text", chars: int = S
             yield x.iloc[begin:]
 
 
+_HELD: dict[str, Any] = {}
+_THRESHOLD = gc.get_threshold()
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What make() gives, remembered by this Python worker for its next tasks, until one of another operator begins (let_go)."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+        gc.freeze()
+        gc.set_threshold(200_000)  # tables of tuples hold no cycles; looking for them takes a quarter of the time
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Gives back what held remembers: a worker goes on to tasks of later stages, which need the memory themselves."""
+    if _HELD:
+        _HELD.clear()
+        gc.unfreeze()
+        gc.collect()
+        gc.set_threshold(*_THRESHOLD)
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

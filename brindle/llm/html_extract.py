@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batched, table
+from .common import batched, let_go, table
 
 #: Fixed values of HTML: elements whose content is no text, that never hold anything, and that are inside a line.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head".split())
@@ -320,6 +320,7 @@ def extract_pages(pages: DataFrame, chain: Chain) -> DataFrame:
     and text-free html. Rows repeat as in pages; other columns are not carried; an empty table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in batches:
             texts = [extract(h, chain) for h in x["html"]]
             yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})

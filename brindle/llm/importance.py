@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, beside, keep, table, unit_interval
+from .common import batched, beside, keep, let_go, table, unit_interval
 
 #: Hash buckets of unigrams and bigrams; most labelled rows that the target model is estimated from, by hash of doc_id.
 BUCKETS, MOST_TARGET = 10_000, 20_000
@@ -60,6 +60,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("wanted", F.lit(True))), "doc_id", "left")  # MOST_TARGET rows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         grams, raw, target = NGrams(), np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
         for x in batches:
             for text, wanted in zip(x["text"], x["wanted"]):
@@ -109,6 +110,7 @@ def resample(docs: DataFrame, ratios: np.ndarray, k: int | None = None) -> DataF
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         grams = NGrams()
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "log_weight": np.array([ratios[grams(t)].sum() for t in x["text"]], dtype=float)})

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, beside, forget, keep, sliced, table, words_of
+from .common import batched, beside, forget, keep, let_go, sliced, table, words_of
 from .components import connected_components
 
 #: Bits are cut into so many blocks, of 10 or 11 bits.
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp (long: the 64 bits) for each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": _signed([text_fingerprint(t, k) for t in x["text"]])})
 
@@ -109,6 +110,7 @@ def _keyed(nodes: DataFrame, radius: int) -> DataFrame:
     """(key, id) for each node (id, fps: array of fingerprints) and each fingerprint's choices of blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in batches:
             for i in range(0, len(x), 4096):
                 part = x.iloc[i : i + 4096]
@@ -181,6 +183,7 @@ def _by_unit(told: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable
     """For mapInPandas: told of whole groups of equal key and unit, of rows sorted by them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         held = None
         for x in batches:
             x = x if held is None else pd.concat([held, x], ignore_index=True)
@@ -306,6 +309,7 @@ def _common(texts: DataFrame) -> np.ndarray:
     """(hash, count) of the most common shingles, in order of hash, as a sample of the rows shows them; COMMON_MOST at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in sliced(batches):
             yield pd.DataFrame({"sh": np.concatenate([_set_of(words_of(t)) for t in x["text"]])})
 
@@ -319,6 +323,7 @@ def _hashed(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """doc_id, sha (of the text), fp (of its word set), n (shingles) and keys (_keys) for each row of texts (doc_id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         seen: dict[bytes, int] = {}
         for x in sliced(batches):
             rows = []
@@ -398,6 +403,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """id, n, sh and low for each row of texts (doc_id, text): the hashes of its set of shingles, their number, and their distinct lowest 16 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         for x in sliced(batches):
             sh = [_set_of(words_of(t)) for t in x["text"]]
             yield pd.DataFrame({"id": x["doc_id"].to_numpy(), "n": [len(s) for s in sh], "sh": sh, "low": [np.unique(s.astype(np.int16)) for s in sh]})

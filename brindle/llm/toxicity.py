@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, forget, keep, sliced, table
+from .common import batched, forget, keep, let_go, sliced, table
 
 #: Most labelled rows of each class that the model is trained on, by hash of doc_id, and most characters of them together.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 40_000_000
@@ -208,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         sample = sample.where(F.col("place") <= int(fits.max()) if len(fits) else F.lit(False))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         rows = rows.sort_values(["place", "doc_id", "text"], kind="stable", na_position="first")
         model = train(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
         return pd.DataFrame({"effect": [model.effect], "bias": [model.bias]})
@@ -224,6 +225,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     table gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         scorer = Scorer(model)
         for x in sliced(batches):
             scores = scorer.score(x["text"].tolist())
@@ -238,6 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         scorer = Scorer(model)
         for x in batches:
             yield x.filter(pa.array(scorer.score(x.column(at).to_pylist()) < threshold))
