@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -22,7 +23,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batched, held, sliced, table
+from .common import batched, held, sliced, table, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions and neighbour verdicts kept in a worker; beyond, they are forgotten and made again. Of pieces, so many and as many of the time before.
@@ -50,6 +51,34 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 FEW = 8
 
 
+#: A transition is one integer: 256 x the next state in the lower bits, the number of what it tells above them.
+TOLD = 40
+STATE = (1 << TOLD) - 1
+
+
+def _pack(state: tuple) -> bytes:
+    """A state in a third of the memory that its tuples take."""
+    return array("i", [x for last, node, owed in state for x in (last, node, len(owed), *owed)]).tobytes()
+
+
+def _unpack(packed: bytes) -> tuple:
+    flat, state, i = array("i", packed).tolist(), [], 0
+    while i < len(flat):
+        end = i + 3 + flat[i + 2]
+        state.append((flat[i], flat[i + 1], tuple(flat[i + 3 : end])))
+        i = end
+    return tuple(state)
+
+
+def _number(numbers: dict[bytes, int], all_: list[bytes], x: bytes) -> int:
+    """The place of x in all_, where it is put if it is new."""
+    n = numbers.get(x)
+    if n is None:
+        n = numbers[x] = len(all_)
+        all_.append(x)
+    return n
+
+
 class Transducer:
     """The encoder of single pieces for a vocabulary of ranks."""
 
@@ -81,14 +110,16 @@ class Transducer:
             cuts = [(max(x, y), x, y) for k in range(1, len(t)) if (x := ranks.get(t[:k])) is not None and (y := ranks.get(t[k:])) is not None]
             self.halves[i] = (i, i) if len(t) == 1 else next(((x, y) for _, x, y in sorted(cuts) if self._apart(x, y, i)), (-1, -1))
         self.packed = {i: i.to_bytes(4, "little") for i in self.token}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}  # token a << 32 | token b
         self.forget()
 
     def forget(self) -> None:
         """Drops all states but the first."""
-        self.states: list[tuple] = [((-1, 0, ()),)]
-        self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, bytes]] = {}  # 256 x state + byte: 256 x the next state, packed tokens told
+        self.states: list[bytes] = [_pack(((-1, 0, ()),))]
+        self.numbers: dict[bytes, int] = {self.states[0]: 0}
+        self.told: list[bytes] = [b""]  # what transitions tell: packed tokens
+        self.told_at: dict[bytes, int] = {b"": 0}
+        self.moves: dict[int, int] = {}  # 256 x state + byte: 256 x the next state, and above TOLD its place in told
         self.ends_as: dict[int, bytes] = {}  # 256 x state: what is still owed when the piece ends
 
     def _apart(self, a: int, b: int, whole: int) -> bool:
@@ -99,11 +130,11 @@ class Transducer:
         """Whether token b may follow token a: their bytes together encode to just the two."""
         if a < 0:
             return True
-        ok = self.beside.get((a, b))
+        ok = self.beside.get(a << 32 | b)
         if ok is None:
             if len(self.beside) > MOST_PAIRS:
                 self.beside.clear()
-            ok = self.beside[a, b] = self._holds(a, b)
+            ok = self.beside[a << 32 | b] = self._holds(a, b)
         return ok
 
     def _holds(self, a: int, b: int) -> bool:
@@ -157,26 +188,25 @@ class Transducer:
             raise ValueError(f"{len(left)} encodings at the end of a piece")
         return left[0]
 
-    def _move(self, at: int, byte: int) -> tuple[int, bytes]:
-        state, told = self.step(self.states[at >> 8], byte)
-        to = self.numbers.get(state)
-        if to is None:
-            to = self.numbers[state] = len(self.states)
-            self.states.append(state)
-        move = self.moves[at | byte] = to << 8, b"".join([self.packed[t] for t in told])
+    def _move(self, at: int, byte: int) -> int:
+        state, tokens = self.step(_unpack(self.states[at >> 8]), byte)
+        to = _number(self.numbers, self.states, _pack(state))
+        told = _number(self.told_at, self.told, b"".join([self.packed[t] for t in tokens]))
+        move = self.moves[at | byte] = told << TOLD | to << 8
         return move
 
     def _end(self, at: int) -> bytes:
-        owed = self.ends_as[at] = b"".join([self.packed[t] for t in self.finish(self.states[at >> 8])])
+        owed = self.ends_as[at] = b"".join([self.packed[t] for t in self.finish(_unpack(self.states[at >> 8]))])
         return owed
 
     def stream(self, data: Iterable[int]) -> Iterator[bytes]:
         """The packed tokens of a piece, told as its bytes come."""
-        at, moves = 0, self.moves
+        at, moves, told = 0, self.moves, self.told
         for byte in data:
-            at, told = moves.get(at | byte) or self._move(at, byte)
-            if told:
-                yield told
+            move = moves.get(at | byte) or self._move(at, byte)
+            at = move & STATE
+            if move > STATE:
+                yield told[move >> TOLD]
         if at:
             yield self.ends_as.get(at) or self._end(at)
 
@@ -187,11 +217,12 @@ class Transducer:
             return self.packed[whole]
         if len(self.moves) > self.most:
             self.forget()
-        at, out, find = 0, [], self.moves.get  # what stream does, without a generator for each piece
+        at, out, find, told = 0, [], self.moves.get, self.told  # what stream does, without a generator for each piece
         for byte in piece:
-            at, told = find(at | byte) or self._move(at, byte)
-            if told:
-                out.append(told)
+            move = find(at | byte) or self._move(at, byte)
+            at = move & STATE
+            if move > STATE:
+                out.append(told[move >> TOLD])
         if at:
             out.append(self.ends_as.get(at) or self._end(at))
         return b"".join(out)
@@ -319,6 +350,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     for each row of docs (doc_id, text); null as empty: no ids. Texts come whole; rows repeat as they do in docs; other columns
     are not carried. An empty table gives no rows."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(path)
         for x in sliced(batches):
@@ -332,6 +364,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of what encode_documents gives, made where it is made."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(path)
         for x in batches:

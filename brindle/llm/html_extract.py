@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batched, let_go, table
+from .common import batched, let_go, table, tidy
 
 #: Fixed values of HTML: elements whose content is no text, that never hold anything, and that are inside a line.
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title head".split())
@@ -319,6 +319,7 @@ def extract_pages(pages: DataFrame, chain: Chain) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html): the whole main text, empty for null, empty
     and text-free html. Rows repeat as in pages; other columns are not carried; an empty table gives no rows."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for x in batches:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, beside, keep, let_go, table, unit_interval
+from .common import batched, beside, keep, let_go, table, tidy, unit_interval
 
 #: Hash buckets of unigrams and bigrams; most labelled rows that the target model is estimated from, by hash of doc_id.
 BUCKETS, MOST_TARGET = 10_000, 20_000
@@ -59,6 +59,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_TARGET)
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("wanted", F.lit(True))), "doc_id", "left")  # MOST_TARGET rows at most
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         grams, raw, target = NGrams(), np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
@@ -109,6 +110,7 @@ def resample(docs: DataFrame, ratios: np.ndarray, k: int | None = None) -> DataF
     tie with the k-th are selected too, such as repeats of its doc_id. An empty table gives no rows.
     """
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         grams = NGrams()

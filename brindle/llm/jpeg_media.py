@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, let_go, table
+from .common import batched, let_go, table, tidy
 
 #: Bytes in a row of an image, and the most rows: 65535 pixels are the format's limit.
 LINE, ROWS = 64, 8191
@@ -308,6 +308,7 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "width", "height", "feature"] + ["media"] * with_media
     types = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, feature string" + ", media binary" * with_media
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for x in batches:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, beside, forget, keep, let_go, sliced, table, words_of
+from .common import batched, beside, forget, keep, let_go, sliced, table, tidy, words_of
 from .components import connected_components
 
 #: Bits are cut into so many blocks, of 10 or 11 bits.
@@ -68,6 +68,7 @@ def _signed(values: list[int]) -> np.ndarray:
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp (long: the 64 bits) for each row."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for x in batches:
@@ -109,6 +110,7 @@ def pivot_keys(fp: np.ndarray, radius: int) -> np.ndarray:
 def _keyed(nodes: DataFrame, radius: int) -> DataFrame:
     """(key, id) for each node (id, fps: array of fingerprints) and each fingerprint's choices of blocks."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for x in batches:
@@ -182,6 +184,7 @@ def _in_units(rows: DataFrame, count: str) -> DataFrame:
 def _by_unit(told: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable:
     """For mapInPandas: told of whole groups of equal key and unit, of rows sorted by them."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         held = None
@@ -308,6 +311,7 @@ def _set_of(words: list[bytes]) -> np.ndarray:
 def _common(texts: DataFrame) -> np.ndarray:
     """(hash, count) of the most common shingles, in order of hash, as a sample of the rows shows them; COMMON_MOST at most."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for x in sliced(batches):
@@ -322,6 +326,7 @@ def _common(texts: DataFrame) -> np.ndarray:
 def _hashed(texts: DataFrame, common: np.ndarray) -> DataFrame:
     """doc_id, sha (of the text), fp (of its word set), n (shingles) and keys (_keys) for each row of texts (doc_id, text)."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         seen: dict[bytes, int] = {}
@@ -402,6 +407,7 @@ def prefix_pairs(keyed: DataFrame, found: DataFrame, steps: int | None = None) -
 def _sets(texts: DataFrame) -> DataFrame:
     """id, n, sh and low for each row of texts (doc_id, text): the hashes of its set of shingles, their number, and their distinct lowest 16 bits."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         for x in sliced(batches):

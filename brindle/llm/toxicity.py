@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, forget, keep, let_go, sliced, table
+from .common import batched, forget, keep, let_go, sliced, table, tidy
 
 #: Most labelled rows of each class that the model is trained on, by hash of doc_id, and most characters of them together.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1000, 2000, 40_000_000
@@ -224,6 +224,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     Texts are read whole, words of any length too. Repeated rows get equal scores; other columns are not carried; an empty
     table gives no rows."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()
         scorer = Scorer(model)
@@ -239,6 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     table as in score_documents."""
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         scorer = Scorer(model)
