@@ -152,3 +152,43 @@ def example(a: Column) -> Column:
 def cross_entropy(logits: Column, label: int) -> Column:
     """Mean cross-entropy of logits against one label, 0 or 1."""
     return mean(F.transform(logits, lambda x: F.log1p(F.exp(-x if label else x))))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: a lambda's body would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def quantile(a: Column, share: float) -> Column:
+    """The exact quantile, between two neighbours in proportion; null for an empty array."""
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(float(share))
+        low, high = F.get(s, F.floor(at).cast("int")), F.get(s, F.ceil(at).cast("int"))
+        return low + (at - F.floor(at)) * (high - low)
+
+    return F.when(F.size(a) > 0, let(F.array_sort(a), between))
+
+
+def foreground_mean(a: Column, share: float = 0.6, least: int = 100) -> Column:
+    """The mean of the elements above a quantile; of all where fewer than least are."""
+    above = let(quantile(a, share), lambda q: F.filter(a, lambda x: x > q))
+    return let(above, lambda high: mean(F.when(F.size(high) >= least, high).otherwise(a)))
+
+
+def digitize(x: Column, edges: list[float]) -> Column:
+    """How many of the ascending edges are at or below x; NaN is above all."""
+    return sum((F.when(x >= e, F.lit(1.0)).otherwise(0.0) for e in edges), F.lit(0.0))
+
+
+def side_loss(logits: Column, real: Column, rebuilt: Column, kept: Column, weight: float = 10.0, same: float = 0.5) -> Column:
+    """One side's loss of two generators trained in a cycle: what is made should be judged real, its way back should give the
+    original (weight), and what is of the target kind already should stay (weight times same)."""
+    return cross_entropy(logits, 1) + weight * mae(rebuilt, real) + weight * same * mae(kept, real)
+
+
+def fitted_tile(n: Column, tile: Column, multiple: int = 4) -> tuple[Column, Column]:
+    """Of an axis of n: the tile that fits in it, a multiple, and what the axis is padded by so that it is one and holds a tile."""
+    fits = F.greatest(F.lit(multiple), F.floor(F.least(tile, F.ceil(n / multiple) * multiple) / multiple) * multiple)
+    need = F.greatest(F.lit(0), fits - n)
+    return fits.cast("long"), (need + F.pmod(-(n + need), F.lit(multiple))).cast("long")

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pairing import ranked
+
 #: Groups that a greedy split accepts; more are refused rather than gathered.
 MOST_GROUPS = 1_000_000
 
@@ -22,6 +24,22 @@ def _groups(table: DataFrame, group: str) -> list[tuple]:
     return [(r[group], r["n"], dict(r["strata"])) for r in table.orderBy(group).collect()]
 
 
+def _profiles(table: DataFrame, group: str, most: int) -> dict[tuple, list]:
+    """Of groups with equal counts in their strata, which a greedy rule can't tell apart: at most so many, those smallest as text, last first.
+
+    Beyond MOST_GROUPS groups these are picked before they are gathered, by ranges of the order of all groups; if they are
+    too many as well, that is an error."""
+    kept = table.select(group, F.array_sort(F.map_entries("strata")).alias("_kind"))
+    if table.count() > MOST_GROUPS:
+        if kept.select("_kind").distinct().count() * max(most, 1) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups to choose from")
+        kept = ranked(kept, "_place", "_kind", F.col(group).cast("string"), few=True).where(F.col("_place") < most)
+    found: dict[tuple, list] = {}
+    for g, kind in sorted(((r[group], tuple(map(tuple, r["_kind"]))) for r in kept.collect()), key=lambda r: str(r[0]), reverse=True):
+        found.setdefault(kind, []).append(g)
+    return found
+
+
 def kfold_groups(df: DataFrame, group: str, stratum: str, k: int, seed: int = 0) -> DataFrame:
     """(group, fold): the largest group first, ties by a seeded draw, each into the fold where the strata stay most even."""
     rows = _groups(group_strata(df, group, stratum), group)
@@ -44,21 +62,23 @@ def kfold_groups(df: DataFrame, group: str, stratum: str, k: int, seed: int = 0)
 
 def quota_split(df: DataFrame, group: str, stratum: str, quotas: dict[str, int]) -> DataFrame:
     """(group, taken): groups taken one by one, each time the one that overshoots its use the least, until all quotas are met or none helps."""
-    rows = _groups(group_strata(df, group, stratum), group)
-    need, left, out = dict(quotas), {g: (n, s) for g, n, s in rows}, []
+    need, out = dict(quotas), []
+    left = _profiles(group_strata(df, group, stratum), group, sum(v for v in quotas.values() if v > 0))  # each group taken is of use
     while any(v > 0 for v in need.values()):
         best = None
-        for g, (n, s) in left.items():
-            useful = sum(min(c, max(0, need.get(x, 0))) for x, c in s.items())
+        for kind, names in left.items():
+            n, useful = sum(c for _, c in kind), sum(min(c, max(0, need.get(x, 0))) for x, c in kind)
             over = n - useful
-            if useful and (best is None or (over - useful, over, -useful, n, str(g)) < best[0]):
-                best = (over - useful, over, -useful, n, str(g)), g
+            if useful and (best is None or (over - useful, over, -useful, n, str(names[-1])) < best[0]):
+                best = (over - useful, over, -useful, n, str(names[-1])), kind
         if best is None:
             break
-        g = best[1]
-        for x, c in left.pop(g)[1].items():
+        kind = best[1]
+        for x, c in kind:
             need[x] = need.get(x, 0) - c
-        out.append((g, 1))
+        out.append((left[kind].pop(), 1))
+        if not left[kind]:
+            del left[kind]
     return df.sparkSession.createDataFrame(out, df.select(F.col(group), F.lit(1).alias("taken")).schema)
 
 

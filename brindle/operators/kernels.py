@@ -6,7 +6,8 @@ one over a DataFrame, with a status column in place of a failing task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -256,26 +257,41 @@ def tile_starts(n: int, tile: int, stride: int) -> list[int]:
     return sorted({*range(0, max(n - tile, 0) + 1, stride), max(n - tile, 0)})
 
 
-def blend(a: np.ndarray, tile: int, stride: int, model: Callable[[np.ndarray], np.ndarray] = lambda x: x, gaussian: bool = True) -> np.ndarray:
+def blend(a: np.ndarray, tile: int | Sequence[int], stride: int | Sequence[int], model: Callable[[np.ndarray], np.ndarray] = lambda x: x, gaussian: bool = True) -> np.ndarray:
     """A volume put through a shape-preserving model tile by tile, overlaps weighted by a Gaussian or evenly."""
-    w1 = np.exp(-0.5 * ((np.arange(tile) - (tile - 1) / 2) / (tile / 6)) ** 2) if gaussian else np.ones(tile)
+    tiles, strides = ([int(x) for x in np.broadcast_to(y, a.ndim)] for y in (tile, stride))
     w = np.ones(())
-    for _ in range(a.ndim):
-        w = np.multiply.outer(w, w1)
+    for t in tiles:
+        w = np.multiply.outer(w, np.exp(-0.5 * ((np.arange(t) - (t - 1) / 2) / (t / 6)) ** 2) if gaussian else np.ones(t))
     w = np.maximum(w, 1e-3)
     acc, weight = np.zeros(a.shape), np.zeros(a.shape)
-    for at in np.ndindex(*[len(tile_starts(n, tile, stride)) for n in a.shape]):
-        box = tuple(slice(s := tile_starts(n, tile, stride)[k], s + tile) for k, n in zip(at, a.shape))
+    for starts in product(*map(tile_starts, a.shape, tiles, strides)):
+        box = tuple(slice(s, s + t) for s, t in zip(starts, tiles))
         acc[box] += model(a[box]) * w
         weight[box] += w
     return acc / np.maximum(weight, 1e-8)
 
 
-def percentile_norm(a: np.ndarray, low: float = 0.5, high: float = 99.5) -> np.ndarray:
-    p, q = np.percentile(a, [low, high])
+def blend_fitted(a: np.ndarray, tile: int, stride: int, model: Callable[[np.ndarray], np.ndarray] = lambda x: x, multiple: int = 4) -> np.ndarray:
+    """blend for models that take multiples only: tiles shrink to the axes, which are padded by their last values and cut again."""
+    tiles = [max(multiple, min(tile, -(-n // multiple) * multiple) // multiple * multiple) for n in a.shape]
+    pads = [-(-max(n, t) // multiple) * multiple - n for n, t in zip(a.shape, tiles)]
+    whole = np.pad(a, [(0, p) for p in pads], mode="edge")
+    return blend(whole, tiles, stride, model)[tuple(slice(0, n) for n in a.shape)]
+
+
+def percentile_norm(a: np.ndarray, low: float = 0.5, high: float = 99.5, of: np.ndarray | None = None) -> np.ndarray:
+    """Scaled to 0 to 1 between two percentiles of a, or of another volume."""
+    p, q = np.percentile(a if of is None else of, [low, high])
     return np.clip((a - p) / max(q - p, 1e-12), 0, 1)
 
 
+def foreground_norm(a: np.ndarray, low: float = 1, high: float = 99, share: float = 0.02) -> np.ndarray:
+    """percentile_norm by the values above a share of the largest, by all where there are none."""
+    above = a[a > a.max() * share]
+    return percentile_norm(a, low, high, above if above.size else a)
+
+
 def edge_weighted_l1(a: np.ndarray, b: np.ndarray, alpha: float = 2.0) -> float:
     """Mean absolute difference, weighted up where b has edges; the weights' mean is 1."""
     g = np.sqrt(sum(np.diff(b, axis=k, prepend=np.take(b, [0], axis=k)) ** 2 for k in range(b.ndim)) + 1e-12)

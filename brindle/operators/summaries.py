@@ -87,6 +87,15 @@ def best_so_far(df: DataFrame, by: str, order: list[str], value: str) -> DataFra
     return df.withColumn("is_best", F.coalesce(F.col(value) > F.max(value).over(w), F.lit(True)))
 
 
+def power_edge(df: DataFrame, by: str, freq: str, power: str, level: float = 0.99, least: int = 3) -> DataFrame:
+    """cumulative_edge of a spectrum: its first bin, the mean's, does not count; NaN where there are fewer bins than least or no power."""
+    w = Window.partitionBy(by)
+    rows = df.select(by, freq, F.when(F.row_number().over(w.orderBy(freq)) == 1, F.lit(0.0)).otherwise(F.col(power)).alias(power))
+    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_all", F.sum(power).over(w))
+    edges = cumulative_edge(rows.where((F.col("_n") >= least) & (F.col("_all") > 0)).drop("_n", "_all"), by, freq, power, level)
+    return df.select(by).distinct().join(edges, by, "left").select(by, F.coalesce("edge", F.lit(float("nan"))).alias("edge"))
+
+
 def cumulative_edge(df: DataFrame, by: str, freq: str, power: str, level: float = 0.99) -> DataFrame:
     """by, edge: the frequency, between two bins in proportion, where the summed share of power reaches level."""
     w = Window.partitionBy(by).orderBy(freq)

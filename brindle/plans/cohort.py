@@ -224,6 +224,23 @@ def _(spark, sf):
     return pairing.reconcile_shapes(side("p_partkey % 3 <> 0", 3, "module."), side("p_partkey % 4 <> 0", 2, "")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("schema_coverage", "WITH h AS (SELECT DISTINCT p_name AS name, [p_size, p_size % 3] AS shape FROM part WHERE p_partkey % 3 <> 0 AND p_name NOT LIKE '%ed'), w AS (SELECT DISTINCT p_name AS name, [p_size, 1 + p_size % 2] AS shape FROM part WHERE p_partkey % 4 <> 0), m AS (SELECT w.shape[1] * w.shape[2] AS n, coalesce(h.shape = w.shape, false) AS hit FROM w LEFT JOIN h USING (name)), t AS (SELECT count(*) FILTER (hit) / count(*) AS tensors, sum(n) FILTER (hit) / sum(n) AS elements FROM m) SELECT round(tensors, 8) AS tensors, round(elements, 8) AS elements, round(least(tensors, elements), 8) AS guard FROM t")
+def _(spark, sf):
+    p = table(spark, sf, "part")
+    have = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("module."), "p_name").alias("name"), F.array("p_size", F.col("p_size") % 3).alias("shape")).distinct()
+    want = p.where("p_partkey % 4 <> 0").select(F.col("p_name").alias("name"), F.array("p_size", 1 + F.col("p_size") % 2).alias("shape")).distinct()
+    found = pairing.coverage(pairing.reconcile_shapes(have, want, left_out=("ed",)))
+    return found.select(*[F.round(c, 8).alias(c) for c in found.columns])
+
+
+@query("scored_or_all", "WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS low FROM documents) SELECT 'some' AS list, doc_id, NOT low AS scored FROM d UNION ALL SELECT 'every', doc_id, true FROM d")
+def _(spark, sf):
+    """Flagged rows don't count, unless all are flagged."""
+    d = pairing.flagged(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").where("quality = 0"), "doc_id", "low")
+    some, every = pairing.scored(d, "low"), pairing.scored(d.withColumn("low", F.lit(1)), "low")
+    return some.select(F.lit("some").alias("list"), "doc_id", "scored").unionByName(every.select(F.lit("every").alias("list"), "doc_id", "scored"))
+
+
 @query("set_intersect", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id").intersect(table(spark, sf, "labels").select("doc_id"))
@@ -285,6 +302,24 @@ def _(spark, sf):
     return cohort(spark, sf).groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(5)
 
 
+@query("composition_by_weighting", WITH + ", g AS (SELECT o_custkey, weighting, count(*) AS c FROM cohort GROUP BY 1, 2) SELECT o_custkey, CAST(sum(c) AS BIGINT) AS n, round(100.0 * sum(c) / (SELECT count(*) FROM cohort), 6) AS percent, string_agg(weighting || '=' || CAST(c AS VARCHAR), ',' ORDER BY weighting) AS by_weighting FROM g GROUP BY 1")
+def _(spark, sf):
+    c = cohort(spark, sf).groupBy("o_custkey", "weighting").agg(F.count("*").alias("c"))
+    kinds = F.array_sort(F.collect_list(F.struct("weighting", "c")))  # an entry a weighting
+    g = c.groupBy("o_custkey").agg(F.sum("c").alias("n"), F.array_join(F.transform(kinds, lambda k: F.concat_ws("=", k["weighting"], k["c"])), ",").alias("by_weighting"))
+    total = F.broadcast(g.agg(F.sum("n").alias("total")))  # one row
+    return g.crossJoin(total).select("o_custkey", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("percent"), "by_weighting")
+
+
+@query("topk_and_rest", WITH + ", g AS (SELECT o_custkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS r FROM cohort GROUP BY 1) SELECT CAST(o_custkey AS VARCHAR) AS subject, n FROM g WHERE r <= 5 UNION ALL SELECT 'further', count(*) FILTER (n <= 2) FROM g WHERE r > 5")
+def _(spark, sf):
+    """The five largest subjects, and how many others have two volumes at most."""
+    g = cohort(spark, sf).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    top = g.orderBy(F.desc("n"), "o_custkey").limit(5)
+    rest = g.join(F.broadcast(top), "o_custkey", "left_anti").agg(F.count_if(F.col("n") <= 2).alias("n"))  # five rows
+    return top.select(F.col("o_custkey").cast("string").alias("subject"), "n").union(rest.select(F.lit("further"), "n"))
+
+
 @query("cv_rotate", WITH + "SELECT o_orderkey, r.i AS round, CASE WHEN o_custkey % 5 = r.i THEN 'test' WHEN o_custkey % 5 = (r.i + 1) % 5 THEN 'val' ELSE 'train' END AS split FROM cohort, range(5) r(i)")
 def _(spark, sf):
     return folds.rotate(cohort(spark, sf).withColumn("fold", F.pmod("o_custkey", F.lit(5))), 5).select("o_orderkey", "round", "split")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.names import natural_key
 from ..operators import pairing
 from ..sources import tables as S
 from ..sources import volume
@@ -57,6 +58,17 @@ def _(spark, sf):
     return read.select("stem", F.size("data").cast("long").alias("n"), F.round(A.total(F.col("data").cast("array<double>")), 4).alias("total"))
 
 
+@query("list_stems", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS stem, row_number() OVER (ORDER BY 'n' || CAST(n_nationkey AS VARCHAR)) - 1 AS place, row_number() OVER (ORDER BY n_nationkey) - 1 AS natural FROM nation")
+def _(spark, sf):
+    """Volumes of one folder, in the order of their characters and in that of their numbers."""
+    spark.dataSource.register(NiftiSource)
+    at, one = S.scratch(spark, "stems"), F.array(*[F.lit(1)] * 3)
+    v = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("stem"), one.alias("shape"), one.cast("array<double>").alias("spacing"), F.array(F.lit(0.0)).cast("array<float>").alias("data"))
+    v.write.format("nifti").mode("append").save(at)
+    found = pairing.ranked(volume.list_stems(spark, at), "place", None, "stem")
+    return pairing.ranked(found, "natural", None, natural_key(F.col("stem")), "stem")
+
+
 @query("discover_files", "SELECT 'f' || CAST(i.i AS VARCHAR) AS folder FROM range(3) i(i)")
 def _(spark, sf):
     """Tables one folder below the root are found, those deeper are not, as there are some."""

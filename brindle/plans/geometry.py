@@ -40,6 +40,10 @@ L1 = "list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - b[i]))) / 64"
 measure("adversarial_mix", f"list_avg(list_transform(a, lambda x: ln(1 + exp(-x)))) + 100 * {L1}", lambda a, b: A.cross_entropy(a, 1) + 100 * A.mae(a, b))
 measure("least_squares_mix", f"list_avg(list_transform(a, lambda x: (x - 1) * (x - 1))) + 100 * {L1}", lambda a, b: A.mean(F.transform(a, lambda x: (x - 1) * (x - 1))) + 100 * A.mae(a, b))
 
+L1_BACK = "list_sum(list_transform(range(1, 65), lambda i: abs(a[i] - a[65 - i]))) / 64"
+JUDGED = "list_avg(list_transform({0}, lambda x: ln(1 + exp(-x))))"
+measure("cycle_mix", f"{JUDGED.format('a')} + {JUDGED.format('b')} + 20 * {L1} + 5 * {L1_BACK}", lambda a, b: A.side_loss(a, a, b, F.reverse(a)) + A.side_loss(b, b, a, b))
+
 
 @query("pad_edge", W + ", v AS (SELECT vec_id, list_concat([a[1], a[1], a[1]], a, [a[64], a[64], a[64], a[64], a[64]]) AS v FROM s) SELECT vec_id, i.i AS pos, round(v[i.i + 1], 6) AS x FROM v, range(72) i(i)")
 def _(spark, sf):

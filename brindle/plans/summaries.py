@@ -167,6 +167,13 @@ def _(spark, sf):
     return S.cumulative_edge(table(spark, sf, "events").where("value > 0"), "user_id", "event_id", "value", 0.9).select("user_id", F.round("edge", 3).alias("edge"))
 
 
+@query("power_edge", "WITH r AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 0 ELSE value END AS p FROM events WHERE value > 0 AND (user_id % 3 > 0 OR event_id % 40 = 0)), c AS (SELECT user_id, event_id, sum(p) OVER (PARTITION BY user_id ORDER BY event_id) / sum(p) OVER (PARTITION BY user_id) AS c FROM r WHERE n >= 3), l AS (SELECT *, lag(c) OVER (PARTITION BY user_id ORDER BY event_id) AS pc, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS pf FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM l WHERE c >= 0.9) SELECT user_id, round(coalesce(pf + (event_id - pf) * (0.9 - pc) / (c - pc), -1), 3) AS edge FROM (SELECT DISTINCT user_id FROM r) u LEFT JOIN (SELECT * FROM f WHERE k = 1) g USING (user_id)")
+def _(spark, sf):
+    """Users stand for spectra, events for bins; -1 where there is no edge."""
+    e = table(spark, sf, "events").where("value > 0 and (user_id % 3 > 0 or event_id % 40 = 0)")
+    return S.power_edge(e, "user_id", "event_id", "value", 0.9).select("user_id", F.round(F.nanvl("edge", F.lit(-1.0)), 3).alias("edge"))
+
+
 @query("epoch_losses", "SELECT CAST(user_id AS BIGINT) % 10 AS epoch, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY 1")
 def _(spark, sf):
     return table(spark, sf, "events").groupBy(F.pmod("user_id", F.lit(10)).alias("epoch")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("loss"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import kernels as K
+from ..operators import registry
 from ..operators import sampling
 from ..operators import transforms as T
 from ..streaming import stream
@@ -46,7 +47,10 @@ measure("cor_coe_loss", f"1 - {CORR} * {CORR}", lambda a, b: 1 - F.pow(A.correla
 MA, MB = f"({SUM['a']} / 64)", f"({SUM['b']} / 64)"
 measure("ssim_global", f"(2 * {MA} * {MB} + 0.0001) * (2 * ({SUM['ab']} / 64 - {MA} * {MB}) + 0.0009) / (({MA} * {MA} + {MB} * {MB} + 0.0001) * ({SUM['aa']} / 64 - {MA} * {MA} + {SUM['bb']} / 64 - {MB} * {MB} + 0.0009))", lambda a, b: A.global_ssim(A.moments(a, b), F.size(a)))
 measure("center_of_mass", "coalesce(list_avg(list_filter(range(64), lambda i: a[i + 1] > 0.1 * list_max(a))), 31.5)", lambda a, b: A.mass_center(a))
-measure("foreground_mean", "list_avg(list_filter(a, lambda x: x > list_aggregate(a, 'quantile_cont', 0.6)))", lambda a, b: F.expr("aggregate(filter(a, x -> x > element_at(array_sort(a), 38) + 0.8 * (element_at(array_sort(a), 39) - element_at(array_sort(a), 38))), 0D, (s, x) -> s + x) / size(filter(a, x -> x > element_at(array_sort(a), 38) + 0.8 * (element_at(array_sort(a), 39) - element_at(array_sort(a), 38))))"))
+measure("foreground_mean", "list_avg(list_filter(a, lambda x: x > list_aggregate(a, 'quantile_cont', 0.6)))", lambda a, b: A.foreground_mean(a, 0.6, 1))
+ABOVE = "list_filter(a, lambda x: x > list_aggregate(a, 'quantile_cont', 0.8))"
+measure("foreground_mean_fallback", f"CASE WHEN len({ABOVE}) >= 100 THEN list_avg({ABOVE}) ELSE list_avg(a) END", lambda a, b: A.foreground_mean(a, 0.8))
+elements("digitize", "list_transform(a, lambda x: CASE WHEN x >= 0.1 THEN 3.0::DOUBLE WHEN x >= 0 THEN 2.0 WHEN x >= -0.1 THEN 1.0 ELSE 0.0 END)", lambda a, b: F.transform(a, lambda x: A.digitize(x, [-0.1, 0.0, 0.1])))
 elements("to01", "list_transform(a, lambda x: least(1.0, greatest(0.0, (x + 1) / 2)))", lambda a, b: A.clip01(a))
 elements("minmax255", "list_transform(a, lambda x: (x - list_min(a)) / (list_max(a) - list_min(a)) * 255)", lambda a, b: A.minmax255(a), 4)
 elements("window255", "list_transform(a, lambda x: least(255.0, greatest(0.0, (x + 0.2) / 0.4 * 255)))", lambda a, b: A.window255(a, -0.2, 0.2), 4)
@@ -128,6 +132,13 @@ def _(spark, sf):
     return spark.range(16).select(F.col("id").alias("i"), F.round(F.greatest(F.lit(1e-3), F.exp(-0.5 * F.pow((F.col("id") - 7.5) / (16 / 6.0), F.lit(2)))), 8).alias("w"))
 
 
+@query("tile_fit", "WITH t AS (SELECT n.i + 1 AS n, greatest(4, floor(least(16, ceil((n.i + 1) / 4.0) * 4) / 4) * 4)::BIGINT AS tile FROM range(40) n(i)) SELECT n, tile, (ceil(greatest(n, tile) / 4.0) * 4)::BIGINT - n AS pad FROM t")
+def _(spark, sf):
+    """The tile that a model of multiples of 4 takes on an axis, and what the axis is padded by."""
+    tile, pad = A.fitted_tile(F.col("n"), F.lit(16))
+    return spark.range(1, 41).withColumnRenamed("id", "n").select("n", tile.alias("tile"), pad.alias("pad"))
+
+
 @query("perm_inverse", W + ", o AS (SELECT vec_id, i.i AS idx, row_number() OVER (PARTITION BY vec_id ORDER BY a[i.i + 1], i.i) - 1 AS place FROM s, range(64) i(i)) SELECT vec_id, idx, place FROM o")
 def _(spark, sf):
     order = F.transform(F.array_sort(F.transform("a", lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda p: p["i"])
@@ -195,6 +206,9 @@ one("band_power", lambda a: K.band_power(a, 0.2, 0.45), POWER, "coalesce(sum(pow
 DIFF = {k: f"CASE {k}.i WHEN 0 THEN {b} - {c} WHEN 3 THEN {c} - {d} ELSE ({b} - {d}) / 2 END" for k, (b, c, d) in {"x": ("a[(x.i + 1) * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[(x.i - 1) * 16 + y.i * 4 + z.i + 1]"), "y": ("a[x.i * 16 + (y.i + 1) * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + (y.i - 1) * 4 + z.i + 1]"), "z": ("a[x.i * 16 + y.i * 4 + z.i + 2]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i]")}.items()}
 one("sharpness", K.sharpness, "g AS (SELECT vec_id, sqrt(" + " + ".join(f"pow({DIFF[k]}, 2)" for k in "xyz") + f") AS g FROM e, {PLACES})", "avg(g)", "g GROUP BY 1")
 places("percentile_norm", K.percentile_norm, "q AS (SELECT vec_id, a, list_aggregate(a, 'quantile_cont', 0.005) AS lo, list_aggregate(a, 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+places("percentile_norm_foreground", K.foreground_norm, "f AS (SELECT vec_id, a, list_filter(a, lambda x: x > list_max(a) * 0.02) AS f FROM e), q AS (SELECT vec_id, a, list_aggregate(f, 'quantile_cont', 0.01) AS lo, list_aggregate(f, 'quantile_cont', 0.99) AS hi FROM f)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+places("percentile_norm_reference", lambda a: K.percentile_norm(a, 1, 99.5, of=a[:2]), "q AS (SELECT vec_id, a, list_aggregate(a[1:32], 'quantile_cont', 0.01) AS lo, list_aggregate(a[1:32], 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+places("blend_fitted", lambda a: K.blend_fitted(a[:3], 6, 4, registry.create("Scaled", factor="2")), "", by_place("2 * a[x.i * 16 + y.i * 4 + z.i + 1]", (3, 4, 4)))
 EDGE = " + ".join(f"pow({c}, 2)" for c in ("CASE WHEN x.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[(x.i - 1) * 16 + y.i * 4 + z.i + 1]"), "CASE WHEN y.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[x.i * 16 + (y.i - 1) * 4 + z.i + 1]"), "CASE WHEN z.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[x.i * 16 + y.i * 4 + z.i]")))
 one("edge_weighted_l1", lambda a: K.edge_weighted_l1(a, a[::-1]), f"t AS (SELECT vec_id, a, list_concat(a[49:64], a[33:48], a[17:32], a[1:16]) AS t FROM e), g AS (SELECT vec_id, sqrt({EDGE} + 1e-12) AS g, abs(a[x.i * 16 + y.i * 4 + z.i + 1] - t[x.i * 16 + y.i * 4 + z.i + 1]) AS d FROM t, {PLACES}), w AS (SELECT vec_id, d, 1 + 2 * least(1.0, g / (4 * avg(g) OVER (PARTITION BY vec_id))) AS w FROM g)", "sum(w * d) / sum(w)", "w GROUP BY 1")
 one("blend_identity", lambda a: np.abs(K.blend(a, 2, 1) - a).max(), "", "CAST(0 AS DOUBLE)", "e")

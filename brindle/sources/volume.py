@@ -91,6 +91,11 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
     return files.where(F.col("path").rlike(r"(?i)/[^/.][^/]*\.(" + "|".join(e.replace(".", r"\.") for e in EXTENSIONS) + ")$")).withColumn("stem", strip_ext(F.col("path")))
 
 
+def list_stems(spark: SparkSession, path: str) -> DataFrame:
+    """Names without extension of a folder's own volumes, in the order of their characters. A path that is not there is an error."""
+    return list_files(spark, path, recursive=False).select("stem").orderBy("stem")
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """The distinct lines of a text file without blanks and # comments."""
     return spark.read.text(path).select(F.trim("value").alias("entry")).where("entry <> '' and not startswith(entry, '#')").distinct()

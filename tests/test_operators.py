@@ -11,7 +11,7 @@ from tests.conftest import SF
 from brindle.functions import arrays as A
 from brindle.functions import names as N
 from brindle.functions.stats import finite, t_critical, with_interval
-from brindle.operators import folds, kernels, pairing, sampling, transforms
+from brindle.operators import folds, kernels, pairing, registry, sampling, summaries, transforms
 from brindle.plans.catalogue import QUERIES
 from brindle.sources import tables, volume
 from brindle.streaming import stream
@@ -238,3 +238,73 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("pooled").collect()
     assert len(got) == 120 and all(r["item_out"] % 3 == int(r["event_type"]) for r in got) and any(r["item_in"] != r["item_out"] for r in got)
+
+
+def test_quota_split_by_profiles_takes_the_same_groups(spark, monkeypatch):
+    rows = [(f"g{i}", s) for i in range(40) for s in "ab"[: 1 + i % 2] * (1 + i % 3)]
+    df = spark.createDataFrame(rows, "g string, s string")
+    taken = lambda: sorted(r["g"] for r in folds.quota_split(df, "g", "s", {"a": 9, "b": 4}).collect())
+    every = taken()
+    counts = {}
+    for g, s in rows:
+        counts.setdefault(g, {}).setdefault(s, 0)
+        counts[g][s] += 1
+    need, left, plain = {"a": 9, "b": 4}, dict(counts), []
+    while any(v > 0 for v in need.values()):
+        keyed = [(sum(c.values()) - 2 * u, sum(c.values()) - u, -u, sum(c.values()), g) for g, c in left.items() if (u := sum(min(n, max(0, need[s])) for s, n in c.items()))]
+        if not keyed:
+            break
+        g = min(keyed)[-1]
+        for s, n in left.pop(g).items():
+            need[s] -= n
+        plain.append(g)
+    assert every == sorted(plain)
+    df = df.union(spark.createDataFrame([(f"z{i}", "a") for i in range(200)], "g string, s string"))
+    every = taken()
+    monkeypatch.setattr(folds, "MOST_GROUPS", 150)
+    assert taken() == every
+    monkeypatch.setattr(folds, "MOST_GROUPS", 20)
+    with pytest.raises(ValueError):
+        taken()
+
+
+def test_coverage_of_unknown_shapes_and_of_nothing(spark):
+    have = spark.createDataFrame([("module.a", [2, 3]), ("module.n.running_mean", [2])], "name string, shape array<int>")
+    want = spark.createDataFrame([("a", [2, 3]), ("b", [None])], "name string, shape array<int>")
+    matched = pairing.reconcile_shapes(have, want, left_out=pairing.BUFFERS)
+    assert {(r["name"], r["status"]) for r in matched.collect()} == {("a", "loaded"), ("b", "missing")}
+    r = pairing.coverage(matched).first()
+    assert r["tensors"] == r["guard"] == 0.5 and math.isnan(r["elements"])
+    r = pairing.coverage(pairing.reconcile_shapes(have, want.limit(0))).first()
+    assert r["tensors"] == r["elements"] == r["guard"] == 0
+
+
+def test_scored_rows_of_an_empty_table_and_of_null_flags(spark):
+    df = spark.createDataFrame([(1, 1), (2, None), (3, 0)], "k int, low int")
+    assert {r["k"] for r in pairing.scored(df, "low").where("scored").collect()} == {2, 3}
+    assert pairing.scored(df.limit(0), "low").count() == 0
+
+
+def test_power_edge_of_few_bins_and_of_no_power(spark):
+    rows = [(1, i, 1.0) for i in range(5)] + [(2, i, 1.0) for i in range(2)] + [(3, i, 0.0) for i in range(5)]
+    got = {r["k"]: r["edge"] for r in summaries.power_edge(spark.createDataFrame(rows, "k int, f int, p double"), "k", "f", "p", 0.5).collect()}
+    assert got[1] == pytest.approx(np.interp(0.5, np.cumsum([0, 1, 1, 1, 1]) / 4, range(5))) and math.isnan(got[2]) and math.isnan(got[3])
+
+
+def test_models_by_name_and_option_lists():
+    a = np.arange(3 * 5 * 9, dtype=float).reshape(3, 5, 9)
+    shapes = set()
+
+    def seen(x):
+        shapes.add(x.shape)
+        return x
+
+    assert np.allclose(kernels.blend_fitted(a, 6, 4, seen), a) and shapes == {(4, 4, 4)}
+    assert np.allclose(registry.create("SCALED", factor="3")(a), 3 * a) and registry.create("identity")(a) is a
+    for name, given in (("absent", {}), ("scaled", {"other": 1})):
+        with pytest.raises(KeyError):
+            registry.create(name, **given)
+    assert registry.three(["96"]) == [96, 96, 96] and registry.three((1, 2, 3)) == [1, 2, 3] and registry.three(None) is None
+    with pytest.raises(ValueError):
+        registry.three([1, 2])
+    assert registry.numbers("0, 2,-1") == [0, 2]
