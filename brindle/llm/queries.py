@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, importance, jpeg_media, license_scan, mixing, simhash, sketches, toxicity, url_filters
+from . import bpe, html_extract, importance, jpeg_media, license_scan, mixing, phrases, pieces, simhash, sketches, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filters.op1_url_filters,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
     "op10_jpeg_media": jpeg_media.op10_jpeg_media,
+    "op11_pieces": pieces.op11_pieces,
+    "op12_phrases": phrases.op12_phrases,
 }
 
-SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_url_filters": url_filters.SQL, "op8_mixing": mixing.SQL, "op12_phrases": phrases.SQL}
