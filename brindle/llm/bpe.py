@@ -30,6 +30,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MOST_TRANSITIONS, MOST_PAIRS, MOST_PIECES = 320_000, 250_000, 150_000
 
 
+#: Steps of tokens over the UTF-8 machine kept in a worker; beyond, they are forgotten and made again.
+MOST_STEPS = 200_000
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token to rank from lines of base64 and rank."""
     with open(path, "rb") as f:
@@ -236,6 +240,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.transducer, self.pattern, self.known = Transducer(load_ranks(path)), regex.compile(pattern), _Known(self)
+        self.machine = TokenMachine(self.transducer.token)
 
     def encode_packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -269,75 +274,108 @@ class _Known(dict):
         return ids
 
 
-class Utf8Decoder:
-    """Characters from chunks of bytes: the bytes of an unfinished character wait for the next chunk.
+#: A state of the UTF-8 machine: bytes to come, the bits read, and what the next byte may be.
+BETWEEN = (0, 0, 0x80, 0xBF)
+
+
+def utf8_steps(state: tuple[int, int, int, int], chunk: bytes) -> tuple[tuple[int, int, int, int], str]:
+    """The state after each byte of chunk was read, and the text told.
 
     A byte that can't go on or begin a character gives U+FFFD, one for each maximal part, as bytes.decode
     with errors="replace" does.
     """
+    need, value, low, high = state
+    out: list[str] = []
+    for b in chunk:
+        if need:
+            if low <= b <= high:
+                value, need, low, high = value << 6 | b & 63, need - 1, 0x80, 0xBF
+                if not need:
+                    out.append(chr(value))
+                    value = 0
+                continue
+            out.append("�")
+            need, value, low, high = BETWEEN
+        if b < 0x80:
+            out.append(chr(b))
+        elif 0xC2 <= b <= 0xDF:
+            need, value = 1, b & 31
+        elif 0xE0 <= b <= 0xEF:
+            need, value = 2, b & 15
+            low, high = 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF
+        elif 0xF0 <= b <= 0xF4:
+            need, value = 3, b & 7
+            low, high = 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF
+        else:
+            out.append("�")
+    return (need, value, low, high), "".join(out)
+
+
+class Utf8Decoder:
+    """Characters from chunks of bytes: the bytes of an unfinished character wait for the next chunk."""
 
     def __init__(self) -> None:
-        self.need, self.value, self.low, self.high = 0, 0, 0x80, 0xBF
+        self.state = BETWEEN
 
     def feed(self, chunk: bytes) -> str:
-        if self.need:
-            return self._steps(chunk)
-        cut = len(chunk) - self._open(chunk)
-        try:  # between characters, well-formed ones pass the machine at once
-            return chunk[:cut].decode() + self._steps(chunk[cut:])
-        except UnicodeDecodeError:
-            return self._steps(chunk)
-
-    @staticmethod
-    def _open(chunk: bytes) -> int:
-        """The bytes at the end that begin a character and don't finish it."""
-        for k, b in enumerate(reversed(chunk[-3:]), 1):
-            if b >= 0xC0:
-                return k if k < 2 + (b >= 0xE0) + (b >= 0xF0) else 0
-            if b < 0x80:
-                break
-        return 0
-
-    def _steps(self, chunk: bytes) -> str:
-        out: list[str] = []
-        for b in chunk:
-            if self.need:
-                if self.low <= b <= self.high:
-                    self.value, self.need, self.low, self.high = self.value << 6 | b & 63, self.need - 1, 0x80, 0xBF
-                    if not self.need:
-                        out.append(chr(self.value))
-                    continue
-                out.append("�")
-                self.need, self.low, self.high = 0, 0x80, 0xBF
-            if b < 0x80:
-                out.append(chr(b))
-            elif 0xC2 <= b <= 0xDF:
-                self.need, self.value = 1, b & 31
-            elif 0xE0 <= b <= 0xEF:
-                self.need, self.value = 2, b & 15
-                self.low, self.high = 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF
-            elif 0xF0 <= b <= 0xF4:
-                self.need, self.value = 3, b & 7
-                self.low, self.high = 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF
-            else:
-                out.append("�")
-        return "".join(out)
+        self.state, text = utf8_steps(self.state, chunk)
+        return text
 
     def end(self) -> str:
-        rest, self.need, self.low, self.high = "�" if self.need else "", 0, 0x80, 0xBF
+        rest, self.state = "�" if self.state[0] else "", BETWEEN
         return rest
 
 
+class TokenMachine:
+    """The UTF-8 machine that reads tokens in place of bytes: where a token leads from a state, and the text told on the way, is
+    found by stepping over its bytes when the two first meet, and remembered up to a limit."""
+
+    def __init__(self, token: dict[int, bytes], most: int = MOST_STEPS):
+        self.token, self.most = token, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.states, self.numbers = [BETWEEN], {BETWEEN: 0}
+        self.moves: list[dict[int, tuple[int, str]]] = [{}]  # by state and token: the next state and the text
+        self.kept = 0
+
+    def _move(self, at: int, token: int) -> tuple[int, str]:
+        state, text = utf8_steps(self.states[at], self.token[token])
+        to = self.numbers.get(state)
+        if to is None:
+            to = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        self.kept += 1
+        move = self.moves[at][token] = (to, text)
+        return move
+
+    def stream(self, ids: Sequence[int], at_once: int) -> Iterator[str]:
+        """Text as ids come: what of it is complete after each at_once ids, then the end of an unfinished character."""
+        state = BETWEEN
+        for i in range(0, len(ids), at_once):
+            if self.kept > self.most:
+                self.forget()
+            at, moves, out = self.numbers.get(state), self.moves, []
+            if at is None:
+                at = self.numbers[state] = len(self.states)
+                self.states.append(state)
+                moves.append({})
+            for token in ids[i : i + at_once]:
+                at, text = moves[at].get(token) or self._move(at, token)
+                out.append(text)
+            state = self.states[at]
+            yield "".join(out)
+        yield "�" if state[0] else ""
+
+
 #: Ids that the decoder takes at once where a whole document's are at hand.
 AT_ONCE = 1 << 14
 
 
 def decode_stream(encoder: Encoder, ids: Sequence[int], at_once: int = 1) -> Iterator[str]:
-    """Text as ids come: what of it is complete after each at_once ids, then the end of an unfinished character."""
-    state = Utf8Decoder()
-    for i in range(0, len(ids), at_once):
-        yield state.feed(encoder.decode(ids[i : i + at_once]))
-    yield state.end()
+    """Text as ids come, by the encoder's UTF-8 machine: what of it is complete after each at_once ids, then the end of an unfinished character."""
+    return encoder.machine.stream(ids, at_once)
 
 
 def encoder_of(path: str) -> Encoder:
@@ -346,8 +384,8 @@ def encoder_of(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array<int>), decoded (string: the ids' text, by decode_stream) and whole (boolean: whether that is the text)
-    for each row of docs (doc_id, text); null as empty: no ids. Texts come whole; rows repeat as they do in docs; other columns
+    """doc_id, ids (array<int>) and whole (boolean: whether decode_stream makes the text of the ids again) for each row of docs
+    (doc_id, text); null as empty: no ids. Texts come whole; rows repeat as they do in docs; other columns
     are not carried. An empty table gives no rows."""
 
     @tidy
@@ -356,9 +394,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         for x in sliced(batches):
             ids = [np.frombuffer(encoder.encode_packed(t), dtype="<i4") for t in x["text"]]
             decoded = ["".join(decode_stream(encoder, y.tolist(), AT_ONCE)) for y in ids]
-            yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy(), "ids": ids, "decoded": decoded, "whole": [d == (t or "") for d, t in zip(decoded, x["text"])]})
+            yield pd.DataFrame({"doc_id": x["doc_id"].to_numpy(), "ids": ids, "whole": [d == (t or "") for d, t in zip(decoded, x["text"])]})
 
-    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>, decoded string, whole boolean")
+    return batched(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>, whole boolean")
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
