@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, with_interval
-from .pairing import ranked
+from .ordering import in_order
 
 
 #: Rows with an age that a table by age needs.
@@ -20,25 +20,46 @@ def blocks(df: DataFrame, subgroup: str) -> DataFrame:
     return both.withColumn("block", F.explode(F.when(F.col("_kinds") > 1, F.array(F.lit("ALL"), F.col(subgroup))).otherwise(F.array(F.lit("ALL"))))).drop("_kinds")
 
 
+def in_blocks(df: DataFrame, subgroup: str, keys: list[str], *aggs: Column) -> DataFrame:
+    """block, keys and the aggregates: of all rows under ALL and, where there is more than one subgroup, of each subgroup, from one pass
+    over the rows (grouping sets)."""
+    sets = df.groupingSets([[*keys, subgroup], list(keys)], *keys, subgroup).agg(F.grouping(subgroup).alias("_all"), *aggs)
+    kinds = F.size(F.collect_set(F.when(F.col("_all") == 0, F.col(subgroup))).over(Window.partitionBy()))  # a row a group
+    kept = sets.withColumn("_kinds", kinds).where("_all = 1 or _kinds > 1")
+    named = F.when(F.col("_all") == 1, "ALL").otherwise(F.col(subgroup))
+    return kept.withColumn("block", named).select("block", *keys, *[c for c in sets.columns if c not in (*keys, subgroup, "_all")])
+
+
 def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """keys, metric, value: finite values only."""
     return df.unpivot(keys, metrics, "metric", "value").withColumn("value", finite(F.col("value"))).where("value is not null")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, share: float = 0.5, name: str = "median") -> DataFrame:
-    """keys and the exact quantile of the values that aren't null, between two neighbours in proportion, for few groups of any size.
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, times: str, share: float = 0.5, name: str = "median") -> DataFrame:
+    """keys and the exact quantile of values that come so many times each, between two neighbours in proportion, for few groups of any size.
 
-    Rows are placed by ranges of the order of all groups (see ranked), so no task holds a group's values; the one or two rows at the
-    quantile's place are picked. Groups without a value are left out."""
+    counts: a row for each group and value. The times are summed up by ranges of the order of groups and values (see in_order), so no
+    task holds a group, and rows that tie are one row; the one or two values at the quantile's place are picked."""
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    rows = df.select(key.alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null")
-    placed = ranked(rows, "_p", "_g", "_v", few=True)
-    at = placed.groupBy("_g").agg(F.count("*").alias("_n")).select(F.col("_g").alias("_of"), ((F.col("_n") - 1) * F.lit(float(share))).alias("_at"))
-    near = placed.join(F.broadcast(at), F.col("_g").eqNullSafe(F.col("_of"))).where((F.col("_p") == F.floor("_at")) | (F.col("_p") == F.ceil("_at")))  # a row a group
+    rows = counts.select(key.alias("_g"), F.col(value).cast("double").alias("_v"), F.col(times).alias("_c")).where("_v is not null")
+    placed = in_order(rows, ["_g", "_v"], "_k", "_c").withColumn("_from", F.col("until") - F.col("_c"))
+    groups = placed.groupBy("_g").agg(F.sum("_c").alias("_n"), F.min("_from").alias("_begin")).select(F.col("_g").alias("_of"), "_begin", ((F.col("_n") - 1) * F.lit(float(share))).alias("_at"))
+    holds = lambda c: (F.col("_from") - F.col("_begin") <= c) & (c < F.col("until") - F.col("_begin"))
+    near = placed.join(F.broadcast(groups), F.col("_g").eqNullSafe(F.col("_of"))).where(holds(F.floor("_at")) | holds(F.ceil("_at")))  # a row a group
     two = near.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.max(F.col("_at") - F.floor("_at")).alias("part"))
     return two.select(*[F.col(f"_g.{k}").alias(k) for k in keys], F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("part")) * F.col("lo") + F.col("part") * F.col("hi")).alias(name))
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value and times: how often each value comes in each group, counted before anything is shuffled."""
+    return df.groupBy(*keys, F.col(value).cast("double").alias(value)).agg(F.count("*").alias("times"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, share: float = 0.5, name: str = "median") -> DataFrame:
+    """keys and the exact quantile of the values that aren't null, for few groups of any size (quantiles_of_counts). Groups without a value are left out."""
+    return quantiles_of_counts(value_counts(df, keys, value), keys, value, "times", share, name)
+
+
 def with_quantile(groups: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """groups with the column of quantiles; keys may be null."""
     named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
@@ -48,24 +69,44 @@ def with_quantile(groups: DataFrame, found: DataFrame, keys: list[str]) -> DataF
     return groups.join(F.broadcast(named), same, "left").drop(*[f"_{k}" for k in keys])  # a row a group
 
 
+def described(value: str, sd: str) -> list[Column]:
+    spread = F.stddev_samp(value) if sd == "samp" else F.stddev_pop(value)
+    return [F.count(value).alias("n"), F.avg(value).alias("mean"), spread.alias("sd"), F.min(value).alias("low"), F.max(value).alias("high")]
+
+
 def describe(df: DataFrame, keys: list[str], value: str = "value", sd: str = "samp") -> DataFrame:
     """n, mean, sd, median, low and high of the values by a few groups."""
-    spread = F.stddev_samp(value) if sd == "samp" else F.stddev_pop(value)
-    groups = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), spread.alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))
+    groups = df.groupBy(*keys).agg(*described(value, sd))
     return with_quantile(groups, quantiles(df, keys, value), keys).select(*keys, "n", "mean", "sd", "median", "low", "high")
 
 
+def describe_blocks(df: DataFrame, subgroup: str, keys: list[str], value: str = "value", sd: str = "samp") -> DataFrame:
+    """What describe gives, by block (in_blocks) and keys. The values are counted by subgroup once; the counts of a block are their sums."""
+    groups = in_blocks(df, subgroup, keys, *described(value, sd))
+    counts = in_blocks(value_counts(df, [*keys, subgroup], value), subgroup, [*keys, value], F.sum("times").alias("times"))
+    by = ["block", *keys]
+    return with_quantile(groups, quantiles_of_counts(counts, by, value, "times"), by).select(*by, "n", "mean", "sd", "median", "low", "high")
+
+
 def cv_summary(df: DataFrame, subgroup: str, metrics: list[str]) -> DataFrame:
-    return with_interval(describe(long_metrics(blocks(df, subgroup), ["block"], metrics), ["block", "metric"]))
+    return with_interval(describe_blocks(long_metrics(df, [subgroup], metrics), subgroup, ["metric"]))
 
 
 def paired(df: DataFrame, subgroup: str, a: Column, b: Column) -> DataFrame:
     """n, mean, sd, hw of a - b by block where both are finite, and whether the interval includes zero."""
-    d = blocks(df.withColumn("_d", finite(a) - finite(b)).where("_d is not null"), subgroup)
-    t = with_interval(d.groupBy("block").agg(F.count("_d").alias("n"), F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("sd")))
+    d = df.withColumn("_d", finite(a) - finite(b)).where("_d is not null")
+    t = with_interval(in_blocks(d, subgroup, [], F.count("_d").alias("n"), F.avg("_d").alias("mean"), F.stddev_samp("_d").alias("sd")))
     return t.withColumn("includes_zero", F.coalesce((F.col("mean") - F.col("hw") <= 0) & (F.col("mean") + F.col("hw") > 0), F.lit(False)))
 
 
+def by_age(df: DataFrame, subgroup: str, age: str, edges: list[float], a: Column, b: Column, least: int = LEAST_AGED) -> DataFrame:
+    """bin, block, n, pred, delta (a - b), sd and hw of the rows where both and the age are finite; no table at all of fewer than least such rows."""
+    rows = df.withColumn("_d", finite(a) - finite(b)).withColumn("bin", in_bins(finite(F.col(age)), edges)).where("_d is not null and bin is not null")
+    t = in_blocks(rows, subgroup, ["bin"], F.count("*").alias("n"), F.avg(a).alias("pred"), F.avg("_d").alias("delta"), F.stddev_samp("_d").alias("sd"))
+    aged = F.sum(F.when(F.col("block") == "ALL", F.col("n"))).over(Window.partitionBy())  # a row a bin and block
+    return with_interval(t.withColumn("_aged", aged).where(F.col("_aged") >= least).drop("_aged"))
+
+
 def in_bins(value: Column, edges: list[float]) -> Column:
     """The number of the half-open bin, the last one closed; null outside."""
     out = F.lit(None).cast("int")

@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import cohort, files, geometry, summaries, volumes  # noqa: E402, F401
+from . import cohort, files, geometry, streams, summaries, volumes  # noqa: E402, F401

@@ -10,7 +10,7 @@ from ..operators import summaries as S
 from ..operators.ordering import in_order
 from .catalogue import query, table
 
-ROWS = "m AS (SELECT l_orderkey, l_linenumber, l_returnflag AS subgroup, l_orderkey % 5 AS fold, l_extendedprice / 1000 AS pred, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice * (1 - l_discount) / 1000 END AS sinc, l_quantity AS age FROM lineitem)"
+ROWS = "m AS (SELECT l_orderkey, l_linenumber, l_returnflag AS subgroup, l_orderkey % 5 AS fold, l_suppkey AS supplier, l_extendedprice / 1000 AS pred, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice * (1 - l_discount) / 1000 END AS sinc, l_quantity AS age FROM lineitem)"
 BLOCKS = ", b AS (SELECT 'ALL' AS block, * FROM m UNION ALL SELECT subgroup, * FROM m)"
 T = f" LEFT JOIN {t_values_sql()} ON n - 1 = df"
 HW = f"CASE WHEN n > 1 THEN coalesce(crit, {NORMAL}) * sd / sqrt(n) END"
@@ -19,7 +19,7 @@ HW = f"CASE WHEN n > 1 THEN coalesce(crit, {NORMAL}) * sd / sqrt(n) END"
 def rows(spark, sf):
     price, cut = F.col("l_extendedprice"), F.col("l_discount")
     sinc = F.when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(price * (1 - cut) / 1000)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("subgroup"), F.pmod("l_orderkey", F.lit(5)).alias("fold"), (price / 1000).alias("pred"), sinc.alias("sinc"), F.col("l_quantity").alias("age"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("subgroup"), F.pmod("l_orderkey", F.lit(5)).alias("fold"), F.col("l_suppkey").alias("supplier"), (price / 1000).alias("pred"), sinc.alias("sinc"), F.col("l_quantity").alias("age"))
 
 
 def rounded(df, *names, digits=5):
@@ -31,9 +31,10 @@ def _(spark, sf):
     return rows(spark, sf).agg(F.count("*").alias("n"), F.count(finite(F.col("sinc"))).alias("finite"))
 
 
-@query("ci95", "WITH " + ROWS + ", g AS (SELECT fold, subgroup, count(sinc) AS n, avg(sinc) AS mean, stddev_samp(sinc) AS sd FROM m WHERE age > 49 GROUP BY 1, 2) SELECT fold, subgroup, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(" + HW + ", 5) AS hw FROM g" + T)
+@query("ci95", "WITH " + ROWS + ", g AS (SELECT supplier, count(sinc) AS n, avg(sinc) AS mean, stddev_samp(sinc) AS sd FROM m GROUP BY 1) SELECT supplier, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(" + HW + ", 5) AS hw FROM g" + T)
 def _(spark, sf):
-    g = rows(spark, sf).where("age > 49").withColumn("v", finite(F.col("sinc"))).groupBy("fold", "subgroup").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    """Of each supplier's rows: groups of some hundred, so Student's t counts."""
+    g = rows(spark, sf).withColumn("v", finite(F.col("sinc"))).groupBy("supplier").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
     return rounded(with_interval(g), "mean", "sd", "hw")
 
 
@@ -58,7 +59,7 @@ def _(spark, sf):
 
 @query("eval_summary", "WITH " + ROWS + BLOCKS + " SELECT block, count(*) AS n, round(avg(pred), 5) AS mean, round(stddev_pop(pred), 5) AS sd, round(quantile_cont(pred, 0.5), 7) AS median FROM b GROUP BY 1")
 def _(spark, sf):
-    t = S.describe(S.blocks(rows(spark, sf), "subgroup"), ["block"], "pred", "pop")
+    t = S.describe_blocks(rows(spark, sf), "subgroup", [], "pred", "pop")
     return rounded(rounded(t.select("block", "n", "mean", "sd", "median"), "mean", "sd"), "median", digits=7)
 
 
@@ -90,8 +91,7 @@ def _(spark, sf):
 
 @query("cv_by_age", "WITH " + ROWS + BLOCKS + ", g AS (SELECT CASE WHEN age < 10 THEN 0 WHEN age < 25 THEN 1 ELSE 2 END AS bin, block, count(*) AS n, avg(pred) AS pred, avg(pred - sinc) AS mean, stddev_samp(pred - sinc) AS sd FROM b WHERE sinc IS NOT NULL GROUP BY 1, 2) SELECT bin, block, n, round(pred, 5) AS pred, round(mean, 5) AS delta, round(" + HW + ", 6) AS hw FROM g" + T)
 def _(spark, sf):
-    r = rows(spark, sf).withColumn("d", finite(F.col("pred")) - finite(F.col("sinc"))).where("d is not null").withColumn("bin", S.in_bins(F.col("age"), [0, 10, 25, 50]))
-    g = with_interval(S.blocks(r, "subgroup").groupBy("bin", "block").agg(F.count("*").alias("n"), F.avg("pred").alias("pred"), F.avg("d").alias("delta"), F.stddev_samp("d").alias("sd")))
+    g = S.by_age(rows(spark, sf), "subgroup", "age", [0, 10, 25, 50], F.col("pred"), F.col("sinc"))
     return g.select("bin", "block", "n", F.round("pred", 5).alias("pred"), F.round("delta", 5).alias("delta"), F.round("hw", 6).alias("hw"))
 
 
@@ -132,6 +132,13 @@ def _(spark, sf):
     return S.flag_low(s, "db", "s_acctbal", 39.0, 0.5).select("s_suppkey", "flag")
 
 
+@query("flag_measured", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 AND s_acctbal / 200 >= 39 THEN 'LOW' ELSE '' END AS flag FROM supplier")
+def _(spark, sf):
+    """Where any row has a measured value, those that have one are flagged by it and the others are not."""
+    s = table(spark, sf, "supplier").withColumn("db", F.when(F.pmod("s_suppkey", F.lit(3)) > 0, F.col("s_acctbal") / 200).otherwise(F.lit(float("nan"))))
+    return S.flag_low(s, "db", "s_acctbal", 39.0, 0.5).select("s_suppkey", "flag")
+
+
 @query("anisotropy_flag", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <= l_discount AND l_tax <= l_quantity THEN 'x' WHEN l_discount <= l_quantity THEN 'y' ELSE 'z' END AS axis, round(greatest(l_tax, l_discount, l_quantity) / least(l_tax, l_discount, l_quantity), 6) AS ratio FROM lineitem WHERE least(l_tax, l_discount, l_quantity) > 0 AND greatest(l_tax, l_discount, l_quantity) / least(l_tax, l_discount, l_quantity) >= 1.5")
 def _(spark, sf):
     a = F.array("l_tax", "l_discount", "l_quantity")
@@ -146,9 +153,11 @@ def _(spark, sf):
     return in_order(table(spark, sf, "supplier"), worst_first, "place").select("s_suppkey", (F.col("place") + 1).alias("place"))
 
 
-@query("arg_best", "SELECT c_nationkey, max_by(c_custkey, c_acctbal) AS most, min_by(c_custkey, c_acctbal) AS least FROM customer GROUP BY 1")
+@query("arg_best", "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS most, arg_min(c_custkey, (c_acctbal, c_custkey)) AS least FROM customer GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_acctbal").alias("most"), F.min_by("c_custkey", "c_acctbal").alias("least"))
+    """The first customer of the best balance and of the least."""
+    first = lambda sign: F.struct("c_acctbal", sign * F.col("c_custkey"))
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", first(-1)).alias("most"), F.min_by("c_custkey", first(1)).alias("least"))
 
 
 @query("share_of_total", "SELECT event_type, round(sum(value) / (SELECT sum(value) FROM events), 7) AS share FROM events GROUP BY 1")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The state store that processors with several states need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> int:
     """Appends what is new in a folder of Parquet files to out; files once taken are not taken again. The number of batches that ran."""
@@ -63,3 +70,104 @@ def pool(events: DataFrame, key: str, item: str, size: int = 50) -> DataFrame:
 def every_nth(df: DataFrame, order: str, n: int) -> DataFrame:
     """A log line each n steps."""
     return df.where(F.pmod(F.col(order), F.lit(n)) == 0)
+
+
+@contextmanager
+def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
+    """Session settings (their dots as __) while the block runs; what stood before stands again after it."""
+    names = {k.replace("__", "."): v for k, v in wanted.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def finished(query: StreamingQuery) -> list[dict[str, Any]]:
+    """Waits for the end of a query that stops by itself; the progress of its batches that had rows. A failure in it is raised."""
+    query.awaitTermination()
+    return [p for p in query.recentProgress if p["numInputRows"]]
+
+
+def stream_files(spark: SparkSession, path: str, schema: str | T.StructType, files_a_batch: int = 1000) -> DataFrame:
+    """The rows of Parquet files as a stream, so many files at most in a batch; files once taken under a checkpoint are not taken again."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+
+
+def write_batches(rows: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = (), after: Callable[[DataFrame, int], None] | None = None) -> list[dict[str, Any]]:
+    """Writes what is new in a stream to Parquet, each row once even if the writing stops at any place and begins again.
+
+    A batch is written to partitions batch=<its number>, which replace what a stopped try left there: Spark gives a batch whose end
+    was not noted in the checkpoint the same rows and number again. by: more columns to partition by. after: called with each
+    batch and its number when it stands; a batch that is tried again calls it again. Returns the batches' progress."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn("batch", F.lit(number).cast("long"))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path)
+        if after:
+            after(batch, number)
+
+    return finished(rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def closed_windows(events: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", width: str = "1 hour", key: str = "event_type") -> list[dict[str, Any]]:
+    """Appends the windows of a stream (windowed) to Parquet when the watermark has passed their end, so none changes later. A row whose window the
+    watermark of the batches before had closed is dropped. The watermark and open windows are in the checkpoint: a later run closes them."""
+    rows = windowed(events, late, width, key)
+    return finished(rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+
+
+def marks_crossed(counts: DataFrame, every: int) -> DataFrame:
+    """Of rows (batch, n), in order of batch: batch, seen (rows up to its end) and mark, each multiple of every that the batch crossed,
+    so that something is done after each so many rows however batches are cut. A table of a row a batch."""
+    w = Window.partitionBy().orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = counts.withColumn("seen", F.sum("n").over(w))
+    first, last = F.floor((F.col("seen") - F.col("n")) / every) + 1, F.floor(F.col("seen") / every)
+    return seen.where(last >= first).select("batch", "seen", F.explode(F.sequence(first, last)).alias("mark")).withColumn("mark", F.col("mark") * every)
+
+
+class PoolProcessor(StatefulProcessor):
+    """The pool of `pool` with a state for each of its places: a row reads and writes its own place only."""
+
+    def __init__(self, key: str, item: str, size: int):
+        self.key, self.item, self.size = key, item, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.LongType())]))
+        self.held = handle.getMapState("held", T.StructType([T.StructField("place", T.IntegerType())]), T.StructType([T.StructField("item", T.LongType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        items, out = sorted(int(v) for x in rows for v in x[self.item]), []
+        for v in items:
+            seen += 1
+            at = place_in_pool(v, seen, self.size)
+            if at is None:
+                out.append(v)
+                continue
+            out.append(v if seen <= self.size else self.held.getValue((at,))[0])
+            self.held.updateValue((at,), (v,))
+        self.seen.update((seen,))
+        yield pd.DataFrame({self.key: [key[0]] * len(items), f"{self.item}_in": items, f"{self.item}_out": out})
+
+    def close(self) -> None:
+        pass
+
+
+def place_in_pool(item: int, nth: int, size: int) -> int | None:
+    """The place that the nth item (from 1) takes in a pool: the next free one, later one that a hash of item and nth draws, or none."""
+    if nth <= size:
+        return nth - 1
+    h = (item * 2654435761 + nth * 40503) % 2**32
+    return (h >> 1) % size if h & 1 else None
+
+
+def pool_by_place(rows: DataFrame, key: str, item: str, size: int = 50) -> DataFrame:
+    """What pool gives, with the pool's places as a map of states, so a row reads and writes one place and not the whole pool (a list of
+    states has no places to write to). key, <item>_in and <item>_out of each row. A batch's rows of a key are taken in the order of their
+    items, in the worker's memory: bound the batches (stream_files). Set the session's state store to STATE_STORE."""
+    kind = dict(rows.dtypes)[key]
+    return rows.groupBy(key).transformWithStateInPandas(PoolProcessor(key, item, size), f"{key} {kind}, {item}_in long, {item}_out long", "Append", "none")
