@@ -17,13 +17,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_metrics(df: DataFrame, path: str, lead: list[str], metrics: list[str], by: str | None = None) -> None:
-    """CSV with a header: the lead columns first, then the metrics; a folder of its own for each value of by."""
-    ordered = df.select(*([F.col(by).alias("fold_dir")] if by else []), *lead, *metrics)
+def write_metrics(df: DataFrame, path: str, lead: list[str], metrics: list[str], by: str | None = None, decimals: int | None = None) -> None:
+    """CSV with a header: the lead columns first, then the metrics, with so many decimals if that is told; a folder of its own for each value of by."""
+    told = [F.col(m) if decimals is None else with_decimals(F.col(m), decimals).alias(m) for m in metrics]
+    ordered = df.select(*([F.col(by).alias("fold_dir")] if by else []), *lead, *told)
     writer = ordered.write.mode("overwrite").option("header", True).option("nanValue", "nan")
     (writer.partitionBy("fold_dir") if by else writer).csv(path)
 
 
+def with_decimals(c: Column, decimals: int) -> Column:
+    """A number as text with so many decimals, half rounded up; nan and the infinities as words, null as null."""
+    d = c.cast("double")
+    return F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").when(d.isNotNull(), F.format_string(f"%.{decimals}f", d))
+
+
 def picked(df: DataFrame, lead: list[str], left_out: tuple[str, ...] = ("_src",)) -> DataFrame:
     """The lead columns that df has, in their order, then the others by name."""
     first = [c for c in lead if c in df.columns]

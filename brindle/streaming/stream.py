@@ -97,15 +97,16 @@ def stream_files(spark: SparkSession, path: str, schema: str | T.StructType, fil
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def write_batches(rows: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = (), after: Callable[[DataFrame, int], None] | None = None) -> list[dict[str, Any]]:
+def write_batches(rows: DataFrame, path: str, checkpoint: str, by: tuple[str, ...] = (), prepare: Callable[[DataFrame, int], DataFrame] | None = None, after: Callable[[DataFrame, int], None] | None = None) -> list[dict[str, Any]]:
     """Writes what is new in a stream to Parquet, each row once even if the writing stops at any place and begins again.
 
     A batch is written to partitions batch=<its number>, which replace what a stopped try left there: Spark gives a batch whose end
-    was not noted in the checkpoint the same rows and number again. by: more columns to partition by. after: called with each
-    batch and its number when it stands; a batch that is tried again calls it again. Returns the batches' progress."""
+    was not noted in the checkpoint the same rows and number again. by: more columns to partition by. prepare: makes the rows to
+    write of a batch and its number. after: called with each batch and its number when it stands; a batch that is tried again calls
+    it again. Returns the batches' progress."""
 
     def put(batch: DataFrame, number: int) -> None:
-        numbered = batch.withColumn("batch", F.lit(number).cast("long"))
+        numbered = (prepare(batch, number) if prepare else batch).withColumn("batch", F.lit(number).cast("long"))
         numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path)
         if after:
             after(batch, number)
