@@ -43,3 +43,30 @@ def in_order(df: DataFrame, order: list[Column | str], place: str, weight: str |
         found = found.withColumn("_until", F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0)))
         extra += [(F.col("_sum_before") + F.col("_until")).alias("until"), F.col("_total").alias("total")]
     return found.join(F.broadcast(ranges), "_range").select(*df.columns, *extra)
+
+
+#: Aggregates of rows before a row: over rows, over the aggregates of parts, and of two parts that may be null.
+RUNNING = {
+    "max": (F.max, F.max, lambda a, b: F.greatest(a, b)),
+    "min": (F.min, F.min, lambda a, b: F.least(a, b)),
+    "sum": (F.sum, F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "count": (F.count, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+}
+
+
+def running(df: DataFrame, by: list[str], order: list[Column | str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds columns of wanted (name: kind of RUNNING, column): the aggregate of the rows before a row in its group, null where there is none.
+
+    Rows are dealt to ranges of groups and order and stored. A group may go through many ranges: each range aggregates its own part,
+    and what lies before it comes from a table of one row a range (only a range's first group began before it), so broadcast."""
+    dealt = stored(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    parts = dealt.groupBy(*by, "_range").agg(*[RUNNING[kind][0](c).alias(f"_{name}") for name, (kind, c) in wanted.items()], F.lit(True).alias("_there"))
+    past = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("_range").alias("_of"), *[F.col(b).alias(f"_by_{b}") for b in by], *[RUNNING[kind][1](f"_{name}").over(past).alias(f"_{name}") for name, (kind, _) in wanted.items()], F.max("_there").over(past).alias("_there"))
+    same = F.col("_range") == F.col("_of")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    within = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumns({f"_here_{name}": RUNNING[kind][0](c).over(within) for name, (kind, c) in wanted.items()})
+    found = local.join(F.broadcast(before.where("_there")), same, "left")
+    return found.select(*df.columns, *[RUNNING[kind][2](F.col(f"_{name}"), F.col(f"_here_{name}")).alias(name) for name, (kind, _) in wanted.items()])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import finite, with_interval
-from .ordering import in_order
+from .ordering import in_order, running
 
 
 #: Rows with an age that a table by age needs.
@@ -123,25 +123,25 @@ def flag_low(df: DataFrame, db: str, hf: str, db_above: float, ratio: float) ->
 
 
 def best_so_far(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    """is_best: the value is above all before it."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("is_best", F.coalesce(F.col(value) > F.max(value).over(w), F.lit(True)))
+    """is_best: the value is above all before it, in groups of any size."""
+    found = running(df, [by], order, {"_best": ("max", value)})
+    return found.withColumn("is_best", F.coalesce(F.col(value) > F.col("_best"), F.lit(True))).drop("_best")
 
 
 def power_edge(df: DataFrame, by: str, freq: str, power: str, level: float = 0.99, least: int = 3) -> DataFrame:
     """cumulative_edge of a spectrum: its first bin, the mean's, does not count; NaN where there are fewer bins than least or no power."""
-    w = Window.partitionBy(by)
-    rows = df.select(by, freq, F.when(F.row_number().over(w.orderBy(freq)) == 1, F.lit(0.0)).otherwise(F.col(power)).alias(power))
-    rows = rows.withColumn("_n", F.count("*").over(w)).withColumn("_all", F.sum(power).over(w))
-    edges = cumulative_edge(rows.where((F.col("_n") >= least) & (F.col("_all") > 0)).drop("_n", "_all"), by, freq, power, level)
-    return df.select(by).distinct().join(edges, by, "left").select(by, F.coalesce("edge", F.lit(float("nan"))).alias("edge"))
+    bins = df.groupBy(by).agg(F.count("*").alias("_n"), F.min(freq).alias("_first"))
+    rows = df.select(by, freq, power).join(bins.where(F.col("_n") >= least).drop("_n"), by)
+    edges = cumulative_edge(rows.withColumn(power, F.when(F.col(freq) > F.col("_first"), F.col(power)).otherwise(0.0)).drop("_first"), by, freq, power, level)
+    return bins.select(by).join(edges, by, "left").select(by, F.coalesce("edge", F.lit(float("nan"))).alias("edge"))
 
 
 def cumulative_edge(df: DataFrame, by: str, freq: str, power: str, level: float = 0.99) -> DataFrame:
-    """by, edge: the frequency, between two bins in proportion, where the summed share of power reaches level."""
-    w = Window.partitionBy(by).orderBy(freq)
-    t = df.withColumn("_c", F.sum(power).over(w) / F.sum(power).over(Window.partitionBy(by)))
-    t = t.withColumn("_pc", F.lag("_c").over(w)).withColumn("_pf", F.lag(freq).over(w)).where(f"_c >= {level}")
+    """by, edge: the frequency, between two bins in proportion, where the summed share of power reaches level, in groups of any size. A
+    group without power has no row."""
+    totals = df.groupBy(by).agg(F.sum(power).alias("_all")).where("_all > 0")
+    t = running(df.select(by, freq, power), [by], [freq], {"_past": ("sum", power), "_pf": ("max", freq)}).join(totals, by)
+    t = t.withColumn("_pc", F.col("_past") / F.col("_all")).withColumn("_c", (F.coalesce("_past", F.lit(0.0)) + F.coalesce(power, F.lit(0.0))) / F.col("_all")).where(f"_c >= {level}")
     first = t.groupBy(by).agg(F.min_by(F.struct("_c", "_pc", "_pf", freq), freq).alias("x"))
     cut = F.col(f"x.{freq}") - F.col("x._pf")
     return first.select(by, F.when(F.col("x._pc").isNull(), F.col(f"x.{freq}")).otherwise(F.col("x._pf") + cut * (level - F.col("x._pc")) / (F.col("x._c") - F.col("x._pc"))).alias("edge"))

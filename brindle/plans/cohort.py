@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import folds, pairing, sampling
+from ..operators import folds, intervals, pairing, sampling
 from .catalogue import query, table
 
 BASE = """c AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS session,
@@ -370,6 +370,22 @@ def _(spark, sf):
     return sampling.even_draws(table(spark, sf, "customer").withColumn("w", 1 + F.pmod("c_custkey", F.lit(4))), "c_custkey", "w", 500)
 
 
+@query("weighted_draws", WITH + """, w AS (SELECT stem, round(o_totalprice * 100) AS w FROM cohort), line AS (SELECT stem, sum(w) OVER (ORDER BY stem) - w AS low, sum(w) OVER () AS total FROM w),
+d AS (SELECT i AS draw, CAST('0x' || substr(md5('5:' || i), 1, 13) AS BIGINT) / 4503599627370496.0 * (SELECT max(total) FROM line) AS u FROM range((SELECT count(*) FROM cohort)) t(i))
+SELECT d.draw, line.stem FROM d ASOF JOIN line ON d.u >= line.low""")
+def _(spark, sf):
+    """An epoch of draws with replacement: as many as there are volumes, in proportion to their prices."""
+    c = cohort(spark, sf).select("stem", F.round(F.col("o_totalprice") * 100).alias("w"))
+    return intervals.draws_with_replacement(c, "stem", "w", c.count(), 5)
+
+
+@query("interval_join", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal >= c_acctbal AND s_acctbal < c_acctbal + 50 + c_custkey % 100")
+def _(spark, sf):
+    """Suppliers with the customers whose stretch of balances holds theirs."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("low"), (F.col("c_acctbal") + 50 + F.pmod("c_custkey", F.lit(100))).alias("high"))
+    return intervals.holding(table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", c, "low", "high").select("s_suppkey", "c_custkey")
+
+
 @query("json_get", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, coalesce(CAST(json_extract(props, '$.absent') AS BIGINT), -1) AS d FROM events")
 def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("k"), F.coalesce(F.get_json_object("props", "$.absent").cast("long"), F.lit(-1)).alias("d"))

@@ -6,10 +6,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import curves
+from ..operators import chunks
 from ..operators import kernels as K
 from ..operators import registry
 from ..operators import sampling
 from ..operators import transforms as T
+from ..sources import layout
+from ..sources.tables import scratch
 from ..streaming import stream
 from .catalogue import query, table
 
@@ -293,3 +297,47 @@ def _(spark, sf):
 @query("log_every_n", "SELECT event_id, value FROM events WHERE event_id % 50 = 0")
 def _(spark, sf):
     return stream.every_nth(table(spark, sf, "events").select("event_id", "value"), "event_id", 50)
+
+
+def _differences_sql(central: bool) -> str:
+    """Differences of every voxel of a 4 x 4 x 4 volume along each axis, by windows over its lines."""
+    v = "v AS (SELECT vec_id, i // 16 AS x, i // 4 % 4 AS y, i % 4 AS z, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i))"
+    parts = []
+    for axis in "xyz":
+        others = ", ".join(a for a in "xyz" if a != axis)
+        after, before = [f"{f}(v) OVER (PARTITION BY vec_id, {others} ORDER BY {axis})" for f in ("lead", "lag")]
+        d = f"CASE WHEN {before} IS NULL THEN {after} - v WHEN {after} IS NULL THEN v - {before} ELSE ({after} - {before}) / 2 END" if central else f"coalesce({after} - v, 0)"
+        parts.append(f"SELECT '{axis}' AS axis, vec_id, x, y, z, round({d}, 6) AS value FROM v")
+    return f"WITH {v} " + " UNION ALL ".join(parts)
+
+
+def _chunk_differences(spark, sf, central):
+    """Along each axis, over volumes in chunks of 2 x 2 x 2."""
+    c = chunks.chunked(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("data")), "vec_id", "data", (4, 4, 4), (2, 2, 2))
+    parts = [chunks.voxels(chunks.differences(c, "vec_id", (2, 2, 2), k, central), "vec_id", (2, 2, 2)).withColumn("axis", F.lit(axis)) for k, axis in enumerate(chunks.AXES)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("axis", "vec_id", "x", "y", "z", F.round("value", 6).alias("value"))
+
+
+@query("chunk_forward_diff", _differences_sql(False))
+def _(spark, sf):
+    return _chunk_differences(spark, sf, False)
+
+
+@query("chunk_central_diff", _differences_sql(True))
+def _(spark, sf):
+    return _chunk_differences(spark, sf, True)
+
+
+@query("curve_key", "SELECT event_id, " + " + ".join(f"(CAST(floor(least(value / 1000, 0.999) * 256) AS BIGINT) // {1 << i} % 2) * {1 << 2 * i} + (user_id % 256 // {1 << i} % 2) * {1 << 2 * i + 1}" for i in range(8)) + " AS place FROM events")
+def _(spark, sf):
+    """Place on the Z-order curve of value (in 256 steps) and user."""
+    x = F.floor(F.least(F.col("value") / 1000, F.lit(0.999)) * 256).cast("long")
+    return table(spark, sf, "events").select("event_id", curves.morton([x, F.pmod("user_id", F.lit(256))], 8).alias("place"))
+
+
+@query("curve_box", "SELECT event_id FROM events WHERE user_id BETWEEN 20 AND 60 AND value BETWEEN 5 AND 30")
+def _(spark, sf):
+    """A box of users and values out of a table laid out along a Hilbert curve."""
+    at = scratch(spark, "curve")
+    layout.write_by_curve(table(spark, sf, "events"), at, ["user_id", "value"], 16)
+    return spark.read.parquet(at).where("user_id between 20 and 60 and value between 5 and 30").select("event_id")
