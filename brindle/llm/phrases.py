@@ -6,20 +6,19 @@ longer than the longest of the state it links to. The links form the compact tri
 bounded depth states, links and counts of end positions come from sorting the positions by the words before them. Each shard
 tells its phrases with their counts, and the counts are added over all shards by Spark.
 
-No phrase is more frequent than its parts. So words are counted first, then pairs of words that are frequent enough, then
-phrases of 3 to 5 words all of whose pairs are. What is frequent enough goes to the shards as a filter of bounded size (one
-bit a CRC-32 of the phrase): it lets some others pass and never loses one, and the counts that follow are of the phrases
-themselves.
+No phrase is more frequent than its parts. So words are counted first, then hashes of the pairs of frequent words, then
+phrases of 2 to 5 words all of whose pairs are frequent. What is frequent enough goes to the shards as a filter of bounded size
+(one bit a hash): it lets some others pass and never loses one, and what is counted last are the phrases themselves.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,11 +131,20 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return bits[at >> 3] >> (at & 7) & 1 == 1
 
 
+def pair_hashes(known: list[bytes], lang: str, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each pair of words, given by their places in known, and of the language."""
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    words = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known), np.uint64, len(known))
+    mixed = (words[first] ^ words[first] >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + words[second]
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ mixed >> np.uint64(29)).view(np.int64)
+
+
 class Shard:
     """Words of one language, coded as they come; a piece that two shards share leaves its last words to the next one as context."""
 
-    def __init__(self, low: int, high: int, words: np.ndarray | None, pairs: np.ndarray | None):
-        self.low, self.high, self.words, self.pairs = low, high, words, pairs
+    def __init__(self, lang: str, low: int, high: int, words: np.ndarray | None, pairs: np.ndarray | None):
+        self.lang, self.low, self.high, self.words, self.pairs = lang, low, high, words, pairs
         self.context: list[bytes] = []
         self.clear()
 
@@ -150,12 +158,12 @@ class Shard:
         self.size += len(words)
         self.context = (self.context + words[1 - self.high :])[1 - self.high :] if self.high > 1 else []
 
-    def told(self) -> Iterator[tuple[list[bytes], np.ndarray]]:
-        """Phrases and their counts; the shard is empty then."""
+    def counts(self) -> tuple[np.ndarray, list[bytes], SuffixAutomaton | None]:
+        """The codes, the words that they stand for and the automaton; the shard is empty then."""
         codes, known, taken = np.concatenate(self.parts), list(self.codes), len(self.parts[0])
         self.clear()
         if len(codes) == taken:
-            return
+            return codes, known, None
         follows = (codes[1:] > 0) & (codes[:-1] > 0)
         if self.words is not None:
             good = np.zeros(len(known), bool)
@@ -163,41 +171,50 @@ class Shard:
             follows &= good[codes[1:]] & good[codes[:-1]]
         if self.pairs is not None:
             at = np.flatnonzero(follows)
-            pair, which = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True)
-            begun = [zlib.crc32(w + b" ") for w in known]
-            hashes = [zlib.crc32(known[b], begun[a]) for a, b in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist())]
-            follows[at] = passes(self.pairs, np.array(hashes, np.int64))[which]
+            follows[at] = passes(self.pairs, pair_hashes(known, self.lang, codes[at], codes[at + 1]))
         place = np.arange(len(codes))
         begins = np.maximum.accumulate(np.where(np.concatenate([[True], ~follows]), place, 0))
         reach = np.where(codes > 0, place - begins + 1, 0)
         reach[:taken] = 0  # counted by the shard before
         reach[reach < self.low] = 0
-        automaton = SuffixAutomaton(codes, reach, self.high)
-        for k, ends, counts in automaton.phrases(self.low, self.high):
+        return codes, known, SuffixAutomaton(codes, reach, self.high)
+
+    def phrases(self) -> Iterator[pa.RecordBatch]:
+        codes, known, automaton = self.counts()
+        for k, ends, counts in automaton.phrases(self.low, self.high) if automaton else ():
             for begin in range(0, len(ends), BATCH_PHRASES):
                 some = ends[begin : begin + BATCH_PHRASES]
                 columns = [map(known.__getitem__, codes[some - back].tolist()) for back in range(k - 1, -1, -1)]
-                yield list(columns[0] if k == 1 else map(b" ".join, zip(*columns))), counts[begin : begin + BATCH_PHRASES]
+                told = list(columns[0] if k == 1 else map(b" ".join, zip(*columns)))
+                lang = pa.array([self.lang]).take(pa.array(np.zeros(len(told), np.int8)))
+                yield pa.record_batch([lang, pa.array(told, pa.binary()).cast(pa.string()), pa.array(counts[begin : begin + BATCH_PHRASES], pa.int64())], ["lang", "phrase", "f"])
+
+    def hashed_pairs(self) -> Iterator[pa.RecordBatch]:
+        codes, known, automaton = self.counts()
+        for _, ends, counts in automaton.phrases(2, 2) if automaton else ():
+            yield pa.record_batch([pa.array(pair_hashes(known, self.lang, codes[ends - 1], codes[ends])), pa.array(counts, pa.int64())], ["h", "f"])
 
 
-def shard_counts(docs: DataFrame, low: int, high: int, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
-    """lang, phrase and f, its occurrences in a shard, for the phrases of low to high words (words and pairs: broadcast filters)."""
+def shard_counts(docs: DataFrame, low: int, high: int, words: Broadcast | None = None, pairs: Broadcast | None = None, hashed: bool = False) -> DataFrame:
+    """lang, phrase and f, its occurrences in a shard, for the phrases of low to high words (words and pairs: broadcast filters); hashed: h and
+    f of the pairs alone."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [None if x is None else np.frombuffer(x.value, np.uint8) for x in (words, pairs)]
-        shards: dict[str, Shard] = defaultdict(lambda: Shard(low, high, *filters))
+        shards: dict[str, Shard] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, shard in shards.items():
-                for phrases, counts in shard.told():
-                    n = len(phrases)
-                    yield pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(n, np.int8))), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "f"])
+            for shard in shards.values():
+                yield from shard.hashed_pairs() if hashed else shard.phrases()
 
         held = 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
-                shard = shards[lang.as_py()]
+                lang = lang.as_py()
+                shard = shards.get(lang)
+                if shard is None:
+                    shard = shards[lang] = Shard(lang, low, high, *filters)
                 for part in words_of_bytes(text.as_py()):
                     shard.feed(part)
                     held += len(part)
@@ -208,23 +225,22 @@ def shard_counts(docs: DataFrame, low: int, high: int, words: Broadcast | None =
         yield from flush()
 
     plain = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return plain.mapInArrow(run, "lang string, phrase string, f long")
+    return plain.mapInArrow(run, "h long, f long" if hashed else "lang string, phrase string, f long")
 
 
 def counted(parts: DataFrame, least: int) -> DataFrame:
-    """Counts added over all shards, of the phrases that occur often enough."""
-    return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    """Counts added over all shards, of what occurs often enough."""
+    return parts.groupBy(*[c for c in parts.columns if c != "f"]).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def filter_of(frequent: DataFrame) -> Broadcast:
-    """A broadcast filter of phrases: bit c of its bytes is set for each CRC-32 c, cut to FILTER_BITS, so its size is bounded."""
-    spark = frequent.sparkSession
-    at = F.crc32(F.col("phrase").cast("binary")).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    rows = frequent.select(at.alias("_at")).select(F.shiftright("_at", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("bit"))
+def filter_of(hashes: DataFrame) -> Broadcast:
+    """A broadcast filter of hashes (h): the bit of each, cut to FILTER_BITS, is set, so its size is bounded."""
+    at = hashes.select(F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("_at"))
+    rows = at.select(F.shiftright("_at", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(_at & 63 as int))").alias("bit"))
     set_ = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
     bits[set_["at"].to_numpy()] = set_["bits"].to_numpy()
-    return spark.sparkContext.broadcast(bits.tobytes())
+    return hashes.sparkSession.sparkContext.broadcast(bits.tobytes())
 
 
 def n_words(phrase: Column) -> Column:
@@ -237,16 +253,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words = keep(shard_counts(docs, 1, 1).groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
     totals = keep(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     single = words.where(F.col("f") >= least)
-    levels, first = [single], filter_of(single)
-    pairs = keep(counted(shard_counts(docs, 2, 2, first), least), "pairs")
-    levels.append(pairs)
-    if longest > 2:
-        levels.append(counted(shard_counts(docs, 3, longest, first, filter_of(pairs)), least))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
+    first = filter_of(single.select(F.crc32(F.col("phrase").cast("binary")).alias("h")))
+    pairs = filter_of(counted(shard_counts(docs, 2, 2, first, hashed=True), least))
+    every = single.unionByName(counted(shard_counts(docs, 2, longest, first, pairs), least))
     every = keep(every.withColumn("k", n_words(F.col("phrase"))), "phrases")
-    forget(words, pairs)
+    forget(words)
     return every, totals
 
 
