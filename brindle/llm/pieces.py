@@ -35,7 +35,7 @@ BLANK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Words and verdicts on pairs that a worker remembers; beyond, they are forgotten and made again. Of words, so many and as many of the time before.
-MOST_WORDS, MOST_PAIRS = 250_000, 400_000
+MOST_WORDS, MOST_PAIRS = 600_000, 400_000
 #: Characters of the longest word remembered.
 LONGEST_KEPT = 64
 
