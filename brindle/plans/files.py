@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.names import natural_key
 from ..operators import pairing
+from ..operators.ordering import stored
+from ..sources import documents as D
 from ..sources import tables as S
 from ..sources import volume
 from ..sources.nifti import NiftiSource
@@ -58,6 +60,19 @@ def _(spark, sf):
     return read.select("stem", F.size("data").cast("long").alias("n"), F.round(A.total(F.col("data").cast("array<double>")), 4).alias("total"))
 
 
+@query("header_scan", "SELECT 'v' || CAST(vec_id AS VARCHAR) AS stem, 64 AS n, CAST(1 + vec_id % 3 AS DOUBLE) AS width, true AS bare FROM embeddings WHERE CAST(vec_id AS VARCHAR) LIKE '1%'")
+def _(spark, sf):
+    """Extent and voxel size of the volumes of some names: other files are not opened, and of these only headers are read."""
+    spark.dataSource.register(NiftiSource)
+    at = S.scratch(spark, "volumes")
+    v = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("stem"), F.array(*[F.lit(4)] * 3).alias("shape"), F.array(*[(1 + F.pmod("vec_id", F.lit(3))).cast("double")] * 3).alias("spacing"), F.col("embedding").cast("array<float>").alias("data"))
+    v.write.format("nifti").mode("append").save(at)
+    with stream.settings(spark, spark__sql__python__filterPushdown__enabled="true"):
+        read = spark.read.format("nifti").option("push", "true").option("data", "false").load(at).where("stem like 'v1%'")
+        kept = stored(read.select("stem", A.product(F.col("shape")).cast("long").alias("n"), F.col("spacing")[0].alias("width"), F.col("data").isNull().alias("bare")))
+    return kept
+
+
 @query("list_stems", "SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS stem, row_number() OVER (ORDER BY 'n' || CAST(n_nationkey AS VARCHAR)) - 1 AS place, row_number() OVER (ORDER BY n_nationkey) - 1 AS natural FROM nation")
 def _(spark, sf):
     """Volumes of one folder, in the order of their characters and in that of their numbers."""
@@ -121,3 +136,39 @@ def _(spark, sf):
 @query("session_windows", "WITH l AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL '6 hours' AS opens FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def _(spark, sf):
     return stream.sessions(table(spark, sf, "events"), "user_id", "6 hours")
+
+
+def _manifest_documents(spark, sf):
+    """A manifest for each order, a line each; that of every tenth breaks off. Returns the documents as they are read."""
+    at, k = S.scratch(spark, "manifests"), F.col("o_orderkey")
+    split = F.when(k % 4 == 0, "test").when(k % 4 == 1, "val").otherwise("train")
+    entry = F.struct(F.concat(k % 3, F.lit(".nii.gz")).alias("assigned_name"), F.when(k % 5 > 0, F.col("stem")).alias("stem"))
+    document = F.to_json(F.struct(F.create_map(F.lit("order"), k.cast("string")).alias("args"), F.create_map(split, F.array(entry)).alias("splits")))
+    cohort(spark, sf).select(F.when(k % 10 == 9, F.substring(document, 1, 30)).otherwise(document).alias("value")).write.text(at)
+    return D.read_documents(spark, at, D.MANIFEST, lines=True)
+
+
+MANIFESTS = WITH + ", m AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, CAST(o_orderkey % 3 AS VARCHAR) AS assigned_name, CASE WHEN o_orderkey % 5 > 0 THEN stem ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS stem FROM cohort WHERE o_orderkey % 10 <> 9) "
+
+
+@query("manifest_documents", MANIFESTS + "SELECT split, assigned_name, stem FROM m")
+def _(spark, sf):
+    return D.manifest_rows(_manifest_documents(spark, sf)).drop("file")
+
+
+@query("broken_documents", "SELECT CASE WHEN o_orderkey % 10 = 9 THEN 'unreadable' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 10 <> 9 THEN 1 END) AS BIGINT) AS splits FROM orders GROUP BY 1")
+def _(spark, sf):
+    return _manifest_documents(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.cardinality(F.map_keys("splits"))).alias("splits"))
+
+
+@query("name_map", MANIFESTS + "SELECT assigned_name, max(stem) AS stem, false AS ambiguous FROM m WHERE split = 'val' GROUP BY 1")
+def _(spark, sf):
+    return D.name_map(D.manifest_rows(_manifest_documents(spark, sf)), "val")
+
+
+@query("whole_triples", WITH + "SELECT stem, CASE WHEN o_orderkey % 7 = 0 THEN 'prediction' WHEN o_orderkey % 5 = 0 THEN 'target' END AS missing FROM cohort")
+def _(spark, sf):
+    """Of each volume's prediction, input and target the first that is not among the files."""
+    c = cohort(spark, sf).select("o_orderkey", "stem", S.resolved_triples(F.col("stem"), F.pmod("o_custkey", F.lit(3)).cast("string"), "/r").alias("paths"))
+    there = F.filter(F.array("paths.prediction", "paths.input", "paths.target"), lambda p: ~((F.col("o_orderkey") % 7 == 0) & p.contains("/prediction/")) & ~((F.col("o_orderkey") % 5 == 0) & p.contains("/target/")))
+    return S.whole_triples(c.select("stem", "paths"), c.select(F.explode(there).alias("path"))).select("stem", "missing")

@@ -38,16 +38,14 @@ def picked(df: DataFrame, lead: list[str], left_out: tuple[str, ...] = ("_src",)
 
 
 def write_folds(assigned: DataFrame, path: str) -> None:
-    """A line of JSON for each fold: its name and the sorted stems of train, val and test, of rows (fold, split, stem)."""
-    stems = lambda s: F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("stem")))).alias(s)
-    assigned.groupBy("fold").agg(*[stems(s) for s in ("train", "val", "test")]).write.mode("overwrite").json(path)
+    """Lines of JSON (split, stem) in a folder for each fold, by split and stem, of rows (fold, split, stem); no row or task holds a fold."""
+    lines = assigned.select("fold", "split", "stem").repartitionByRange("fold", "split", "stem").sortWithinPartitions("fold", "split", "stem")
+    lines.write.mode("overwrite").partitionBy("fold").json(path)
 
 
 def read_fold_lines(spark: SparkSession, path: str) -> DataFrame:
     """fold, split, stem of what write_folds wrote."""
-    f = spark.read.schema("fold string, train array<string>, val array<string>, test array<string>").json(path)
-    parts = F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("stems")) for s in ("train", "val", "test")])
-    return f.select("fold", F.explode(parts).alias("p")).select("fold", "p.split", F.explode("p.stems").alias("stem"))
+    return spark.read.schema("split string, stem string, fold string").json(path).select("fold", "split", "stem")
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -84,6 +82,19 @@ def resolved(stem: Column, fold: Column, mode: str, root: str) -> Column:
     return F.concat_ws("/", *parts)
 
 
+def resolved_triples(stem: Column, fold: Column, root: str) -> Column:
+    """The three paths of a volume: prediction, input and target."""
+    return F.struct(*[resolved(stem, fold, mode, root).alias(mode) for mode in ("prediction", "input", "target")])
+
+
+def whole_triples(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted (stem, paths as resolved_triples gives) with missing: the first of prediction, input, target whose path is not in files
+    (path), null if all three are there."""
+    each = wanted.select("stem", F.explode(F.array(*[F.struct(F.lit(k).alias("nth"), F.lit(m).alias("mode"), F.col(f"paths.{m}").alias("path")) for k, m in enumerate(("prediction", "input", "target"))])).alias("p")).select("stem", "p.*")
+    lost = each.join(files.select("path").distinct(), "path", "left_anti").groupBy("stem").agg(F.min_by("mode", "nth").alias("missing"))
+    return wanted.join(lost, "stem", "left")
+
+
 def exemplars(df: DataFrame, by: str, name: str, n: int) -> DataFrame:
     """by, rows, first (array): how many rows a group has and its first n distinct names; a task passes on n a group, not all."""
     merge = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))), 1, n)

@@ -18,14 +18,20 @@ TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 76
 SCHEMA = "path string, stem string, shape array<int>, spacing array<double>, data array<float>, status string"
 
 
-def read_nifti(raw: bytes) -> tuple[list[int], list[float], np.ndarray]:
-    """Shape, spacing and values in C order of (x, y, z) of a NIfTI-1 file, plain or gzipped."""
-    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def read_header(raw: bytes) -> tuple[list[int], list[float]]:
+    """Shape and spacing of a NIfTI-1 header, which need not be followed by values."""
     order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
     if struct.unpack(order + "i", raw[:4])[0] != 348:
         raise ValueError("not a NIfTI-1 header")
     dim = struct.unpack(order + "8h", raw[40:56])
-    shape, spacing = list(dim[1 : 1 + dim[0]]), [float(x) for x in struct.unpack(order + "8f", raw[76:108])[1 : 1 + dim[0]]]
+    return list(dim[1 : 1 + dim[0]]), [float(x) for x in struct.unpack(order + "8f", raw[76:108])[1 : 1 + dim[0]]]
+
+
+def read_nifti(raw: bytes) -> tuple[list[int], list[float], np.ndarray]:
+    """Shape, spacing and values in C order of (x, y, z) of a NIfTI-1 file, plain or gzipped."""
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    shape, spacing = read_header(raw)
+    order = "<" if struct.unpack("<i", raw[:4])[0] == 348 else ">"
     kind, at = struct.unpack(order + "h", raw[70:72])[0], int(struct.unpack(order + "f", raw[108:112])[0])
     slope, shift = struct.unpack(order + "2f", raw[112:120])
     values = np.frombuffer(raw, dtype=order + TYPES[kind], count=int(np.prod(shape)), offset=at).reshape(shape, order="F").astype(np.float32)
