@@ -27,7 +27,7 @@ from .common import LOWER, UPPER, beside, forget, keep, table, tidy
 
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Words of a shard.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of a text that are cut into words at once.
 SLICE_BYTES = 1 << 20
 #: Bits of a filter of frequent phrases: 2 to this power.

@@ -244,8 +244,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 SHINGLE, RESEMBLANCE = 5, 0.8
 #: Shingles that are told to be common: one row in so many is looked at, and so many shingles are remembered at most.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 16, 8, 20_000
-#: Keys of a text most of whose shingles (a share of OWN) are not common: two texts of RESEMBLANCE share one of them but for a chance below 1e-15.
-KEYS, OWN = 40, 0.6
+#: Keys of a text most of whose shingles (a share of OWN) are not common: two texts of RESEMBLANCE share one of them but for a chance below 1e-15. None: the
+#: whole prefix, by which every such pair shares one.
+KEYS: int | None = 40
+OWN = 0.6
 #: Pairs that a task holds before it hands them on.
 PAIRS_HELD = 1 << 18
 #: Rounds of prefix_pairs: how far apart in a key's order of size the ends of a pair may be; None: anywhere.
@@ -269,7 +271,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Rows of docs, one of each group of copies: the one with the smallest doc_id.
 
     A group is a component of links: pairs of texts whose sets of five-word shingles have a resemblance of RESEMBLANCE
-    or more, all of them, with none lost. Texts of equal SHA-256 are one node (its smallest doc_id). The links come in
+    or more; each is found but for a chance below 1e-15, and with KEYS = None without one. Texts of equal SHA-256 are one node (its smallest doc_id). The links come in
     rounds, each verified on the sets. The first takes pairs whose SimHash fingerprints of the word sets lie within 3
     bits, through pivot tables, a forest of each bucket; the next take neighbours of equal prefix keys. They join large
     groups cheaply. The last tries every other pair that can reach RESEMBLANCE and whose ends are still in different
@@ -356,7 +358,7 @@ def _keys(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(common[:, 0], sh), len(common) - 1)
         rank = np.where(common[at, 0] == sh, common[at, 1], 0)
     most = len(sh) - int(np.ceil(RESEMBLANCE * len(sh) - 1e-9)) + 1
-    if (rank == 0).mean() >= OWN:
+    if KEYS and (rank == 0).mean() >= OWN:
         most = min(most, KEYS)
     return sh[np.lexsort((sh, rank))[:most]]
 

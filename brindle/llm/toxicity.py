@@ -37,8 +37,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, places in words) of the character n-grams of each <word> and of each whole word, in blocks: a word may be
-    of any length and lie in several. The hash of an n-gram is of its code points alone."""
+    """(buckets, places in words) of the character n-grams of each <word> and of each whole word, in blocks of whole words; a word
+    longer than a block is cut at fixed distances from its own beginning. So a word's n-grams come in one order whatever
+    stands beside it. The hash of an n-gram is of its code points alone."""
     if not words:
         return
     codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -46,9 +47,9 @@ def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ends = np.cumsum(lengths)
     whole = np.zeros(len(words), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for start in range(0, len(codes), BLOCK):
-            part = codes[start : start + BLOCK + LONGEST - 1].astype(np.uint64) + np.uint64(1)  # n-grams may end in the next block
-            at = np.arange(start, min(start + BLOCK, len(codes)))
+        for start, stop in _blocks(ends - lengths, ends):
+            part = codes[start : stop + LONGEST - 1].astype(np.uint64) + np.uint64(1)  # n-grams of a long word may end in the next block
+            at = np.arange(start, stop)
             owner = np.searchsorted(ends, at, "right")
             left = ends[owner] - at
             part = np.concatenate([part, np.zeros(len(at) + LONGEST - 1 - len(part), dtype=np.uint64)])
@@ -65,6 +66,17 @@ def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (_mixed(whole) % np.uint64(BUCKETS)).astype(np.int32), np.arange(len(words))
 
 
+def _blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of whole words of at most BLOCK characters, and pieces of so many of a longer word."""
+    first = 0
+    while first < len(ends):
+        begin = int(starts[first])
+        last = max(int(np.searchsorted(ends, begin + BLOCK, "right")), first + 1)
+        for at in range(begin, int(ends[last - 1]), BLOCK):
+            yield at, min(at + BLOCK, int(ends[last - 1]))
+        first = last
+
+
 def tokens(text: str | None) -> dict[str, int]:
     """The words of a text and how often each comes, in order, so that sums don't depend on the process."""
     return Counter(text.lower().split()) if text else {}
@@ -194,13 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of labels (doc_id, toxic) on docs (doc_id, text), without held-out rows.
 
     At most MOST_TOXIC and MOST_CLEAN labelled rows are collected, those of smallest hash of doc_id, and of these the first
-    that have MOST_CHARS characters together. Rows with a null label or doc_id don't count; a doc_id labelled twice counts
+    that have MOST_CHARS characters together; a row that alone has more is passed over. Rows with a null label or doc_id don't count; a doc_id labelled twice counts
     by its larger label.
     """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(is_).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for is_, n in (("toxic = 1", MOST_TOXIC), ("toxic = 0", MOST_CLEAN))]
     chosen = F.broadcast(some[0].union(some[1]))  # MOST_TOXIC + MOST_CLEAN rows at most
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("place"), "doc_id", "text", "toxic")
+    rows = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= MOST_CHARS)
     sample = keep(rows.orderBy("place", "doc_id", "text").limit(MOST_TOXIC + MOST_CLEAN), "sample")
     sizes = sample.select(F.coalesce(F.length("text"), F.lit(0)).alias("n"), "place").orderBy("place").toPandas()
     fits = sizes["place"][sizes["n"].cumsum() <= MOST_CHARS]
@@ -245,7 +258,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         let_go()
         scorer = Scorer(model)
         for x in batches:
-            yield x.filter(pa.array(scorer.score(x.column(at).to_pylist()) < threshold))
+            texts = pd.DataFrame({"text": x.column(at).to_pylist()})
+            scores = [scorer.score(part["text"].tolist()) for part in sliced([texts])]
+            yield x.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < threshold))
 
     return batched(docs).mapInArrow(run, docs.schema)
 

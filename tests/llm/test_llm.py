@@ -210,7 +210,7 @@ def test_drop_near_copies_without_broadcasts(spark, odd, monkeypatch):
     test_drop_near_copies(spark, odd)
 
 
-def test_keys_of_similar_sets_meet():
+def test_keys_of_similar_sets_meet(monkeypatch):
     """Of two sets of resemblance 0.8 the keys share one, with common shingles or without, at any size."""
     rng = np.random.default_rng(3)
     for n in (1, 4, 5, 9, 10, 50, 190, 200, 260, 1000, 5000):
@@ -221,6 +221,10 @@ def test_keys_of_similar_sets_meet():
             common_ones = np.sort(both[rng.random(len(both)) < part])
             table = np.stack([common_ones, np.full(len(common_ones), 9)], axis=1)
             assert len(np.intersect1d(simhash._keys(a, table), simhash._keys(b, table)))
+            with monkeypatch.context() as m:
+                m.setattr(simhash, "KEYS", None)
+                whole = simhash._keys(a, table)
+                assert len(whole) == len(a) - int(np.ceil(0.8 * len(a) - 1e-9)) + 1 and len(np.intersect1d(whole, simhash._keys(b, table)))
             assert len(simhash._keys(a, table)) <= max(simhash.KEYS, len(a) - int(np.ceil(0.8 * len(a) - 1e-9)) + 1)
 
 
@@ -473,6 +477,29 @@ def _by_word(words):
     return out
 
 
+def test_equal_texts_score_equally_whatever_the_batch(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.1)
+    words = ["".join(rng.choice(list("abcdeé日"), rng.integers(1, n))) for n in [9] * 60 + [300] * 6]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(60)]
+    alone = [toxicity.Scorer(model).score([t])[0] for t in texts]
+    for size in (2, 7, 60):
+        for part in range(0, 60, size):
+            assert toxicity.Scorer(model).score(texts[part : part + size]).tolist() == alone[part : part + size]
+    assert toxicity.Scorer(model).score(texts[::-1]).tolist() == alone[::-1]
+
+
+def test_a_labelled_text_beyond_the_bound_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 3000)
+    rows = [(i, ("vile " if i % 2 else "fine ") * 20, i % 2) for i in range(24)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, "long " * 5000) for i in range(100, 130)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(i, 0) for i in range(100, 130)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    bad, good = toxicity.Scorer(model).score(["vile " * 20, "fine " * 20])
+    assert bad > good and np.count_nonzero(model.effect)
+
+
 def test_toxicity_gradient_against_differences():
     """A single step of training moves what it touches against the numerical gradient of the cross-entropy."""
     texts, y = ["bad awful word", "good kind word", "bad bad thing", "kind thing here"] * 3, [1, 0, 1, 0] * 3
