@@ -270,13 +270,35 @@ def labelled_pages(n: int = 700, seed: int = 11) -> list[tuple[str, list[str]]]:
                 add("<blockquote>", text(rng.randint(1, 2)), "</blockquote>")
             elif kind < 0.3:
                 add("<figure><figcaption>", sentence(), "</figcaption></figure>")
+            elif kind < 0.32:
+                add(rng.choice(["<p class=caption>", '<div class="caption">', '<div class="image"><img src=x><p>', "<figcaption>"]), sentence(), "")
+                pieces[-1] += "</p></div>" if "image" in pieces[-1] else "</div>" if "<div" in pieces[-1] else "</figcaption>" if "<figc" in pieces[-1] else "</p>"
             elif kind < 0.34:
-                add("<table><tr><td>", sentence(1, 4), "</td></tr></table>")
-            elif kind < 0.4:
-                add("<pre>", sentence(2, 6), "</pre>")
+                pieces.append("<table>")
+                for _ in range(rng.randint(1, 3)):
+                    add(rng.choice(["<tr><td>", "<tr><th>"]), sentence(1, 4), "</td>")
+                    add("<td>", sentence(1, 4), "</td></tr>")
+                pieces.append("</table>")
+            elif kind < 0.37:
+                pieces.append("<dl>")
+                for _ in range(rng.randint(1, 3)):
+                    add("<dt>", sentence(1, 3).rstrip(".?!"), rng.choice(["</dt>", ""]))
+                    add("<dd>", rng.choice([sentence(1, 12), text(2)]), rng.choice(["</dd>", ""]))
+                pieces.append("</dl>")
+            elif kind < 0.41:
+                box = rng.choice(["div", "div", "section", "aside"])
+                pieces.append(f"<{box}" + named("note", "callout", "tip", "infobox", "box", "highlight", "pullquote", "summary", "abstract", "lead", "example", "warning", "definition") + ">")
+                for _ in range(rng.randint(1, 2)):
+                    add("<p>", text(rng.randint(1, 3)), "</p>")
+                pieces.append(f"</{box}>")
+            elif kind < 0.43:
+                add("<details><summary>", sentence(2, 6), "</summary>")
+                add("<p>", text(rng.randint(1, 2)), "</p></details>")
             elif kind < 0.46:
+                add("<pre>", sentence(2, 6), "</pre>")
+            elif kind < 0.5:
                 add("<p>", " | ".join(word() for _ in range(rng.randint(2, 9))) + rng.choice(["", ".", " |"]), rng.choice(["</p>", ""]))
-            elif kind < 0.52:
+            elif kind < 0.55:
                 add(rng.choice(["<p>", "<p><b>"]), " ".join([word()] * rng.randint(1, 9)), rng.choice(["</p>", "", "<br>"]))
             else:
                 add(rng.choice(["<p>", "<p><b>"]), text(rng.choice([1, 1, 2, 4, 7])), rng.choice(["</p>", "</p>", "", "<br>"]))
