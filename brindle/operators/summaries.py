@@ -122,6 +122,14 @@ def flag_low(df: DataFrame, db: str, hf: str, db_above: float, ratio: float) ->
     return df.crossJoin(F.broadcast(whole)).withColumn("flag", F.when(low, "LOW").otherwise("")).drop("_median", "_measured")  # one row
 
 
+def audit(flagged: DataFrame, by: str, hf: str, db: str) -> DataFrame:
+    """by, n, median, low and high of hf, the count of flags LOW, and db_n, db_median, db_low and db_high of the finite measured values."""
+    rows = flagged.withColumn("_db", finite(F.col(db)))
+    t = rows.groupBy(by).agg(F.count("*").alias("n"), F.min(hf).alias("low"), F.max(hf).alias("high"), F.count_if(F.col("flag") == "LOW").alias("flagged"), F.count("_db").alias("db_n"), F.min("_db").alias("db_low"), F.max("_db").alias("db_high"))
+    t = with_quantile(t, quantiles(rows, [by], hf), [by])
+    return with_quantile(t, quantiles(rows, [by], "_db", name="db_median"), [by]).select(by, "n", "median", "low", "high", "flagged", "db_n", "db_median", "db_low", "db_high")
+
+
 def best_so_far(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
     """is_best: the value is above all before it, in groups of any size."""
     found = running(df, [by], order, {"_best": ("max", value)})

@@ -119,6 +119,14 @@ def _(spark, sf):
     return S.with_quantile(g, S.quantiles(x, ["weighting"], "l_discount", name="mid"), ["weighting"])
 
 
+@query("audit_measured", "WITH x AS (SELECT l_returnflag AS weighting, l_discount AS hf, CASE WHEN l_linenumber % 3 > 0 THEN l_quantity END AS db FROM lineitem) SELECT weighting, count(*) AS n, quantile_cont(hf, 0.5) AS median, min(hf) AS low, max(hf) AS high, count(*) FILTER (db >= 39) AS flagged, count(db) AS db_n, quantile_cont(db, 0.5) AS db_median, min(db) AS db_low, max(db) AS db_high FROM x GROUP BY 1")
+def _(spark, sf):
+    """Quantities of some lines stand for measured decibels, by which they are flagged."""
+    db = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    x = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("weighting"), F.col("l_discount").alias("hf"), db.alias("db"))
+    return S.audit(S.flag_low(x, "db", "hf", 39.0, 0.5), "weighting", "hf", "db")
+
+
 @query("headroom_spread", "SELECT quantile_cont(p_retailprice, 0.5) AS median, round(max(p_retailprice) / greatest(min(p_retailprice), 1e-12), 6) AS spread, max(p_retailprice) / greatest(min(p_retailprice), 1e-12) > 3 AS wide FROM part")
 def _(spark, sf):
     ratio = F.max("p_retailprice") / F.greatest(F.min("p_retailprice"), F.lit(1e-12))

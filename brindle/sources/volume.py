@@ -91,10 +91,12 @@ def read_volumes(spark: SparkSession, path: str, recursive: bool = True) -> Data
     return files.select("path", "content").mapInPandas(run, SCHEMA).withColumn("stem", strip_ext(F.col("path")))
 
 
-def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path and stem of the files with a known extension, hidden ones left out; contents aren't read."""
+def list_files(spark: SparkSession, path: str, recursive: bool = True, anywhere: bool = False) -> DataFrame:
+    """path and stem of the files with a known extension, hidden ones left out; contents aren't read. anywhere: of files whose
+    names hold .nii or .mhd at any place. Spark's readers don't see names that begin with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path")
-    return files.where(F.col("path").rlike(r"(?i)/[^/.][^/]*\.(" + "|".join(e.replace(".", r"\.") for e in EXTENSIONS) + ")$")).withColumn("stem", strip_ext(F.col("path")))
+    ends = r"(?i)/[^/.][^/]*\.(" + "|".join(e.replace(".", r"\.") for e in EXTENSIONS) + ")$"
+    return files.where(F.col("path").rlike(r"(?i)\.(nii|mhd)[^/]*$" if anywhere else ends)).withColumn("stem", strip_ext(F.col("path")))
 
 
 def list_stems(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
-from brindle.sources import documents, nifti
+from brindle.sources import documents, nifti, volume
 from brindle.sources.volume import write_nifti
 from brindle.streaming import stream
 
@@ -141,3 +141,12 @@ def test_sidecars(spark, tmp_path):
     read = documents.read_documents(spark, str(tmp_path), documents.SIDECAR)
     told = read.select(F.regexp_extract("file", "([^/.]+).json", 1), documents.sidecar_doubts(F.col("AcquisitionMatrixPE"), F.col("ReconMatrixPE"), F.col("status"))).collect()
     assert sorted(map(tuple, told)) == [("a", None), ("b", "not_zero_filled"), ("c", "silent"), ("d", "unreadable")]
+
+
+def test_names_that_hold_an_extension_anywhere(spark, tmp_path):
+    for name in ("a.nii", "b.nii.gz.bak", ".c.NII", "deep/d.mhd2", "e.txt", "deep/f.nii.gz"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    names = lambda df: sorted(r["path"].rsplit("/", 1)[1] for r in df.collect())
+    assert names(volume.list_files(spark, str(tmp_path), anywhere=True)) == ["a.nii", "b.nii.gz.bak", "d.mhd2", "f.nii.gz"]
+    assert names(volume.list_files(spark, str(tmp_path))) == ["a.nii", "f.nii.gz"] and names(volume.list_files(spark, str(tmp_path), recursive=False)) == ["a.nii"]
