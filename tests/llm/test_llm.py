@@ -98,6 +98,7 @@ def test_quality_on_labels(spark):
     rows = queries.QUERIES["op3_quality"](spark, sf).join(labels, "doc_id").groupBy("quality", "selected").count().collect()
     n = {(r["quality"], r["selected"]): r["count"] for r in rows}
     assert n[1, True] >= 0.97 * (n[1, True] + n.get((1, False), 0))
+    assert n[0, False] >= 0.9 * (n[0, False] + n.get((0, True), 0))
 
 
 def _fingerprint(text):
