@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions import curves
+from ..functions import curves, grids
 from ..operators import chunks
 from ..operators import kernels as K
 from ..operators import registry
@@ -68,6 +68,14 @@ elements("center_slice", "a[17:48]", lambda a, b: A.center_slice(a, 32))
 elements("flip", "list_reverse(a)", lambda a, b: F.reverse(a))
 elements("zero_fill", "list_concat(list_transform(range(17), lambda i: 0.0), a[1:30], list_transform(range(17), lambda i: 0.0))", lambda a, b: A.zero_fill(F.slice(a, F.lit(1), F.lit(30)), 64))
 
+CUBE = (4, 4, 4)
+elements("crop_box", "list_transform(range(12), lambda i: a[(i // 6 + 1) * 16 + (i // 2 % 3) * 4 + i % 2 + 2 + 1])", lambda a, b: grids.crop(a, CUBE, (1, 0, 2), (2, 3, 2)))
+elements("flip_axis", "list_transform(range(64), lambda i: a[i // 16 * 16 + (3 - i // 4 % 4) * 4 + i % 4 + 1])", lambda a, b: grids.flip(a, CUBE, 1))
+elements("turn_axes", "list_transform(range(64), lambda i: a[i % 4 * 16 + i // 4 % 4 * 4 + 3 - i // 16 + 1])", lambda a, b: grids.quarter_turn(a, CUBE, 0, 2))
+elements("pad_box", "list_transform(range(60), lambda i: CASE WHEN i // 30 = 0 OR i // 6 % 5 = 0 OR i % 6 > 3 THEN 0.0 ELSE a[(i // 30 - 1) * 16 + (i // 6 % 5 - 1) * 4 + i % 6 + 1] END)", lambda a, b: grids.pad(grids.crop(a, CUBE, (0, 0, 0), (1, 4, 4)), (1, 4, 4), (1, 1, 0), (0, 0, 2)))
+elements("pad_nearest", "list_transform(range(60), lambda i: a[greatest(i // 6 % 5 - 1, 0) * 4 + least(i % 6, 3) + 1])", lambda a, b: grids.pad(grids.crop(a, CUBE, (0, 0, 0), (1, 4, 4)), (1, 4, 4), (1, 1, 0), (0, 0, 2), None))
+elements("plane_across", "list_transform(range(16), lambda i: a[i // 4 * 16 + 2 * 4 + i % 4 + 1])", lambda a, b: grids.plane(a, CUBE, 1, 2))
+
 
 def window(name, sql, column):
     @query(name, f"WITH f AS (SELECT i.i, (i.i - 32) / 64.0 AS f FROM range(64) i(i)) SELECT i, round({sql}, 8) AS w FROM f")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import grids
 from brindle.functions.curves import hilbert, morton
 from brindle.operators import chunks, intervals, ordering, transforms
 from brindle.sources import layout
@@ -119,3 +120,24 @@ def test_differences_over_chunks(spark, shape, chunk):
                 assert got[at] is None if want is None else got[at] == pytest.approx(2 * want[at])
     with pytest.raises(ValueError):
         chunks.chunked(df, "k", "data", (4, 4, 4), (3, 2, 2))
+
+
+def test_grids_against_numpy(spark):
+    shape = (2, 3, 5)
+    whole = np.random.default_rng(6).normal(size=shape)
+    a = F.col("a")
+    df = spark.createDataFrame([(whole.ravel().tolist(),)], "a array<double>")
+    cases = {
+        "crop": (grids.crop(a, shape, (0, 1, 2), (2, 2, 3)), whole[0:2, 1:3, 2:5]),
+        "zeros": (grids.pad(a, shape, (1, 0, 2), (0, 2, 1)), np.pad(whole, ((1, 0), (0, 2), (2, 1)))),
+        "nearest": (grids.pad(a, shape, (1, 0, 2), (0, 2, 1), None), np.pad(whole, ((1, 0), (0, 2), (2, 1)), mode="edge")),
+        "value": (grids.pad(a, shape, (0, 0, 0), (1, 0, 0), -1.0), np.pad(whole, ((0, 1), (0, 0), (0, 0)), constant_values=-1.0)),
+        **{f"flip{k}": (grids.flip(a, shape, k), np.flip(whole, k)) for k in range(3)},
+        **{f"turn{i}{k}": (grids.quarter_turn(a, shape, i, k), np.rot90(whole, 1, (i, k))) for i in range(3) for k in range(3) if i != k},
+        **{f"plane{k}": (grids.plane(a, shape, k, 1), np.take(whole, 1, k)) for k in range(3)},
+    }
+    got = df.select(*[c.alias(name) for name, (c, _) in cases.items()]).first()
+    for name, (_, want) in cases.items():
+        assert got[name] == want.ravel().tolist(), name
+    with pytest.raises(ValueError):
+        grids.crop(a, shape, (1, 0, 0), (2, 1, 1))
