@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import grids
 from ..operators import folds, sampling
 from ..operators import geometry as G
 from .catalogue import query, table
 from .cohort import WITH, cohort
-from .volumes import W, by_place, elements, kernel, measure, places, signals
+from .volumes import CUBE, W, by_place, elements, kernel, measure, signals, values
 
 #: A made-up affine: voxel axes run to posterior, right and superior.
 AFFINE = np.array([[0.0, 1.5, 0, -10], [-1, 0, 0, 20], [0, 0, 2, 5], [0, 0, 0, 1]])
@@ -23,9 +24,9 @@ def _reoriented(a: np.ndarray) -> dict:
 
 kernel("reorient", _reoriented, "values array<double>, affine array<double>, letters string")
 kernel("pad_to", lambda a: dict(zip(("values", "start"), (lambda b, at: (b.ravel().tolist(), list(at)))(*G.pad_to(a, (4, 6, 4), 4)))), "values array<double>, start array<int>")
-places("pad_to_places", lambda a: G.pad_to(a, (4, 8, 4), 4)[0], "", by_place("a[x.i * 16 + least(3, greatest(0, y.i - 2)) * 4 + z.i + 1]", (4, 8, 4)))
+values("pad_to_places", lambda a: grids.pad(a, CUBE, (0, 2, 0), (0, 2, 0), None), "", by_place("a[x.i * 16 + least(3, greatest(0, y.i - 2)) * 4 + z.i + 1]", (4, 8, 4)))
 TURN = "u AS (SELECT vec_id, a[1] / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) AS x, a[2] / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) AS y, a[3] / sqrt(a[1] * a[1] + a[2] * a[2] + a[3] * a[3]) AS z, cos(a[4]) AS c, sin(a[4]) AS s FROM e), m AS (SELECT vec_id, [c + x * x * (1 - c), x * y * (1 - c) - z * s, x * z * (1 - c) + y * s, y * x * (1 - c) + z * s, c + y * y * (1 - c), y * z * (1 - c) - x * s, z * x * (1 - c) - y * s, z * y * (1 - c) + x * s, c + z * z * (1 - c)] AS m FROM u)"
-places("turn_matrix", lambda a: G.about_axis(tuple(a[0, 0, :3]), float(a[0, 0, 3]))[:3, :3], TURN, "SELECT vec_id, i.i AS pos, m[i.i + 1] AS v FROM m, range(9) i(i)")
+values("turn_matrix", lambda a: grids.turn_matrix([a[0], a[1], a[2]], a[3]), TURN, "SELECT vec_id, i.i AS pos, m[i.i + 1] AS v FROM m, range(9) i(i)")
 
 MEAN, SD = "list_avg(a)", "list_aggregate(a, 'stddev_pop')"
 elements(

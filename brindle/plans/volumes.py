@@ -202,6 +202,22 @@ def places(name, function, steps, values, digits=6):
         return got.select("vec_id", F.posexplode("values").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", digits).alias("x"))
 
 
+def number(name, column, steps, value, rows, digits=6):
+    """As one, of an expression over the columns a and b."""
+
+    @query(name, _with(steps) + f"SELECT vec_id, round({value}, {digits}) AS {name} FROM {rows}")
+    def _(spark, sf):
+        return signals(spark, sf).select("vec_id", F.round(column(F.col("a")), digits).alias(name))
+
+
+def values(name, column, steps, rows, digits=6):
+    """As places, of an expression over the column a."""
+
+    @query(name, _with(steps) + f"SELECT vec_id, pos, round(v, {digits}) AS x FROM ({rows})")
+    def _(spark, sf):
+        return signals(spark, sf).select("vec_id", F.posexplode(column(F.col("a"))).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", digits).alias("x"))
+
+
 def by_place(value: str, shape: tuple[int, int, int] = CUBE) -> str:
     """SQL with a row for each place (x, y, z) of a grid and the value there."""
     n, m, k = shape
@@ -216,20 +232,20 @@ places("radial_spectrum", lambda a: K.radial_spectrum(a, 8)[1], POWER + ", w AS
 places("axis_spectrum", lambda a: K.axis_spectrum(a, 0)[1], POWER.split("f2 AS")[0].rstrip(",\n ") , "SELECT vec_id, x AS pos, avg(re * re + im * im) AS v FROM f1 WHERE x < 2 GROUP BY 1, 2")
 one("band_power", lambda a: K.band_power(a, 0.2, 0.45), POWER, "coalesce(sum(power) FILTER (r >= 0.2 AND r < 0.45), 0)", "p GROUP BY 1")
 DIFF = {k: f"CASE {k}.i WHEN 0 THEN {b} - {c} WHEN 3 THEN {c} - {d} ELSE ({b} - {d}) / 2 END" for k, (b, c, d) in {"x": ("a[(x.i + 1) * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[(x.i - 1) * 16 + y.i * 4 + z.i + 1]"), "y": ("a[x.i * 16 + (y.i + 1) * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + (y.i - 1) * 4 + z.i + 1]"), "z": ("a[x.i * 16 + y.i * 4 + z.i + 2]", "a[x.i * 16 + y.i * 4 + z.i + 1]", "a[x.i * 16 + y.i * 4 + z.i]")}.items()}
-one("sharpness", K.sharpness, "g AS (SELECT vec_id, sqrt(" + " + ".join(f"pow({DIFF[k]}, 2)" for k in "xyz") + f") AS g FROM e, {PLACES})", "avg(g)", "g GROUP BY 1")
-places("percentile_norm", K.percentile_norm, "q AS (SELECT vec_id, a, list_aggregate(a, 'quantile_cont', 0.005) AS lo, list_aggregate(a, 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
-places("percentile_norm_foreground", K.foreground_norm, "f AS (SELECT vec_id, a, list_filter(a, lambda x: x > list_max(a) * 0.02) AS f FROM e), q AS (SELECT vec_id, a, list_aggregate(f, 'quantile_cont', 0.01) AS lo, list_aggregate(f, 'quantile_cont', 0.99) AS hi FROM f)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
-places("percentile_norm_reference", lambda a: K.percentile_norm(a, 1, 99.5, of=a[:2]), "q AS (SELECT vec_id, a, list_aggregate(a[1:32], 'quantile_cont', 0.01) AS lo, list_aggregate(a[1:32], 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+number("sharpness", lambda a: grids.sharpness(a, CUBE), "g AS (SELECT vec_id, sqrt(" + " + ".join(f"pow({DIFF[k]}, 2)" for k in "xyz") + f") AS g FROM e, {PLACES})", "avg(g)", "g GROUP BY 1")
+values("percentile_norm", lambda a: grids.scaled(a, a, 0.005, 0.995), "q AS (SELECT vec_id, a, list_aggregate(a, 'quantile_cont', 0.005) AS lo, list_aggregate(a, 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+values("percentile_norm_foreground", grids.foreground_scaled, "f AS (SELECT vec_id, a, list_filter(a, lambda x: x > list_max(a) * 0.02) AS f FROM e), q AS (SELECT vec_id, a, list_aggregate(f, 'quantile_cont', 0.01) AS lo, list_aggregate(f, 'quantile_cont', 0.99) AS hi FROM f)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
+values("percentile_norm_reference", lambda a: grids.scaled(a, F.slice(a, 1, 32), 0.01, 0.995), "q AS (SELECT vec_id, a, list_aggregate(a[1:32], 'quantile_cont', 0.01) AS lo, list_aggregate(a[1:32], 'quantile_cont', 0.995) AS hi FROM e)", "SELECT vec_id, i.i AS pos, least(1.0, greatest(0.0, (a[i.i + 1] - lo) / greatest(hi - lo, 1e-12))) AS v FROM q, range(64) i(i)")
 places("blend_fitted", lambda a: K.blend_fitted(a[:3], 6, 4, registry.create("Scaled", factor="2")), "", by_place("2 * a[x.i * 16 + y.i * 4 + z.i + 1]", (3, 4, 4)))
 EDGE = " + ".join(f"pow({c}, 2)" for c in ("CASE WHEN x.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[(x.i - 1) * 16 + y.i * 4 + z.i + 1]"), "CASE WHEN y.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[x.i * 16 + (y.i - 1) * 4 + z.i + 1]"), "CASE WHEN z.i > 0 THEN {0} - {1} ELSE 0 END".format("t[x.i * 16 + y.i * 4 + z.i + 1]", "t[x.i * 16 + y.i * 4 + z.i]")))
-one("edge_weighted_l1", lambda a: K.edge_weighted_l1(a, a[::-1]), f"t AS (SELECT vec_id, a, list_concat(a[49:64], a[33:48], a[17:32], a[1:16]) AS t FROM e), g AS (SELECT vec_id, sqrt({EDGE} + 1e-12) AS g, abs(a[x.i * 16 + y.i * 4 + z.i + 1] - t[x.i * 16 + y.i * 4 + z.i + 1]) AS d FROM t, {PLACES}), w AS (SELECT vec_id, d, 1 + 2 * least(1.0, g / (4 * avg(g) OVER (PARTITION BY vec_id))) AS w FROM g)", "sum(w * d) / sum(w)", "w GROUP BY 1")
+number("edge_weighted_l1", lambda a: grids.edge_weighted_l1(a, grids.flip(a, CUBE, 0), CUBE), f"t AS (SELECT vec_id, a, list_concat(a[49:64], a[33:48], a[17:32], a[1:16]) AS t FROM e), g AS (SELECT vec_id, sqrt({EDGE} + 1e-12) AS g, abs(a[x.i * 16 + y.i * 4 + z.i + 1] - t[x.i * 16 + y.i * 4 + z.i + 1]) AS d FROM t, {PLACES}), w AS (SELECT vec_id, d, 1 + 2 * least(1.0, g / (4 * avg(g) OVER (PARTITION BY vec_id))) AS w FROM g)", "sum(w * d) / sum(w)", "w GROUP BY 1")
 one("blend_identity", lambda a: np.abs(K.blend(a, 2, 1) - a).max(), "", "CAST(0 AS DOUBLE)", "e")
-places("translate", lambda a: T.translate(a, (1, -2, 0)), "", by_place("CASE WHEN x.i >= 1 AND y.i < 2 THEN a[(x.i - 1) * 16 + (y.i + 2) * 4 + z.i + 1] ELSE 0 END"))
-places("rotate_quarter", lambda a: T.rotate(a, (0, 0, 90)), "", by_place("a[y.i * 16 + (3 - x.i) * 4 + z.i + 1]"))
+values("translate", lambda a: grids.translate(a, CUBE, (1, -2, 0)), "", by_place("CASE WHEN x.i >= 1 AND y.i < 2 THEN a[(x.i - 1) * 16 + (y.i + 2) * 4 + z.i + 1] ELSE 0 END"))
+values("rotate_quarter", lambda a: grids.quarter_turn(a, CUBE, 0, 1), "", by_place("a[y.i * 16 + (3 - x.i) * 4 + z.i + 1]"))
 LAP = " + ".join(f"a[{held('x.i + ' + str(i))} * 16 + {held('y.i + ' + str(j))} * 4 + {held('z.i + ' + str(k))} + 1]" for i, j, k in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
-places("laplacian", T.laplacian, "", by_place(LAP + " - 6 * a[x.i * 16 + y.i * 4 + z.i + 1]"))
+values("laplacian", lambda a: grids.laplacian(a, CUBE), "", by_place(LAP + " - 6 * a[x.i * 16 + y.i * 4 + z.i + 1]"))
 SOBEL = "o AS (SELECT * FROM (VALUES (-1),(0),(1)) o(o)), n AS (SELECT vec_id, x.i AS x, y.i AS y, z.i AS z, dx.o AS dx, dy.o AS dy, dz.o AS dz, CASE WHEN x.i + dx.o BETWEEN 0 AND 3 AND y.i + dy.o BETWEEN 0 AND 3 AND z.i + dz.o BETWEEN 0 AND 3 THEN a[(x.i + dx.o) * 16 + (y.i + dy.o) * 4 + z.i + dz.o + 1] ELSE -1 END AS v FROM e, range(4) x(i), range(4) y(i), range(4) z(i), o dx, o dy, o dz), g AS (SELECT vec_id, x * 16 + y * 4 + z AS pos, sum(v * dx * (2 - abs(dy)) * (2 - abs(dz))) / 4 AS gx, sum(v * dy * (2 - abs(dx)) * (2 - abs(dz))) / 4 AS gy, sum(v * dz * (2 - abs(dx)) * (2 - abs(dy))) / 4 AS gz FROM n GROUP BY 1, 2)"
-places("sobel", T.sobel, SOBEL, "SELECT vec_id, pos, 2 * ((exp(2 * sqrt(gx * gx + gy * gy + gz * gz)) - 1) / (exp(2 * sqrt(gx * gx + gy * gy + gz * gz)) + 1)) - 1 AS v FROM g")
+values("sobel", lambda a: grids.sobel(a, CUBE), SOBEL, "SELECT vec_id, pos, 2 * ((exp(2 * sqrt(gx * gx + gy * gy + gz * gz)) - 1) / (exp(2 * sqrt(gx * gx + gy * gy + gz * gz)) + 1)) - 1 AS v FROM g")
 places("resample_nearest", lambda a: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), "nearest"), "", by_place("a[CAST(floor(least(3.0, x.i * 0.5) + 0.5) AS BIGINT) * 16 + CAST(floor(least(3.0, y.i * 0.8) + 0.5) AS BIGINT) * 4 + CAST(floor(least(3.0, z.i * 2.0) + 0.5) AS BIGINT) + 1]", (8, 5, 2)))
 LINEAR = f"c AS (SELECT vec_id, a, x.i * 10 + y.i * 2 + z.i AS pos, least(3.0, x.i * 0.5) AS px, least(3.0, y.i * 0.8) AS py, least(3.0, z.i * 2.0) AS pz FROM e, range(8) x(i), range(5) y(i), range(2) z(i)), b AS (SELECT vec_id, pos, a[least(3, CAST(floor(px) AS BIGINT) + i.i) * 16 + least(3, CAST(floor(py) AS BIGINT) + j.i) * 4 + least(3, CAST(floor(pz) AS BIGINT) + k.i) + 1] * (CASE i.i WHEN 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE j.i WHEN 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) * (CASE k.i WHEN 0 THEN 1 - (pz - floor(pz)) ELSE pz - floor(pz) END) AS v FROM c, range(2) i(i), range(2) j(i), range(2) k(i))"
 places("resample_linear", lambda a: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), "linear"), LINEAR, "SELECT vec_id, pos, sum(v) AS v FROM b GROUP BY 1, 2")
@@ -256,7 +272,7 @@ for method, taper in TAPERS.items():
     places(f"resample_{method}", lambda a, method=method: T.resample(a, (1, 1, 1), (0.5, 0.8, 2), method), *tapped(f"({SINC}) * ({taper})"))
 
 MASS = "m AS (SELECT vec_id, a, list_aggregate(a, 'quantile_cont', 0.5) AS level FROM e), h AS (SELECT vec_id, avg(x.i) AS cx, avg(y.i) AS cy FROM m, range(4) x(i), range(4) y(i), range(4) z(i) WHERE a[x.i * 16 + y.i * 4 + z.i + 1] > level GROUP BY 1), st AS (SELECT e.vec_id, a, least(2, greatest(0, CAST(round_even(coalesce(cx, 2), 0) AS BIGINT) - 1)) AS sx, least(2, greatest(0, CAST(round_even(coalesce(cy, 2), 0) AS BIGINT) - 1)) AS sy FROM e LEFT JOIN h USING (vec_id))"
-places("crop_background", lambda a: T.crop_background(a, (2, 2, 3), float(np.median(a))), MASS, "SELECT vec_id, x.i * 6 + y.i * 3 + z.i AS pos, a[(sx + x.i) * 16 + (sy + y.i) * 4 + z.i + 1] AS v FROM st, range(2) x(i), range(2) y(i), range(3) z(i)")
+values("crop_background", lambda a: grids.crop_about_mass(a, CUBE, (2, 2, 3), A.quantile(a, 0.5)), MASS, "SELECT vec_id, x.i * 6 + y.i * 3 + z.i AS pos, a[(sx + x.i) * 16 + (sy + y.i) * 4 + z.i + 1] AS v FROM st, range(2) x(i), range(2) y(i), range(3) z(i)")
 places("regrid_affine", lambda a: T.regrid(np.diag([*(1 + np.abs(a[0, 0, :3])), 1]), (4, 4, 4), (2, 4, 8)), "n AS (SELECT vec_id, [1 + abs(a[1]), 1 + abs(a[2]), 1 + abs(a[3])] AS d, [2.0, 1.0, 0.5] AS g, [0.5, 1.5, 3.5] AS c FROM e)", "SELECT vec_id, r.i * 4 + k.i AS pos, CASE WHEN r.i = 3 THEN CASE WHEN k.i = 3 THEN 1.0 ELSE 0.0 END WHEN k.i = r.i THEN d[r.i + 1] * g[r.i + 1] WHEN k.i = 3 THEN d[r.i + 1] * 1.5 - d[r.i + 1] * g[r.i + 1] * c[r.i + 1] ELSE 0.0 END AS v FROM n, range(4) r(i), range(4) k(i)")
 
 # curves: where a place of the 4 x 4 x 4 grid stands in the order

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import grids
 from brindle.functions.curves import hilbert, morton
-from brindle.operators import chunks, intervals, ordering, transforms
+from brindle.operators import chunks, geometry, intervals, kernels, ordering, transforms
 from brindle.sources import layout
 from brindle.streaming import stream
 
@@ -136,8 +136,20 @@ def test_grids_against_numpy(spark):
         **{f"turn{i}{k}": (grids.quarter_turn(a, shape, i, k), np.rot90(whole, 1, (i, k))) for i in range(3) for k in range(3) if i != k},
         **{f"plane{k}": (grids.plane(a, shape, k, 1), np.take(whole, 1, k)) for k in range(3)},
     }
-    got = df.select(*[c.alias(name) for name, (c, _) in cases.items()]).first()
-    for name, (_, want) in cases.items():
-        assert got[name] == want.ravel().tolist(), name
+    other = F.reverse(a)
+    cases |= {
+        "translate": (grids.translate(a, shape, (0, -1, 2)), transforms.translate(whole, (0, -1, 2))),
+        "laplacian": (grids.laplacian(a, shape), transforms.laplacian(whole)),
+        "sobel": (grids.sobel(a, shape), transforms.sobel(whole)),
+        "scaled": (grids.scaled(a, a, 0.005, 0.995), kernels.percentile_norm(whole)),
+        "foreground": (grids.foreground_scaled(a), kernels.foreground_norm(whole)),
+        "mass": (grids.crop_about_mass(a, shape, (1, 2, 3), F.lit(0.5)), transforms.crop_background(whole, (1, 2, 3), 0.5)),
+        "middle": (grids.crop_about_mass(a, shape, (1, 2, 3), F.lit(99.0)), transforms.crop_background(whole, (1, 2, 3), 99.0)),
+        "turn": (grids.turn_matrix([a[0], a[1], a[2]], a[3]), geometry.about_axis(tuple(whole.ravel()[:3]), whole.ravel()[3])[:3, :3]),
+        "sharpness": (F.array(grids.sharpness(a, shape)), np.array([kernels.sharpness(whole)])),
+        "edges": (F.array(grids.edge_weighted_l1(a, other, shape)), np.array([kernels.edge_weighted_l1(whole, whole.ravel()[::-1].reshape(shape))])),
+    }
+    for name, (c, want) in cases.items():
+        assert df.select(c).first()[0] == pytest.approx(want.ravel().tolist()), name
     with pytest.raises(ValueError):
         grids.crop(a, shape, (1, 0, 0), (2, 1, 1))
