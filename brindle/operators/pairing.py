@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import product
-from .ordering import in_order
+from .ordering import in_order, running
 
 
 def pair_inner(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -18,17 +18,20 @@ def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "left_anti")
 
 
-def ranked(df: DataFrame, name: str, by: str | None, *order, few: bool = False) -> DataFrame:
+def ranked(df: DataFrame, name: str, by: str | None, *order, few: bool = False, hot: bool = False) -> DataFrame:
     """Adds name, the place from 0 in the given order, within the groups of by (None: of all rows, see in_order).
 
     few: there are few groups, so of any size: rows are placed in the order of all groups, less what lies before their own
-    (a table of one row a group, broadcast), and no task holds a group."""
+    (a table of one row a group, broadcast), and no task holds a group. hot: there are many groups, some of which may be large: the
+    rows before a row are counted by ranges (see running)."""
     if by is None:
         return in_order(df, list(order), name)
     if few:
         placed = in_order(df, [by, *order], "_place")
         begins = F.broadcast(placed.groupBy(by).agg(F.min("_place").alias("_begin")))
         return placed.join(begins, placed[by].eqNullSafe(begins[by])).drop(begins[by]).withColumn(name, F.col("_place") - F.col("_begin")).select(*df.columns, name)
+    if hot:
+        return running(df.withColumn("_one", F.lit(1)), [by], list(order), {name: ("count", "_one")}).drop("_one")
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).cast("long"))
 
 

@@ -147,7 +147,7 @@ def _(spark, sf):
  SELECT o_custkey, pos, name_a, name_b, coalesce(name_a = name_b, false) AS ok FROM a FULL JOIN b USING (o_custkey, pos)""")
 def _(spark, sf):
     c = cohort(spark, sf)
-    side = lambda df, name: pairing.ranked(df.select("o_custkey", F.col("stem").alias(name)), "pos", "o_custkey", name)
+    side = lambda df, name: pairing.ranked(df.select("o_custkey", F.col("stem").alias(name)), "pos", "o_custkey", name, hot=True)
     return pairing.pair_by_place(side(c, "name_a"), side(c.where("o_orderkey % 7 <> 0"), "name_b"), ["o_custkey", "pos"], "name_a", "name_b")
 
 
