@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +51,27 @@ def draws_with_replacement(weighted: DataFrame, key: str, weight: str, draws: in
     return last_before(points, "_u", line, "_low").select("draw", key)
 
 
+#: Rows of a side that meet in one unit, and pairs that a task makes.
+STRIP, PAIRS_IN_TASK = 4096, 20_000_000
+
+
 def holding(points: DataFrame, at: str, stretches: DataFrame, low: str, high: str, cells: int = 1000) -> DataFrame:
     """Each point with each stretch that holds it, low <= at < high; stretches may overlap.
 
     The stretches' line is cut into cells of one width. A stretch is dealt to each cell that it reaches into, a point to its own, and
-    they meet by cell, so no point is held against stretches of other cells. A stretch and a point share one cell at most."""
+    they meet by cell, so no point is held against stretches of other cells. A stretch and a point share one cell at most. A cell's rows are
+    cut into strips, which meet two by two wherever they are, and there are as many tasks as the pairs need, so none of them grows with the tables."""
     line = F.broadcast(stretches.agg(F.min(low).cast("double").alias("_from"), F.max(high).cast("double").alias("_to")))  # one row
     cell = lambda c: F.least(F.floor((c - F.col("_from")) / F.greatest(F.col("_to") - F.col("_from"), F.lit(1e-300)) * cells), F.lit(cells - 1))
     spread = stretches.where(F.col(low) < F.col(high)).crossJoin(line).withColumn("_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high))))).drop("_from", "_to")
     placed = points.crossJoin(line).where((F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to"))).withColumn("_cell", cell(F.col(at))).drop("_from", "_to")
-    return placed.join(spread, "_cell").where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop("_cell")
+    sizes = stored(placed.groupBy("_cell").agg(F.count("*").alias("_p")).join(spread.groupBy("_cell").agg(F.count("*").alias("_s")), "_cell"))
+    pairs = sizes.agg(F.sum(F.col("_p").cast("double") * F.col("_s"))).first()[0] or 0
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / PAIRS_IN_TASK))
+    strips = F.broadcast(sizes.select("_cell", F.ceil(F.col("_p") / STRIP).alias("_ps"), F.ceil(F.col("_s") / STRIP).alias("_ss")))  # a row a cell
+    unit = ["_cell", "_i", "_j"]
+    some = lambda rows, n: F.pmod(F.xxhash64(*rows.columns), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = placed.join(strips, "_cell").withColumn("_i", some(points, "_ps")).withColumn("_j", each("_ss")).drop("_ps", "_ss").repartition(tasks, *unit)
+    right = spread.join(strips, "_cell").withColumn("_j", some(stretches, "_ss")).withColumn("_i", each("_ps")).drop("_ps", "_ss").repartition(tasks, *unit)
+    return left.join(right, unit).where((F.col(low) <= F.col(at)) & (F.col(at) < F.col(high))).drop(*unit)

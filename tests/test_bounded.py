@@ -1,10 +1,10 @@
 """What a task or the driver holds doesn't grow with the rows: medians of blocks, joins of stretches, pools of keys."""
 
-
-
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from brindle.operators import intervals
 from brindle.operators import summaries as S
 
 
@@ -26,3 +26,15 @@ def test_medians_of_blocks_order_few_values(spark, monkeypatch, near):
     assert [x["block"] for x in one] == ["ALL"] and one[0]["median"] == got["a"]["median"]
     ties = spark.createDataFrame([("a", 1.0)] * 50 + [("b", 2.0)] * 50 + [(None, None)], "s string, x double")
     assert {x["block"]: x["median"] for x in S.describe_blocks(ties, "s", [], "x").collect()} == {"ALL": 1.5, "a": 1.0, "b": 2.0, None: None}
+
+
+def test_holding_in_tasks_of_few_pairs(spark, monkeypatch):
+    """One cell holds all rows, and yet no task makes most of the pairs."""
+    monkeypatch.setattr(intervals, "STRIP", 20, raising=False)
+    monkeypatch.setattr(intervals, "PAIRS_IN_TASK", 2000, raising=False)
+    points = spark.createDataFrame([(i, 5.0 + i % 3) for i in range(200)], "id long, at double")
+    stretches = spark.createDataFrame([(i, 4.0, 6.5 + i % 2) for i in range(200)], "s long, low double, high double")
+    got = intervals.holding(points, "at", stretches, "low", "high", 1).withColumn("_task", F.spark_partition_id())
+    want = sorted((i, s) for i in range(200) for s in range(200) if 5.0 + i % 3 < 6.5 + s % 2)
+    assert sorted((x["id"], x["s"]) for x in got.collect()) == want
+    assert got.groupBy("_task").count().agg(F.max("count")).first()[0] < len(want) / 3
