@@ -74,10 +74,9 @@ h AS (SELECT *, (CAST(event_id AS HUGEINT) * 2654435761 + nth * 40503) % 4294967
 p AS (SELECT *, CASE WHEN nth <= 50 THEN nth - 1 WHEN h % 2 = 1 THEN (h // 2) % 50 END AS place FROM h)
 SELECT event_type, event_id AS event_id_in, CASE WHEN place IS NULL OR nth <= 50 THEN event_id ELSE lag(event_id) OVER (PARTITION BY event_type, place ORDER BY nth) END AS event_id_out FROM p""")
 def _(spark, sf):
-    """The pool of each type over a stream in parts: its places stay in the state store from run to run."""
+    """The pool of each type over a stream in parts: what its places hold is written with each batch, and the next run goes on from there."""
     e, at, out, mark = table(spark, sf, "events"), S.scratch(spark, "arrived"), S.scratch(spark, "pooled"), S.scratch(spark, "mark")
-    with stream.settings(spark, spark__sql__streaming__stateStore__providerClass=stream.STATE_STORE):
-        for _ in arriving(e, by_day(), at):
-            rows = stream.pool_by_place(stream.stream_files(spark, at, e.schema).select("event_type", "event_id"), "event_type", "event_id")
-            stream.write_batches(rows, out, mark)
+    for _ in arriving(e, by_day(), at):
+        rows = stream.stream_files(spark, at, e.schema).select("event_type", "event_id")
+        stream.pool_by_place(rows, "event_type", "event_id", out, mark, f"{out}-places")
     return spark.read.parquet(out).drop("batch")

@@ -7,14 +7,14 @@ from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The state store that processors with several states need.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from ..operators.ordering import running, stored
+from ..operators.pairing import ranked
 
 
 def ingest(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str) -> int:
@@ -130,45 +130,44 @@ def marks_crossed(counts: DataFrame, every: int) -> DataFrame:
     return seen.where(last >= first).select("batch", "seen", F.explode(F.sequence(first, last)).alias("mark")).withColumn("mark", F.col("mark") * every)
 
 
-class PoolProcessor(StatefulProcessor):
-    """The pool of `pool` with a state for each of its places: a row reads and writes its own place only."""
+def place_in_pool(item: Column, nth: Column, size: int) -> Column:
+    """The place that the nth item (from 1) takes in a pool: the next free one, later one that a hash of item and nth draws, or none (null).
 
-    def __init__(self, key: str, item: str, size: int):
-        self.key, self.item, self.size = key, item, size
+    The hash is (item * 2654435761 + nth * 40503) mod 2 ** 32, the product in two parts that stay within a long."""
+    low, whole = F.lit(0xFFFF), F.lit(2**32)
+    a, (high_part, low_part) = F.pmod(item, whole), divmod(2654435761, 2**16)
+    product = a * low_part + (a * high_part).bitwiseAND(low) * 2**16
+    h = F.pmod(product + F.pmod(nth, whole) * 40503, whole)
+    return F.when(nth <= size, nth - 1).when(h.bitwiseAND(1) == 1, F.pmod(F.shiftright(h, 1), F.lit(size))).cast("int")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.LongType())]))
-        self.held = handle.getMapState("held", T.StructType([T.StructField("place", T.IntegerType())]), T.StructType([T.StructField("item", T.LongType())]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        items, out = sorted(int(v) for x in rows for v in x[self.item]), []
-        for v in items:
-            seen += 1
-            at = place_in_pool(v, seen, self.size)
-            if at is None:
-                out.append(v)
-                continue
-            out.append(v if seen <= self.size else self.held.getValue((at,))[0])
-            self.held.updateValue((at,), (v,))
-        self.seen.update((seen,))
-        yield pd.DataFrame({self.key: [key[0]] * len(items), f"{self.item}_in": items, f"{self.item}_out": out})
+def pool_by_place(rows: DataFrame, key: str, item: str, path: str, checkpoint: str, places: str, size: int = 50) -> list[dict[str, Any]]:
+    """What pool gives, of keys with any number of rows: writes key, <item>_in and <item>_out of each row of a stream to Parquet by batch (write_batches).
 
-    def close(self) -> None:
-        pass
-
-
-def place_in_pool(item: int, nth: int, size: int) -> int | None:
-    """The place that the nth item (from 1) takes in a pool: the next free one, later one that a hash of item and nth draws, or none."""
-    if nth <= size:
-        return nth - 1
-    h = (item * 2654435761 + nth * 40503) % 2**32
-    return (h >> 1) % size if h & 1 else None
-
-
-def pool_by_place(rows: DataFrame, key: str, item: str, size: int = 50) -> DataFrame:
-    """What pool gives, with the pool's places as a map of states, so a row reads and writes one place and not the whole pool (a list of
-    states has no places to write to). key, <item>_in and <item>_out of each row. A batch's rows of a key are taken in the order of their
-    items, in the worker's memory: bound the batches (stream_files). Set the session's state store to STATE_STORE."""
+    A batch's rows of a key are numbered in the order of their items by ranges (ranked), and what a place held before a row comes from the
+    rows before it in that place, by ranges as well (running), so no task holds a key. What each place holds after a batch, and how many rows
+    each key has had, is written to places/batch=<its number>, a row a key and place; the next batch goes on from there, and a batch that is tried again
+    begins with what the one before it left."""
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(PoolProcessor(key, item, size), f"{key} {kind}, {item}_in long, {item}_out long", "Append", "none")
+    same = F.col(key).eqNullSafe(F.col("_of"))
+    state = f"`{key}` {kind}, _place int, _nth long, `{item}` long"  # _place -1: rows so far
+
+    def prepare(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        before = spark.read.schema(state).parquet(f"{places}/batch={number - 1}") if number else spark.createDataFrame([], state)
+        seen = before.where("_place = -1").select(F.col(key).alias("_of"), F.col("_nth").alias("_seen"))
+        numbered = ranked(batch.select(key, F.col(item).cast("long").alias(item)), "_at", key, item, hot=True)
+        nth = F.coalesce("_seen", F.lit(0)) + F.coalesce("_at", F.lit(0)) + 1
+        placed = stored(numbered.join(seen, same, "left").select(key, nth.cast("long").alias("_nth"), item).withColumn("_place", place_in_pool(F.col(item), F.col("_nth"), size)))
+        held = before.where("_place >= 0").withColumn("_old", F.lit(True))
+        line = stored(placed.where("_place is not null").withColumn("_old", F.lit(False)).unionByName(held).withColumn("_own", F.struct("_nth", item)))
+        counts = placed.groupBy(key).agg(F.max("_nth").alias("_nth")).unionByName(seen.select(F.col("_of").alias(key), F.col("_seen").alias("_nth")))
+        after = line.groupBy(key, "_place").agg(F.max("_own").alias("_own")).select(key, "_place", "_own._nth", F.col(f"_own.{item}").alias(item))
+        so_far = counts.groupBy(key).agg(F.max("_nth").alias("_nth")).select(key, F.lit(-1).alias("_place"), "_nth", F.lit(None).cast("long").alias(item))
+        after.unionByName(so_far).write.mode("overwrite").parquet(f"{places}/batch={number}")
+        swapped = running(line, [key, "_place"], ["_nth"], {"_past": ("max", "_own")}).where("not _old")
+        out = F.when(F.col("_nth") <= size, F.col(item)).otherwise(F.col(f"_past.{item}"))
+        passed = placed.where("_place is null").select(key, F.col(item).alias(f"{item}_in"), F.col(item).alias(f"{item}_out"))
+        return passed.unionByName(swapped.select(key, F.col(item).alias(f"{item}_in"), out.alias(f"{item}_out")))
+
+    return write_batches(rows, path, checkpoint, prepare=prepare)

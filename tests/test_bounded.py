@@ -1,11 +1,14 @@
 """What a task or the driver holds doesn't grow with the rows: medians of blocks, joins of stretches, pools of keys."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import intervals
 from brindle.operators import summaries as S
+from brindle.streaming import stream
 
 
 @pytest.mark.parametrize("near", [S.__dict__.get("NEAR", 0), -0.2])
@@ -38,3 +41,29 @@ def test_holding_in_tasks_of_few_pairs(spark, monkeypatch):
     want = sorted((i, s) for i in range(200) for s in range(200) if 5.0 + i % 3 < 6.5 + s % 2)
     assert sorted((x["id"], x["s"]) for x in got.collect()) == want
     assert got.groupBy("_task").count().agg(F.max("count")).first()[0] < len(want) / 3
+
+
+def _pooled(items, seen, held, size):
+    out = []
+    for v in sorted(items):
+        seen += 1
+        h = (v * 2654435761 + seen * 40503) % 2**32
+        at = seen - 1 if seen <= size else (h >> 1) % size if h & 1 else None
+        out.append((v, v if at is None or seen <= size else held[at]))
+        if at is not None:
+            held[at] = v
+    return out, seen
+
+
+def test_pool_by_place_over_runs(spark, tmp_path):
+    """Runs go on from the places that the run before left; a key that comes late and large items do as others."""
+    r, seen, held, want = random.Random(7), {}, {}, []
+    src, out, mark, places = (str(tmp_path / x) for x in ("in", "out", "mark", "places"))
+    for run in range(3):
+        rows = [(k, r.randrange(2**60)) for k in ("hot",) * 6 + ("b",) * (run > 0) for _ in range(15)]
+        spark.createDataFrame(rows, "k string, v long").coalesce(1).write.mode("append").parquet(src)
+        for k in {k for k, _ in rows}:
+            told, seen[k] = _pooled([v for x, v in rows if x == k], seen.get(k, 0), held.setdefault(k, {}), 9)
+            want += [(k, *x) for x in told]
+        stream.pool_by_place(stream.stream_files(spark, src, "k string, v long"), "k", "v", out, mark, places, size=9)
+        assert sorted((x["k"], x["v_in"], x["v_out"]) for x in spark.read.parquet(out).collect()) == sorted(want)
