@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 SHINGLE, RESEMBLANCE = 5, 0.8
 #: Shingles that are told to be common: one row in so many is looked at, and so many shingles are remembered at most.
 COMMON_SAMPLE, COMMON_LEAST, COMMON_MOST = 16, 8, 20_000
-#: Keys of a text most of whose shingles (a share of OWN) are not common: two texts of RESEMBLANCE share one of them but for a chance below 1e-15. None: the
-#: whole prefix, by which every such pair shares one.
-KEYS: int | None = 40
+#: 0: every text has its whole prefix as keys, by which every two texts of RESEMBLANCE share one. Above 0, texts most of whose shingles (a share of OWN) are
+#: not common have so many keys at most, and pairs may be missed.
+KEYS: int | None = 0
 OWN = 0.6
 #: Pairs that a task holds before it hands them on.
 PAIRS_HELD = 1 << 18
@@ -271,7 +271,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """Rows of docs, one of each group of copies: the one with the smallest doc_id.
 
     A group is a component of links: pairs of texts whose sets of five-word shingles have a resemblance of RESEMBLANCE
-    or more; each is found but for a chance below 1e-15, and with KEYS = None without one. Texts of equal SHA-256 are one node (its smallest doc_id). The links come in
+    or more; each is found. Texts of equal SHA-256 are one node (its smallest doc_id). The links come in
     rounds, each verified on the sets. The first takes pairs whose SimHash fingerprints of the word sets lie within 3
     bits, through pivot tables, a forest of each bucket; the next take neighbours of equal prefix keys. They join large
     groups cheaply. The last tries every other pair that can reach RESEMBLANCE and whose ends are still in different
@@ -344,12 +344,12 @@ def _hashed(texts: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _keys(sh: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of (how common, hash): its prefix, or KEYS of it.
+    """The first shingles of a set in the order of (how common, hash): its prefix, or KEYS of it where that is set.
 
     Two sets of RESEMBLANCE share one of the prefix, one shingle more than such a set may lack, whatever the order, as long as
-    it is one for all. Where a share of OWN or more of the shingles is not common, KEYS of them do: then at most 0.25 / OWN of
+    it is one for all. With KEYS, where a share of OWN or more of the shingles is not common, at most 0.25 / OWN of
     the two sets' shingles that aren't common is in one of them only, and as these are in the order of their hashes,
-    the chance that none of the first KEYS is in both is below (0.25 / OWN) ** KEYS.
+    the chance that none of the first KEYS is in both is below (0.25 / OWN) ** KEYS for hashes drawn at random; sets made to that end miss each other.
     """
     if not len(sh):
         return np.zeros(1, dtype=np.int64)  # all empty sets are equal
